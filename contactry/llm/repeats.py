@@ -7,9 +7,9 @@ Steps, each a Spark job over tables of bounded groups:
    answers which of them occur in at least two different texts.
 3. segments: runs of windows under such an anchor, with their content. Other windows cannot repeat.
 4. distinct contents per anchor with the smallest document id; an anchor with one content needs no more.
-5. an anchor with several contents goes to ``resolve`` (suffix array or automaton), which classes equal windows.
-   Anchors with more than HOT contents are classed in pieces on any task, and the classes are merged by window
-   hash with a pre-aggregated minimum, so no key meets in one task.
+5. an anchor with several contents goes to ``resolve`` (suffix array or automaton), which classes equal windows
+   in pieces of PIECE contents. Up to HOT contents an anchor's pieces are merged in one task; beyond, pieces are
+   classed on any task and merged by window hash with a pre-aggregated minimum, so no key meets in one task.
 6. verdicts return to their documents, chunk by chunk.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from . import textscan
 from .common import keyed_documents, n_partitions, store
 
-#: Contents under one anchor up to which they are classed together in one piece.
-HOT = 48
+#: Contents of one anchor that are classed together in one piece.
+PIECE = 48
+#: Contents of one anchor up to which one task takes them all, piece by piece: at most a few hundred KB.
+HOT = 4096
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -149,12 +152,14 @@ def _pieces(frames: Iterator[pd.DataFrame], most: int, most_bytes: int = 1 << 20
     left = None
     for frame in frames:
         frame = frame if left is None else pd.concat([left, frame], ignore_index=True)
-        left = frame[frame["a"] == frame["a"].iloc[-1]] if len(frame) else None
-        if left is not None and len(left) > most:
-            left = left.iloc[:0]
-        frame = frame.iloc[: len(frame) - len(left)] if left is not None else frame
-        yield from _batches(frame, most, most_bytes)
-    if left is not None and len(left):
+        if not len(frame):
+            continue
+        a = frame["a"].to_numpy()
+        tail = len(a) - 1 - int(np.flatnonzero(a[::-1] != a[-1])[0]) if (a != a[-1]).any() else -1
+        open_from = tail + 1 if len(a) - tail - 1 <= most else len(a)
+        left = frame.iloc[open_from:]
+        yield from _batches(frame.iloc[:open_from], most, most_bytes)
+    if left is not None:
         yield from _batches(left, most, most_bytes)
 
 
@@ -180,12 +185,30 @@ def _batches(frame: pd.DataFrame, most: int, most_bytes: int):
         low = high
 
 
-def _masks(resolve: Resolve):
-    """Few contents per anchor: all in one piece, so the classes are final."""
+def _names(kind: Kind, content: bytes) -> list[bytes]:
+    """A 128-bit hash of every window of a content."""
+    units = [content[i : i + 1] for i in range(len(content))] if kind.prepare(b"")[2] is None else content.split(b" ")
+    joint = b"" if kind.prepare(b"")[2] is None else b" "
+    return [blake2b(joint.join(units[w : w + kind.window]), digest_size=16).digest() for w in range(len(units) - kind.window + 1)]
+
+
+def _masks(resolve: Resolve, kind: Kind):
+    """All contents of an anchor are here: its classes are final. Those of several pieces are merged by name."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, contents, ids in _pieces(frames, 1 << 30):
-            content, window, least = resolve(contents, ids)
+        for rows, contents, ids in _pieces(frames, HOT):
+            flat = rows["content"].tolist()
+            parts = [(g[i : i + PIECE], d[i : i + PIECE]) for g, d in zip(contents, ids, strict=True) for i in range(0, len(g), PIECE)]
+            content, window, least = resolve([p[0] for p in parts], [p[1] for p in parts])
+            large = np.concatenate([np.full(len(g), len(g) > PIECE) for g in contents])
+            at = np.flatnonzero(large[content])
+            if len(at):
+                names = {i: _names(kind, flat[i]) for i in np.flatnonzero(large).tolist()}
+                keys = np.array([names[c][w] for c, w in zip(content[at].tolist(), window[at].tolist(), strict=True)], dtype="V16").view([("hi", "<u8"), ("lo", "<u8")])
+                _, same = np.unique(keys, return_inverse=True)
+                low = np.full(same.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(low, same, least[at])
+                least[at] = low[same]
             own = rows["min_doc"].to_numpy(np.int64)
             hit = least < own[content]
             mask = np.zeros(len(rows), np.uint64)
@@ -197,19 +220,14 @@ def _masks(resolve: Resolve):
 
 
 def _window_rows(resolve: Resolve, kind: Kind):
-    """Many contents per anchor: the classes of each piece, named by a 128-bit hash of the window."""
-    from hashlib import blake2b
+    """An anchor's contents are spread over tasks: the classes of each piece, by window name, to be merged by Spark."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, contents, ids in _pieces(frames, HOT):
+        for rows, contents, ids in _pieces(frames, PIECE):
             content, window, least = resolve(contents, ids)
-            flat = rows["content"].tolist()
-            if kind.window == 50:
-                names = [blake2b(flat[c][w : w + kind.window], digest_size=16).digest() for c, w in zip(content.tolist(), window.tolist(), strict=True)]
-            else:
-                words = [x.split(b" ") for x in flat]
-                names = [blake2b(b" ".join(words[c][w : w + kind.window]), digest_size=16).digest() for c, w in zip(content.tolist(), window.tolist(), strict=True)]
-            yield pd.DataFrame({"name": names, "least": least, "a": rows["a"].to_numpy()[content], "c": rows["c"].to_numpy()[content], "min_doc": rows["min_doc"].to_numpy()[content], "window": window})
+            names = [_names(kind, x) for x in rows["content"]]
+            named = [names[c][w] for c, w in zip(content.tolist(), window.tolist(), strict=True)]
+            yield pd.DataFrame({"name": named, "least": least, "a": rows["a"].to_numpy()[content], "c": rows["c"].to_numpy()[content], "min_doc": rows["min_doc"].to_numpy()[content], "window": window})
 
     return run
 
@@ -243,7 +261,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, resolve: Resolve) -> tuple[Dat
     several = store(contents.groupBy("a").agg(F.count("*").alias("of"), F.min("min_doc").alias("lo"), F.max("max_doc").alias("hi")).where("of > 1 and lo < hi").select("a", "of"), "several")
     few = contents.join(several.where(F.col("of") <= HOT), "a").select("a", "c", "content", "min_doc")
     schema = "a long, c long, min_doc long, mask long"
-    masks = few.repartition(shards, "a").sortWithinPartitions("a", "min_doc", "content").mapInPandas(_masks(resolve), schema)
+    masks = few.repartition(shards, "a").sortWithinPartitions("a", "min_doc", "content").mapInPandas(_masks(resolve, kind), schema)
     many = contents.join(several.where(F.col("of") > HOT), "a").select("a", "c", "content", "min_doc")
     windows = store(many.mapInPandas(_window_rows(resolve, kind), "name binary, least long, a long, c long, min_doc long, window int"), "windows")
     merged = windows.groupBy("name").agg(F.min("least").alias("lowest"), F.max("min_doc").alias("high")).where("lowest < high").select("name", "lowest")

@@ -78,8 +78,8 @@ def test_words(spark):
         assert got == brute_words(rows)
 
 
-def test_a_hot_anchor_is_classed_in_pieces(spark, monkeypatch):
-    """A passage before 70 different continuations: more contents than HOT under the passage's last anchors."""
+def test_a_hot_anchor_is_classed_in_pieces(spark):
+    """A passage before 70 different continuations: more contents than PIECE under the passage's last anchors."""
     rows = corpus(5, 12)
     passage = " ".join(f"shared{i}" for i in range(40))
     rows += [(1000 + i, f"{i * 7919} {passage} {i * 104729} own {i} tail of text {i * 31} that goes on {i * 17} for a while") for i in range(70)]
@@ -89,6 +89,13 @@ def test_a_hot_anchor_is_classed_in_pieces(spark, monkeypatch):
     assert got == brute_words(rows)
 
 
+def test_a_hotter_anchor_is_classed_on_any_task(spark, monkeypatch):
+    monkeypatch.setattr("contactry.llm.repeats.HOT", 1)
+    rows = corpus(2)
+    assert {r[0]: tuple(r)[1:] for r in dedup_substrings(table(spark, rows)).collect()} == brute_bytes(rows)
+    assert {r[0]: tuple(r)[1:] for r in dedup_phrases(table(spark, rows)).collect()} == brute_words(rows)
+
+
 def test_empty_and_odd_rows(spark):
     assert dedup_substrings(table(spark, [])).count() == 0
     assert dedup_phrases(table(spark, [])).count() == 0
