@@ -6,24 +6,68 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup
+from .ann import search
 from .common import read_table
+from .language_id import identify
+from .license_scan import scan_licenses
+from .minhash import near_duplicates
+from .packing import pack
 from .phrase_dedup import dedup_phrases
+from .pii import scan_pii
 from .suffix_dedup import dedup_substrings
+from .unigram import encode_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read_table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op4_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_phrases(read_table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
+def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_pii(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_suffix_dedup": op2_suffix_dedup, "op4_phrase_dedup": op4_phrase_dedup}
+    every = (
+        op1_exact_dedup, op2_suffix_dedup, op3_packing, op4_phrase_dedup, op5_minhash,
+        op6_licenses, op7_language_id, op8_unigram, op9_ann, op10_pii,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_dedup": exact_dedup.ORACLE}
