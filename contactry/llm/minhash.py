@@ -5,9 +5,9 @@ arrival falls on a random register, and a register keeps the shingle of its earl
 soon as no arrival can come before the latest register. Two documents agree in a register with their probability
 Jaccard similarity, which for equal weights is the Jaccard similarity.
 
-Bands of registers give candidates. A band's documents are linked to its smallest one if they are similar indeed;
-documents of a band that are then in different classes are compared with each other, so that no candidate pair is
-left both unlinked and unverified. Classes are the connected components of the verified links.
+Bands of registers give candidates. In turns, a band's documents are compared with a centre of it, one turn after
+another with other centres, as long as they are in different classes; similar ones join classes. What is then still
+in different classes of a band is compared in full, so that no candidate pair is left both apart and unverified.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Turns of linking to centres, before what is still in different classes is compared in full.
+ROUNDS = 5
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -143,6 +145,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInPandas(_verify(threshold), "src long, dst long")
 
 
+def _to_centres(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a band's documents with its centre (another one each turn) where their classes differ.
+
+    In the first turn a document takes one centre only, later one of every foreign class that it meets.
+    """
+    order = F.xxhash64("node", F.lit(turn))
+    centres = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order, "node", "label")).alias("c"))
+    centres = centres.where("lo < hi").select("band", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"))
+    met = placed.join(centres, "band").where("label <> centre_label")
+    met = met.groupBy(*["node"] + ["centre_label"] * (turn > 0)).agg(F.min("centre").alias("centre"))
+    return met.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
+
+
+def _left_open(placed: DataFrame) -> DataFrame:
+    """All pairs of a band in different classes, but for those within its main class."""
+    main = placed.groupBy("band", "label").agg(F.count("*").alias("of")).groupBy("band").agg(F.max_by("label", F.struct("of", "label")).alias("main"), F.count("*").alias("classes"))
+    both = placed.join(main.where("classes > 1"), "band")
+    strays = both.where("label <> main").select("band", F.col("node").alias("stray"), F.col("label").alias("stray_label"))
+    return both.join(strays, "band").where("stray_label <> label").select(F.least("stray", "node").alias("src"), F.greatest("stray", "node").alias("dst")).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the classes at both ends of each link are one."""
+    ends = links.join(labels.withColumnRenamed("node", "src").withColumnRenamed("label", "a"), "src").join(labels.withColumnRenamed("node", "dst").withColumnRenamed("label", "b"), "dst")
+    edges = store(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "edges")
+    joined = connected_components(edges, lambda df: store(df, "stars")).select(F.col("node").alias("label"), F.col("label").alias("one"))
+    return store(labels.join(joined, "label", "left").select("node", F.coalesce("one", "label").alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """Per document: doc_id, class_id, class_size, kept, text_hash (xxhash64 of the text).
 
@@ -159,34 +190,22 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     known = sketches.where("node is not null")
     nodes = store(known.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"), F.any_value("bands").alias("bands")), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
-    full = store(bands.groupBy("band").agg(F.min("node").alias("src"), F.count("*").alias("of")).where("of > 1"), "bands")
-    stars = bands.join(full, "band").select("src", F.col("node").alias("dst"), "band")
-    stars = store(stars, "stars")
-    pairs = store(stars.where("src <> dst").select("src", "dst").distinct(), "pairs")
-
-    wanted = stars.select(F.col("dst").alias("node")).distinct().join(nodes.select("node", "least"), "node").select(F.col("least").alias("doc_id"), "node")
+    shared = bands.groupBy("band").agg(F.count("*").alias("of")).where("of > 1").select("band")
+    placed = store(bands.join(shared, "band"), "bands")
+    labels = store(placed.select("node", F.col("node").alias("label")).distinct(), "labels")
+    wanted = labels.join(nodes.select("node", "least"), "node").select(F.col("least").alias("doc_id"), "node")
     sets = store(texts.join(wanted, "doc_id").mapInPandas(_as_sets, "node long, keys binary, counts binary").dropDuplicates(["node"]), "sets")
-    links = store(_verified(pairs, sets, threshold), "links")
-    labels = store(connected_components(links, lambda df: store(df, "labels")), "classes")
-
-    placed = stars.select("band", F.col("dst").alias("node")).join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    placed = store(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    open_bands = store(placed.join(mixed, "band"), "open")
-    parts = open_bands.groupBy("band", "label").agg(F.count("*").alias("of"))
-    main = parts.groupBy("band").agg(F.max_by("label", F.struct("of", "label")).alias("main"))
-    sides = store(open_bands.join(main, "band"), "sides")
-    strays = sides.where("label <> main").select("band", F.col("node").alias("stray"), F.col("label").alias("stray_label"))
-    across = (
-        strays.join(open_bands, "band")
-        .where("stray_label <> label")
-        .select(F.least("stray", "node").alias("src"), F.greatest("stray", "node").alias("dst"))
-        .distinct()
-        .join(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], "left_anti")
-    )
-    more = store(_verified(across, sets, threshold), "more-links")
-    if not more.isEmpty():
-        labels = store(connected_components(links.unionByName(more), lambda df: store(df, "labels")), "classes")
+
+    tried = None
+    for turn in range(ROUNDS):
+        pairs = store(_to_centres(placed.join(labels, "node"), turn), "pairs")
+        if pairs.isEmpty():
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        labels = _merged(labels, store(_verified(pairs, sets, threshold), "links"))
+    else:
+        pairs = store(_left_open(placed.join(labels, "node")).join(tried, ["src", "dst"], "left_anti"), "pairs")
+        labels = _merged(labels, store(_verified(pairs, sets, threshold), "links"))
 
     named = nodes.select("node", "least", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("members").alias("class_size"))
