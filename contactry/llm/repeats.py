@@ -253,11 +253,11 @@ def repeated_windows(docs: DataFrame, kind: Kind, resolve: Resolve) -> tuple[Dat
     found = keyed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
         _segments_of_chunk(kind, shards), "a long, chunk long, doc_id long, ident long, first int, n int, content binary"
     )
-    segments = store(found.withColumn("c", F.xxhash64("content")), "segments")
+    named = F.xxhash64("content")  # with the anchor, a content's name; cheaper to compute again than to store
+    segments = store(found, "segments").withColumn("c", named)
 
-    contents = store(
-        segments.groupBy("a", "c", "content").agg(F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc")), "contents"
-    )
+    contents = segments.groupBy("a", "content").agg(F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"))
+    contents = store(contents, "contents").withColumn("c", named)
     several = store(contents.groupBy("a").agg(F.count("*").alias("of"), F.min("min_doc").alias("lo"), F.max("max_doc").alias("hi")).where("of > 1 and lo < hi").select("a", "of"), "several")
     few = contents.join(several.where(F.col("of") <= HOT), "a").select("a", "c", "content", "min_doc")
     schema = "a long, c long, min_doc long, mask long"
