@@ -1,0 +1 @@
+"""Contact and demand analytics on Spark DataFrames."""
