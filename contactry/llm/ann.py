@@ -106,22 +106,19 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.empty((0, 1))
 
 
-def top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k best rows of every query but itself: (query, row, score); ``ids`` ascend, ties go to the smaller."""
-    out = []
-    for b in range(0, len(queries), 64):
-        # products summed the same way for every row, so that equal vectors get equal scores
-        scores = np.einsum("qd,nd->qn", queries[b : b + 64], rows)
-        for q, own in zip(query_ids[b : b + 64].tolist(), scores, strict=True):
-            own = np.where(ids == q, -np.inf, own)
-            if len(own) > k:
-                least = np.partition(own, len(own) - k)[len(own) - k]
-                at = np.flatnonzero(own >= least)
-            else:
-                at = np.arange(len(own))
-            at = at[np.argsort(-own[at], kind="stable")][:k]
-            out += [(q, int(ids[i]), float(own[i])) for i in at if own[i] > -np.inf]
-    return out
+def top(query: np.ndarray, own_id: int, rows: np.ndarray, ids: np.ndarray, rough: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """The k best of the given rows but the query's own: (query, row, score); ``ids`` ascend, ties go to the smaller.
+
+    ``rough`` are the rows' products up to rounding. The score of every row that could be among the best is summed
+    again, the same way wherever it stands, so that equal vectors have equal scores.
+    """
+    at = np.flatnonzero(ids != own_id)
+    if len(at) > k:
+        least = np.partition(rough[at], len(at) - k)[len(at) - k]
+        at = at[rough[at] >= least - 1e-9 * max(1.0, abs(least))]
+    score = (rows[at] * query).sum(1)
+    best = np.argsort(-score, kind="stable")[:k]
+    return [(own_id, i, s) for i, s in zip(ids[at[best]].tolist(), score[best].tolist(), strict=True)]
 
 
 def _block_top(k: int):
@@ -130,15 +127,21 @@ def _block_top(k: int):
         if len(rows) and len(queries):
             rows = rows.sort_values("vec_id")
             x, ids, leaf = _matrix(rows["v"]), rows["vec_id"].to_numpy(), rows["leaf"].to_numpy()
-            asked, qid = _matrix(queries["v"]), queries["vec_id"].to_numpy()
-            wants = [set(w) if w is not None else None for w in queries["leaves"]]
-            for one in np.unique(leaf):
-                own = leaf == one
-                at = np.array([i for i, w in enumerate(wants) if w is None or one in w], np.int64)
-                if len(at):
-                    found += top(asked[at], qid[at], x[own], ids[own], k)
-        got = pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-        return got.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+            for low in range(0, len(queries), 64):
+                part = queries.iloc[low : low + 64]
+                asked = _matrix(part["v"])
+                wanted = np.ones((len(part), int(leaf.max()) + 1), bool)
+                for i, leaves in enumerate(part["leaves"]):
+                    if leaves is not None:
+                        wanted[i] = False
+                        wanted[i, leaves[leaves < wanted.shape[1]]] = True
+                any_of = np.flatnonzero(wanted.any(0)[leaf])  # rows in a leaf that one of these queries visits
+                own_x, own_ids, own_leaf = x[any_of], ids[any_of], leaf[any_of]
+                rough = asked @ own_x.T
+                for i, q in enumerate(part["vec_id"].tolist()):
+                    at = np.flatnonzero(wanted[i][own_leaf])
+                    found += top(asked[i], q, own_x[at], own_ids[at], rough[i][at], k)
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     return run
 
