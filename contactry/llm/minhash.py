@@ -8,10 +8,16 @@ Jaccard similarity, which for equal weights is the Jaccard similarity.
 Bands of registers give candidates. In turns, a band's documents are compared with a centre of it, one turn after
 another with other centres, as long as they are in different classes; similar ones join classes. What is then still
 in different classes of a band is compared in full, so that no candidate pair is left both apart and unverified.
+
+After the first turn pairs are left out that provably stay under the threshold. Let a and b be the shares of the
+weight of two documents on shingles that the other lacks: their similarity is at most (1 - a)(1 - b) / (1 - ab), which
+falls in both. Shingles that no other open document has, and the difference in the number of shingles, bound a and b
+from below; so each document has a size and a largest size it can be similar to (``_reach``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +37,10 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Turns of linking to centres, before what is still in different classes is compared in full.
 ROUNDS = 5
+#: Bytes of a shingle's hash in a stored set.
+KEY = 6
+#: Ratio of the bounds of one bin of sizes.
+BIN = 1.02
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -122,16 +132,31 @@ def _as_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for node, text in zip(frame["node"], frame["text"], strict=True):
             s = shingles(text)
             if len(s[0]) and _signed(text, s) == node:
-                out.append((node, s[0].tobytes(), s[1].astype("<u4").tobytes()))
-        yield pd.DataFrame(out, columns=["node", "keys", "counts"])
+                keys = np.ascontiguousarray(s[0].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEY :])
+                keys, where = np.unique(keys.view(f"V{KEY}").ravel(), return_inverse=True)
+                counts = np.bincount(where, s[1]).astype("<u4")
+                out.append((node, keys.tobytes(), counts.tobytes(), len(keys), int(counts.sum(dtype=np.int64))))
+        yield pd.DataFrame(out, columns=["node", "keys", "counts", "n", "total"])
+
+
+def _read_set(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((len(keys) // KEY, 8), np.uint8)
+    wide[:, 8 - KEY :] = np.frombuffer(keys, np.uint8).reshape(-1, KEY)
+    return wide.view("<u8").ravel(), np.frombuffer(counts, "<u4").astype(np.int64)
+
+
+def _set_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for node, keys, counts in zip(frame["node"], frame["keys"], frame["counts"], strict=True):
+            shingle, weight = _read_set(keys, counts)
+            yield pd.DataFrame({"node": node, "shingle": shingle.view(np.int64), "weight": weight})
 
 
 def _verify(threshold: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = lambda k, c: (np.frombuffer(k, _U), np.frombuffer(c, "<u4").astype(np.int64))
         for frame in frames:
             ok = [
-                min(len(ka), len(kb)) and probability_jaccard(read(ka, ca), read(kb, cb)) >= threshold
+                min(len(ka), len(kb)) and probability_jaccard(_read_set(ka, ca), _read_set(kb, cb)) >= threshold
                 for ka, ca, kb, cb in zip(frame["keys"], frame["counts"], frame["other_keys"], frame["other_counts"], strict=True)
             ]
             yield frame.loc[np.array(ok, bool), ["src", "dst"]]
@@ -145,25 +170,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInPandas(_verify(threshold), "src long, dst long")
 
 
-def _to_centres(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a band's documents with its centre (another one each turn) where their classes differ.
+def _to_central(placed: DataFrame) -> DataFrame:
+    """First turn: pairs of each document with the most central document of one of its bands.
 
-    In the first turn a document takes one centre only, later one of every foreign class that it meets.
+    A document is the more central the more documents share its bands.
     """
-    order = F.xxhash64("node", F.lit(turn))
-    centres = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order, "node", "label")).alias("c"))
-    centres = centres.where("lo < hi").select("band", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"))
-    met = placed.join(centres, "band").where("label <> centre_label")
-    met = met.groupBy(*["node"] + ["centre_label"] * (turn > 0)).agg(F.min("centre").alias("centre"))
+    sizes = placed.groupBy("band").agg(F.count("*").alias("of"))
+    central = placed.join(sizes, "band").groupBy("node").agg(F.sum("of").alias("central"))
+    ranked = placed.join(central, "node")
+    centres = ranked.groupBy("band").agg(F.max(F.struct("central", "node")).alias("centre"))
+    best = placed.join(centres, "band").groupBy("node").agg(F.max("centre").alias("centre"))
+    pairs = best.select("node", F.col("centre.node").alias("centre")).where("node <> centre")
+    return pairs.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
+
+
+def _open(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The bands that hold several classes."""
+    ends = placed.join(labels, "node").groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return placed.join(ends.where("lo < hi").select("band"), "band")
+
+
+def _reach(sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """node, n (shingles), size, most: two of ``nodes`` are similar only if each one's size is at most the other's most.
+
+    With own: shingles that no other of ``nodes`` has, u: their share of the weight. Another document y has at most
+    n - own common shingles, so its share b on further ones is at least (n_y - (n - own)) / total_y; the threshold
+    allows b up to (1 - u - t) / (1 - u - t u), at most 1 - t. Solved for n_y, less what repeats of shingles in y
+    can make up, this is size <= most.
+    """
+    mine = sets.join(nodes, "node", "left_semi")
+    rows = mine.select("node", "keys", "counts").mapInPandas(_set_rows, "node long, shingle long, weight long")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("of"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("of = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("own"), F.sum("weight").alias("own_weight"))
+    share = F.coalesce(F.col("own_weight") / F.col("total"), F.lit(0.0))
+    told = mine.select("node", "n", "total").join(own, "node", "left").withColumn("u", share)
+    limit = F.greatest(1 - F.col("u") - threshold, F.lit(0.0)) / (1 - F.col("u") - threshold * F.col("u"))
+    most = (F.col("n") - F.coalesce("own", F.lit(0))) / (1 - limit) * (1 + 1e-9)
+    return told.select(
+        "node", "n", (F.col("n") - (1 - threshold) / threshold * (F.col("total") - F.col("n"))).alias("size"),
+        F.when(F.col("u") <= 1 - threshold + 1e-9, most).otherwise(float("-inf")).alias("most"),
+    )
+
+
+def _to_centres(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a band's documents with its centre (another one each turn) where classes differ and sizes allow it."""
+    order = F.struct(F.col("most") < F.col("size"), F.xxhash64("node", F.lit(turn)), "node", "label", "size", "most")
+    centres = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("c"))
+    centres = centres.where("lo < hi").select("band", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"), F.col("c.size").alias("c_size"), F.col("c.most").alias("c_most"))
+    met = placed.join(centres, "band").where("label <> centre_label and size <= c_most and c_size <= most")
+    met = met.groupBy("node", "centre_label").agg(F.min("centre").alias("centre"))
     return met.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
 
 
-def _left_open(placed: DataFrame) -> DataFrame:
-    """All pairs of a band in different classes, but for those within its main class."""
+def _left_open(placed: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of a band in different classes, but for those within its main class, that sizes allow.
+
+    Documents meet by bins of size, so those that can be similar to nothing in their band meet nothing.
+    """
     main = placed.groupBy("band", "label").agg(F.count("*").alias("of")).groupBy("band").agg(F.max_by("label", F.struct("of", "label")).alias("main"), F.count("*").alias("classes"))
     both = placed.join(main.where("classes > 1"), "band")
-    strays = both.where("label <> main").select("band", F.col("node").alias("stray"), F.col("label").alias("stray_label"))
-    return both.join(strays, "band").where("stray_label <> label").select(F.least("stray", "node").alias("src"), F.greatest("stray", "node").alias("dst")).distinct()
+    bin_of = lambda v: F.floor(F.log(F.greatest(v, F.lit(1.0))) / math.log(BIN)).cast("int")
+    low = threshold * F.col("size") * (1 - 1e-9)
+    strays = both.where((F.col("label") != F.col("main")) & (F.col("most") >= low))
+    strays = strays.withColumn("s_low", bin_of(low)).select(
+        "band", F.col("node").alias("stray"), F.col("label").alias("s_label"), F.col("size").alias("s_size"), F.col("most").alias("s_most"),
+        "s_low", F.explode(F.sequence("s_low", F.greatest("s_low", bin_of(F.col("most"))))).alias("bin"),
+    )
+    others = both.withColumn("low", bin_of(F.col("size"))).withColumn("bin", F.explode(F.sequence("low", F.greatest("low", bin_of(F.col("n"))))))
+    allowed = "s_label <> label and s_size <= most and size <= s_most and bin = greatest(low, s_low) and (label = main or stray < node)"
+    met = others.join(strays, ["band", "bin"]).where(allowed)
+    return met.select(F.least("stray", "node").alias("src"), F.greatest("stray", "node").alias("dst")).distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -194,17 +270,21 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     placed = store(bands.join(shared, "band"), "bands")
     labels = store(placed.select("node", F.col("node").alias("label")).distinct(), "labels")
     wanted = labels.join(nodes.select("node", "least"), "node").select(F.col("least").alias("doc_id"), "node")
-    sets = store(texts.join(wanted, "doc_id").mapInPandas(_as_sets, "node long, keys binary, counts binary").dropDuplicates(["node"]), "sets")
-
-    tried = None
-    for turn in range(ROUNDS):
-        pairs = store(_to_centres(placed.join(labels, "node"), turn), "pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = _merged(labels, store(_verified(pairs, sets, threshold), "links"))
-    else:
-        pairs = store(_left_open(placed.join(labels, "node")).join(tried, ["src", "dst"], "left_anti"), "pairs")
+    sets = store(texts.join(wanted, "doc_id").mapInPandas(_as_sets, "node long, keys binary, counts binary, n int, total long").dropDuplicates(["node"]), "sets")
+
+    tried = store(_to_central(placed), "pairs")
+    labels = _merged(labels, store(_verified(tried, sets, threshold), "links"))
+    placed = store(_open(placed, labels), "bands")
+    if not placed.isEmpty():
+        reach = store(_reach(sets, placed.select("node").distinct(), threshold), "reach")
+        placed = store(placed.join(reach, "node"), "bands")
+        for turn in range(1, ROUNDS):
+            pairs = store(_to_centres(placed.join(labels, "node"), turn).join(tried, ["src", "dst"], "left_anti"), "pairs")
+            if pairs.isEmpty():
+                break
+            tried = tried.unionByName(pairs)
+            labels = _merged(labels, store(_verified(pairs, sets, threshold), "links"))
+        pairs = store(_left_open(placed.join(labels, "node"), threshold).join(tried, ["src", "dst"], "left_anti"), "pairs")
         labels = _merged(labels, store(_verified(pairs, sets, threshold), "links"))
 
     named = nodes.select("node", "least", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -174,6 +174,29 @@ def test_near_duplicates(spark):
     assert sorted(sorted(c) for c in classes.values()) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_near_duplicates_with_many_members_apart(spark, monkeypatch, rounds):
+    """Members with few to many edits, repeated and cut passages: the last comparison loses no link."""
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    rnd = random.Random(rounds)
+    base = [f"w{rnd.randrange(400)}" for _ in range(110)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for at in rnd.sample(range(len(own)), rnd.randint(0, 9)):
+            own[at] = f"x{rnd.randrange(6)}"
+        if i % 4 == 0:
+            own = own[: rnd.randint(80, 110)]
+        if i % 5 == 0:
+            own += own[-rnd.randint(5, 30) :] * rnd.randint(1, 3)
+        rows.append((i, " ".join(own)))
+    got = defaultdict(list)
+    for r in rows_of(minhash.near_duplicates(table(spark, rows))):
+        got[r["class_id"]].append(r["doc_id"])
+    assert len(got) > 5
+    assert sorted(sorted(c) for c in got.values()) == brute_classes(rows)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
     got = rows_of(minhash.near_duplicates(table(spark, [(1, None), (2, ""), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")])))
