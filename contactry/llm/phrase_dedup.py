@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from . import textscan
 from .common import outer_id
-from .repeats import Kind, cover, marked, repeated_windows
+from .repeats import Kind, cover, marked, notes_by_document, repeated_windows
 
 WINDOW = 20
 
@@ -92,20 +92,20 @@ def _earlier_inside(units: np.ndarray, joined: bytes, starts: np.ndarray, ends:
 
 
 def _apply(docs: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-    told = {key: part for key, part in notes.groupby(["doc_id", "ident"], sort=False)}
+    told = notes_by_document(notes)
     out = []
     for doc_id, ident, text in zip(docs["doc_id"], docs["ident"], docs["text"], strict=True):
         joined, units, starts, ends = _prepare(text)
         n = len(units)
-        part = told.get((doc_id, ident))
+        noted = (doc_id, ident) in told
         if n < WINDOW:
             gone = np.zeros(n, bool)
-        elif part is not None and part["first"].isna().any():  # a copy of a smaller document
+        elif noted and told[doc_id, ident] is None:  # a copy of a smaller document
             gone = np.ones(n, bool)
         else:
             gone = cover(_earlier_inside(units, joined, starts, ends), n, WINDOW)
-            if part is not None:
-                gone |= marked(n, WINDOW, part)
+            if noted:
+                gone |= marked(n, WINDOW, told[doc_id, ident])
         kept = joined
         if gone.any():
             keep = np.flatnonzero(~gone)

@@ -129,7 +129,7 @@ def _segments_of_chunk(kind: Kind, shards: int):
         marks = told["keys"].notna()
         copies = set(zip(told.loc[~marks, "doc_id"], told.loc[~marks, "ident"], strict=True))
         repeated = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in told.loc[marks, "keys"]] or [np.empty(0, np.uint64)]))
-        out, done = [], set()
+        out, content, done = [], [], set()
         chunk = int(docs["chunk"].iloc[0]) if len(docs) else 0
         for doc_id, ident, text in zip(docs["doc_id"], docs["ident"], docs["text"], strict=True):
             if not len(repeated) or (doc_id, ident) in copies or (doc_id, ident) in done:
@@ -141,8 +141,10 @@ def _segments_of_chunk(kind: Kind, shards: int):
             hit[hit == len(repeated)] = 0
             at = np.flatnonzero(repeated[hit] == full)
             if len(at):
-                out.append(pd.DataFrame({"a": keys[at].view(np.int64), "chunk": chunk, "doc_id": doc_id, "ident": ident, "first": first[at], "n": count[at], "content": kind.cut(data, starts, ends, first[at], count[at])}, columns=columns))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in columns}).astype({"a": "int64", "chunk": "int64", "doc_id": "int64", "ident": "int64", "first": "int64", "n": "int64"})
+                out.append((keys[at].view(np.int64), np.full(len(at), doc_id, np.int64), np.full(len(at), ident, np.int64), first[at], count[at]))
+                content += kind.cut(data, starts, ends, first[at], count[at])
+        a, doc_id, ident, first, n = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.empty(0, np.int64)] * 5
+        return pd.DataFrame({"a": a, "chunk": np.full(len(a), chunk), "doc_id": doc_id, "ident": ident, "first": first, "n": n, "content": content}, columns=columns)
 
     return cut
 
@@ -247,7 +249,8 @@ def repeated_windows(docs: DataFrame, kind: Kind, resolve: Resolve) -> tuple[Dat
 
     blocks = keyed.select("chunk", "ident", "text").mapInPandas(_anchor_blocks(kind, shards), "shard int, chunk long, keys binary, nth binary, idents binary")
     answers = store(blocks.groupBy("shard").applyInPandas(_repeated_in_shard, "chunk long, keys binary"), "anchors")
-    told = answers.select("chunk", "keys", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("ident")).unionByName(
+    none = F.lit(0).cast("long")  # not null: pandas would turn the idents of copies into floats
+    told = answers.select("chunk", "keys", none.alias("doc_id"), none.alias("ident")).unionByName(
         copies.select("chunk", F.lit(None).cast("binary").alias("keys"), "doc_id", "ident")
     )
     found = keyed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
@@ -279,17 +282,35 @@ def repeated_windows(docs: DataFrame, kind: Kind, resolve: Resolve) -> tuple[Dat
     return keyed, store(notes, "notes")
 
 
-def marked(n_units: int, window: int, notes: pd.DataFrame) -> np.ndarray:
+Notes = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def notes_by_document(notes: pd.DataFrame) -> dict[tuple[int, int], Notes | None]:
+    """first, n and mask of the notes on each (doc_id, ident) of a chunk; None for a copy of a smaller document."""
+    doc_id, ident = notes["doc_id"].to_numpy(np.int64), notes["ident"].to_numpy(np.int64)
+    order = np.lexsort((ident, doc_id))
+    doc_id, ident = doc_id[order], ident[order]
+    copied = notes["first"].isna().to_numpy()[order]
+    first, n, mask = (notes[c].fillna(0).to_numpy(np.int64)[order] for c in ("first", "n", "mask"))
+    change = np.ones(len(order), bool)
+    change[1:] = (doc_id[1:] != doc_id[:-1]) | (ident[1:] != ident[:-1])
+    cuts = np.append(np.flatnonzero(change), len(order)).tolist()
+    return {
+        (int(doc_id[a]), int(ident[a])): None if copied[a:b].any() else (first[a:b], n[a:b], mask[a:b])
+        for a, b in zip(cuts, cuts[1:], strict=False)
+    }
+
+
+def marked(n_units: int, window: int, notes: Notes) -> np.ndarray:
     """Which units are covered by a repeated window."""
     starts = np.zeros(max(n_units - window + 1, 0), bool)
-    first, n, mask = (notes[c].to_numpy() for c in ("first", "n", "mask"))
+    first, n, mask = notes
     whole = mask == -1
     edge = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(edge, first[whole].astype(np.int64), 1)
-    np.add.at(edge, (first[whole] + n[whole]).astype(np.int64), -1)
+    np.add.at(edge, first[whole], 1)
+    np.add.at(edge, first[whole] + n[whole], -1)
     starts |= np.cumsum(edge)[:-1] > 0
-    bits = mask[~whole].astype(np.int64)
-    at = first[~whole].astype(np.int64)
+    bits, at = mask[~whole], first[~whole]
     for b in range(textscan.RUN):
         some = (bits >> b) & 1 == 1
         starts[at[some] + b] = True

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from . import textscan
 from .common import outer_id
-from .repeats import Kind, marked, repeated_windows
+from .repeats import Kind, marked, notes_by_document, repeated_windows
 
 WINDOW = 50
 BYTES = Kind(WINDOW, 20, lambda text: (text, textscan.byte_units(text), None, None))
@@ -157,14 +157,14 @@ def window_classes(contents: list[list[bytes]], ids: list[np.ndarray], window: i
 
 
 def _apply(docs: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-    told = {key: part for key, part in notes.groupby(["doc_id", "ident"], sort=False)}
+    told = notes_by_document(notes)
     out = []
     for doc_id, ident, text in zip(docs["doc_id"], docs["ident"], docs["text"], strict=True):
-        part = told.get((doc_id, ident))
-        if part is None or len(text) < WINDOW:
+        if (doc_id, ident) not in told or len(text) < WINDOW:
             out.append((doc_id, len(text), 0, 0, hashlib.sha256(text).hexdigest(), text))
             continue
-        if part["first"].isna().any():  # a copy of a smaller document
+        part = told[doc_id, ident]
+        if part is None:  # a copy of a smaller document
             out.append((doc_id, len(text), len(text), 1, hashlib.sha256(b"").hexdigest(), b""))
             continue
         gone = marked(len(text), WINDOW, part)
