@@ -3,7 +3,7 @@
 The tree is fitted on a bounded sample and has a bounded number of leaves; every row is indexed under its leaf.
 A query walks the tree best bin first through a priority queue, which orders all leaves for it; it visits the first
 ones, as many as a calibration against brute force (a fixed number of queries, all rows) needs for the wanted
-recall. Rows of a leaf are spread over cells by id, so that a leaf that holds most rows is no single task.
+recall, and goes on while they hold fewer other rows than it wants neighbours. Rows of a leaf are spread over cells by id, so that a leaf that holds most rows is no single task.
 """
 
 from __future__ import annotations
@@ -85,13 +85,17 @@ class Tree:
                     todo.append((child, part))
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of a best-bin-first walk: the open bin with the largest inner product is next."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visit(self, query: np.ndarray, least: int, rows_of: np.ndarray, rows: int) -> list[int]:
+        """Leaves in the order of a best-bin-first walk: the open bin with the largest inner product is next.
+
+        The walk ends when it has met ``least`` leaves and, by the counts of ``rows_of``, ``rows`` rows, or all leaves.
+        """
+        queue, out, met = [(0.0, 0)], [], 0
+        while queue and (len(out) < least or met < rows):
             _, node = heapq.heappop(queue)
             if node < 0:
                 out.append(-1 - node)
+                met += int(rows_of[-1 - node])
                 continue
             for score, child in zip((self.centroids[node] @ query).tolist(), self.children[node], strict=True):
                 heapq.heappush(queue, (-score, child))
@@ -186,13 +190,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, recall: flo
         rows.mapInPandas(place, "vec_id long, v array<double>, leaf long").withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(n_cells)).cast("int")), "index"
     )
     queries = rows.where(F.col("vec_id") % every == 0)
+    rows_of = np.zeros(tree.n_leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # one row a leaf; the tree has at most SAMPLE_ROWS leaves
+        rows_of[r["leaf"]] = r["count"]
 
     def ask(asked: DataFrame, most: int | None) -> DataFrame:
         """Queries sent to every cell, with the leaves to visit there (none: all)."""
 
         def walk(frames):
             for frame in frames:
-                leaves = [None] * len(frame) if most is None else [shared.value.visit(q, most) for q in frame["v"]]
+                leaves = [None] * len(frame) if most is None else [shared.value.visit(q, most, rows_of, k + 1) for q in frame["v"]]  # k and its own
                 yield pd.DataFrame({"vec_id": frame["vec_id"], "v": frame["v"], "leaves": leaves})
 
         sent = asked.select("vec_id", "v").mapInPandas(walk, "vec_id long, v array<double>, leaves array<long>")
@@ -204,7 +211,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, recall: flo
     vector_of = {r.vec_id: np.array(r.v) for r in trial.collect()}
     place_of = []
     for r in truth.collect():  # at most CALIBRATION_QUERIES rows of k leaves
-        order = {leaf: i for i, leaf in enumerate(tree.visit(vector_of[r.query_id], tree.n_leaves))}
+        order = {leaf: i for i, leaf in enumerate(tree.visit(vector_of[r.query_id], tree.n_leaves, rows_of, 0))}
         place_of += [order[leaf] for leaf in r.leaves]
     most = int(np.quantile(place_of, recall, method="higher")) + 1 if place_of else tree.n_leaves
     found = _best(ask(queries, most), k)

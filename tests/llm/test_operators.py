@@ -347,6 +347,22 @@ def test_search(spark):
     assert ann.search(df.where("vec_id < 0")).count() == 0
 
 
+def test_search_fills_the_list_of_isolated_vectors(spark):
+    x = np.zeros((4000, 8))
+    x[:, 0] = 10.0  # copies, whose neighbours are all in one leaf
+    for i in range(1, 4):
+        x[1000 * i] = 0.0
+        x[1000 * i, i] = -1.0 - i  # queries, each in a leaf of its own
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    assert sorted(got) == list(range(0, 4000, 20))
+    for q, found in got.items():
+        assert [r for r, _ in sorted(found)] == list(range(1, 21)), q
+        assert len({v for _, v in found} - {q}) == 20
+
+
 # 10 personal data
 
 
