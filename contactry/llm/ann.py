@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample and has a bounded number of leaves; every row is indexed under its leaf.
 A query walks the tree best bin first through a priority queue, which orders all leaves for it; it visits the first
 ones, as many as a calibration against brute force (a fixed number of queries, all rows) needs for the wanted
-recall, and goes on while they hold fewer other rows than it wants neighbours. Rows of a leaf are spread over cells by id, so that a leaf that holds most rows is no single task.
+recall, and goes on while they hold fewer other rows than it wants neighbours. A cell holds the rows of neighbouring small leaves, or by id a share of a large leaf's. A query is sent
+to the cells of its leaves, in blocks: a task keeps the rows of one cell and lets the queries of a block stream by.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ CALIBRATION_QUERIES = 128
 RECALL = 0.97
 NEIGHBOURS = 20
 ROWS_PER_CELL = 8192
+QUERIES_PER_BLOCK = 32_768
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -125,27 +127,76 @@ def top(query: np.ndarray, own_id: int, rows: np.ndarray, ids: np.ndarray, rough
     return [(own_id, i, s) for i, s in zip(ids[at[best]].tolist(), score[best].tolist(), strict=True)]
 
 
-def _block_top(k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, float]] = []
-        if len(rows) and len(queries):
-            rows = rows.sort_values("vec_id")
-            x, ids, leaf = _matrix(rows["v"]), rows["vec_id"].to_numpy(), rows["leaf"].to_numpy()
-            for low in range(0, len(queries), 64):
-                part = queries.iloc[low : low + 64]
-                asked = _matrix(part["v"])
-                wanted = np.ones((len(part), int(leaf.max()) + 1), bool)
-                for i, leaves in enumerate(part["leaves"]):
-                    if leaves is not None:
-                        wanted[i] = False
-                        wanted[i, leaves[leaves < wanted.shape[1]]] = True
-                any_of = np.flatnonzero(wanted.any(0)[leaf])  # rows in a leaf that one of these queries visits
-                own_x, own_ids, own_leaf = x[any_of], ids[any_of], leaf[any_of]
-                rough = asked @ own_x.T
-                for i, q in enumerate(part["vec_id"].tolist()):
-                    at = np.flatnonzero(wanted[i][own_leaf])
-                    found += top(asked[i], q, own_x[at], own_ids[at], rough[i][at], k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+@dataclass
+class Layout:
+    """Where the rows of every leaf are: in ``cells`` cells from ``first`` on, each met by ``blocks`` blocks of queries."""
+
+    first: np.ndarray
+    cells: np.ndarray
+    blocks: np.ndarray
+
+    @classmethod
+    def plan(cls, rows_of: np.ndarray, asked: np.ndarray, queries: int) -> Layout:
+        """From the rows and the queries of every leaf, and all queries: small leaves in turn share a cell, a large one has several."""
+        first, cells, blocks = (np.ones(len(rows_of), np.int64) for _ in range(3))
+        n_cells = low = 0
+        while low < len(rows_of):
+            high, held = low + 1, int(rows_of[low])
+            while high < len(rows_of) and held + rows_of[high] <= ROWS_PER_CELL:
+                held += int(rows_of[high])
+                high += 1
+            first[low:high] = n_cells
+            cells[low:high] = max(1, -(-held // ROWS_PER_CELL))
+            blocks[low:high] = max(1, -(-min(queries, int(asked[low:high].sum())) // QUERIES_PER_BLOCK))
+            n_cells += int(cells[low])
+            low = high
+        return cls(first, cells, blocks)
+
+    def groups(self, leaves: np.ndarray) -> list[np.ndarray]:
+        """The given leaves by the cells that they share."""
+        leaves = np.sort(leaves)
+        return np.split(leaves, np.flatnonzero(np.diff(self.first[leaves])) + 1) if len(leaves) else []
+
+
+def _answers(part: pd.DataFrame, x: np.ndarray, ids: np.ndarray, leaf: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """The best of one cell's rows, whose ids ascend, for queries that name their leaves."""
+    found: list[tuple[int, int, float]] = []
+    for low in range(0, len(part), 64):
+        few = part.iloc[low : low + 64]
+        asked = _matrix(few["v"])
+        wanted = np.zeros((len(few), int(leaf.max()) + 1), bool)
+        for i, leaves in enumerate(few["leaves"]):
+            wanted[i, leaves[leaves < wanted.shape[1]]] = True
+        any_of = np.flatnonzero(wanted.any(0)[leaf])  # rows in a leaf that one of these queries visits
+        own_x, own_ids, own_leaf = x[any_of], ids[any_of], leaf[any_of]
+        rough = asked @ own_x.T
+        for i, q in enumerate(few["vec_id"].tolist()):
+            at = np.flatnonzero(wanted[i][own_leaf])
+            found += top(asked[i], q, own_x[at], own_ids[at], rough[i][at], k)
+    return found
+
+
+def _stream_top(k: int):
+    """Per cell and block the rows come first, by id, and are kept; then the queries come, a frame at a time."""
+
+    def run(frames):
+        key, kept, cell = None, [], None
+        for frame in frames:
+            found: list[tuple[int, int, float]] = []
+            marks = frame[["cell", "block", "asks"]].to_numpy(np.int64)
+            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if low == high:
+                    continue
+                part = frame.iloc[low:high]
+                if key != tuple(marks[low, :2]):
+                    key, kept, cell = tuple(marks[low, :2]), [], None
+                if not marks[low, 2]:
+                    kept.append((_matrix(part["v"]), part["vec_id"].to_numpy(), np.array([leaves[0] for leaves in part["leaves"]])))
+                elif kept:
+                    cell = cell or tuple(np.concatenate(c) for c in zip(*kept, strict=True))
+                    found += _answers(part, *cell, k)
+            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     return run
 
@@ -180,39 +231,66 @@ def search(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, recall: flo
     tree = Tree.fit(x, int(np.clip(n // 128, 1, LEAVES)))
     shared = spark.sparkContext.broadcast(tree)  # LEAVES centroids and their parents
 
-    n_cells = max(1, -(-n // ROWS_PER_CELL))
-
     def place(frames):
         for frame in frames:
             yield pd.DataFrame({"vec_id": frame["vec_id"], "v": frame["v"], "leaf": shared.value.leaf_of(_matrix(frame["v"]))})
 
-    indexed = store(
-        rows.mapInPandas(place, "vec_id long, v array<double>, leaf long").withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(n_cells)).cast("int")), "index"
-    )
+    indexed = store(rows.mapInPandas(place, "vec_id long, v array<double>, leaf long"), "index")
     queries = rows.where(F.col("vec_id") % every == 0)
     rows_of = np.zeros(tree.n_leaves, np.int64)
     for r in indexed.groupBy("leaf").count().collect():  # one row a leaf; the tree has at most SAMPLE_ROWS leaves
         rows_of[r["leaf"]] = r["count"]
 
-    def ask(asked: DataFrame, most: int | None) -> DataFrame:
-        """Queries sent to every cell, with the leaves to visit there (none: all)."""
+    def walks(asked: DataFrame, most: int) -> DataFrame:
+        """Queries with the leaves that they visit."""
 
         def walk(frames):
             for frame in frames:
-                leaves = [None] * len(frame) if most is None else [shared.value.visit(q, most, rows_of, k + 1) for q in frame["v"]]  # k and its own
+                leaves = [shared.value.visit(q, most, rows_of, k + 1) for q in frame["v"]]  # k and its own
                 yield pd.DataFrame({"vec_id": frame["vec_id"], "v": frame["v"], "leaves": leaves})
 
-        sent = asked.select("vec_id", "v").mapInPandas(walk, "vec_id long, v array<double>, leaves array<long>")
-        sent = sent.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))))
-        return indexed.groupBy("cell").cogroup(sent.groupBy("cell")).applyInPandas(_block_top(k), _FOUND)
+        return asked.select("vec_id", "v").mapInPandas(walk, "vec_id long, v array<double>, leaves array<long>")
+
+    def ask(walked: DataFrame, asked_of: np.ndarray, n_asked: int) -> DataFrame:
+        """The best of every cell for the queries sent to it; ``asked_of``: how many of the ``n_asked`` visit each leaf."""
+        layout = Layout.plan(rows_of, asked_of, n_asked)
+
+        def send(frames):
+            for frame in frames:
+                out = []
+                for q, v, leaves in zip(frame["vec_id"], frame["v"], frame["leaves"], strict=True):
+                    out += [(q, v, own, layout.first[own[0]], layout.cells[own[0]], layout.blocks[own[0]]) for own in layout.groups(leaves)]
+                    if len(out) >= 4096:
+                        yield pd.DataFrame(out, columns=["vec_id", "v", "leaves", "first", "cells", "blocks"])
+                        out = []
+                yield pd.DataFrame(out, columns=["vec_id", "v", "leaves", "first", "cells", "blocks"])
+
+        at_leaf = lambda numbers: F.element_at(F.lit(numbers.tolist()).cast("array<long>"), (F.col("leaf") + 1).cast("int"))
+        hashed = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), n)
+        every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        held = indexed.select(
+            "vec_id", "v", F.array("leaf").alias("leaves"), (at_leaf(layout.first) + hashed(1, at_leaf(layout.cells))).alias("cell"),
+            every_one(at_leaf(layout.blocks)).alias("block"), F.lit(0).alias("asks"),
+        )
+        sent = walked.mapInPandas(send, "vec_id long, v array<double>, leaves array<long>, first long, cells long, blocks long").select(
+            "vec_id", "v", "leaves", "first", every_one(F.col("cells")).alias("n"), hashed(2, F.col("blocks")).alias("block")
+        )
+        sent = sent.select("vec_id", "v", "leaves", (F.col("first") + F.col("n")).alias("cell"), "block", F.lit(1).alias("asks"))
+        dealt = held.unionByName(sent).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks", "vec_id")
+        return dealt.mapInPandas(_stream_top(k), _FOUND)
 
     trial = store(queries.orderBy(F.xxhash64("vec_id")).limit(CALIBRATION_QUERIES), "trial")
-    truth = _best(ask(trial, None), k).select("query_id", "vec_id").join(indexed.select("vec_id", "leaf"), "vec_id").groupBy("query_id").agg(F.collect_list("leaf").alias("leaves"))
+    all_leaves = np.full(tree.n_leaves, CALIBRATION_QUERIES)
+    truth = _best(ask(walks(trial, tree.n_leaves), all_leaves, CALIBRATION_QUERIES), k).select("query_id", "vec_id").join(indexed.select("vec_id", "leaf"), "vec_id").groupBy("query_id").agg(F.collect_list("leaf").alias("leaves"))
     vector_of = {r.vec_id: np.array(r.v) for r in trial.collect()}
     place_of = []
     for r in truth.collect():  # at most CALIBRATION_QUERIES rows of k leaves
         order = {leaf: i for i, leaf in enumerate(tree.visit(vector_of[r.query_id], tree.n_leaves, rows_of, 0))}
         place_of += [order[leaf] for leaf in r.leaves]
     most = int(np.quantile(place_of, recall, method="higher")) + 1 if place_of else tree.n_leaves
-    found = _best(ask(queries, most), k)
+    walked = store(walks(queries, most), "walks")
+    asked_of = np.zeros(tree.n_leaves, np.int64)
+    for r in walked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
+        asked_of[r["leaf"]] = r["count"]
+    found = _best(ask(walked, asked_of, walked.count()), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from contactry.llm import ann, exact_dedup, language_id, license_scan, minhash, packing, pii, unigram
@@ -363,6 +364,33 @@ def test_search_fills_the_list_of_isolated_vectors(spark):
         assert len({v for _, v in found} - {q}) == 20
 
 
+def test_search_in_cells_and_blocks(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(rnd.normal(size=(1, 8)), 900, 0), rnd.normal(size=(1500, 8))])[rnd.permutation(2400)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    one = sorted(tuple(r) for r in ann.search(df, every=4).collect())
+    monkeypatch.setattr(ann, "ROWS_PER_CELL", 100)
+    monkeypatch.setattr(ann, "QUERIES_PER_BLOCK", 50)
+    assert sorted(tuple(r) for r in ann.search(df, every=4).collect()) == one
+    assert len(one) == 600 * 20
+
+    rows_of, asked = np.array([30, 60, 5, 250, 0, 10]), np.array([10, 20, 25, 120, 0, 4])
+    plan = ann.Layout.plan(rows_of, asked, 130)
+    assert plan.first.tolist() == [0, 0, 0, 1, 4, 4]
+    assert plan.cells.tolist() == [1, 1, 1, 3, 1, 1]
+    assert plan.blocks.tolist() == [2, 2, 2, 3, 1, 1]
+    assert [g.tolist() for g in plan.groups(np.array([5, 0, 3, 2]))] == [[0, 2], [3], [5]]
+
+    frame = lambda rows: pd.DataFrame(rows, columns=["vec_id", "v", "leaves", "cell", "block", "asks"])
+    held = [(i, np.array([float(i)]), np.array([0]), 0, 0, 0) for i in range(5)]
+    asks = [(i, np.array([1.0]), np.array([0]), 0, 0, 1) for i in range(7)]
+    every = held + asks + [(9, np.array([1.0]), np.array([1]), 1, 0, 1)]
+    pieces = [frame(every[i : i + 2]) for i in range(0, len(every), 2)]
+    answers = [list(f.itertuples(index=False, name=None)) for f in ann._stream_top(2)(iter(pieces))]
+    assert max(len(a) for a in answers) <= 2 * 2  # a frame is answered before the next is taken
+    assert [a for part in answers for a in part if a[0] in (0, 4)] == [(0, 4, 4.0), (0, 3, 3.0), (4, 3, 3.0), (4, 2, 2.0)]
+
+
 # 10 personal data
 
 
