@@ -78,6 +78,24 @@ def test_ids_equal_the_tokenizer_file():
         assert np.frombuffer(ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_packed_ids_equal_the_tokenizer_file_under_its_defaults(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(7)
+    parts = ["<|endoftext|>", "<|endoftext|", "word", " ", "  ", "é", "\n", "'s", "12"]
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>y  ", "<<|endoftext|>>"]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 30))) for _ in range(300)] + ["tail <|endoftext|> words " * 900]
+    got = defaultdict(dict)
+    for r in packing.pack(table(spark, list(enumerate(texts)))).collect():
+        got[r.doc_id][r.start] = (r.length, r.ids_crc32, r.doc_tokens)
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        pieces = {s: ids[s : s + 1024] for s in range(0, len(ids), 1024)}
+        assert got[i] == {s: (len(p), zlib.crc32(p.tobytes()), len(ids)) for s, p in pieces.items()}, repr(text)
+
+
 def test_packing(spark):
     rows = corpus(2) + [(9000, "long text of words " * 3000), (None, "no id"), (1, "again"), (1, "again")]
     import public_tokenizers
