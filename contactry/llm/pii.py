@@ -99,6 +99,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Of every start the longest end at a border of groups that passes the check; without one the search goes on inside."""
+    out, m = [], IBAN.search(text)
+    while m:
+        start, at = m.start(), m.start() + 1
+        for end in [m.end(), *(i for i in range(m.end() - 1, start, -1) if text[i] == " ")]:
+            if IBAN.fullmatch(text, start, end) and mod97(text[start:end].replace(" ", "")):
+                out.append((start, end))
+                at = end
+                break
+        m = IBAN.search(text, at)
+    return out
+
+
 def context_score(text: str, kind: str, start: int, end: int) -> float:
     near = f"{text[max(0, start - NEAR) : start]} {text[end : end + NEAR]}".lower()
     words = set(re.findall(r"[a-z]+", near))
@@ -113,10 +127,10 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     more = []
     if _DIGIT.search(text):
         taken = [(s, e) for _, s, e in base]
-        for kind, pattern, good in (("iban", IBAN, lambda m: mod97(m[0].replace(" ", ""))), ("local_phone", LOCAL_PHONE, lambda m: True)):
-            for m in pattern.finditer(text):
-                if good(m) and not any(m.start() < e and s < m.end() for s, e in taken):
-                    more.append((kind, *m.span()))
+        for kind, spans in (("iban", _ibans(text)), ("local_phone", [m.span() for m in LOCAL_PHONE.finditer(text)])):
+            for start, end in spans:
+                if not any(start < e and s < end for s, e in taken):
+                    more.append((kind, start, end))
     scored = [(*x, context_score(text, *x)) for x in base + more]
     return [x for x in scored if x[0] in BASE_KINDS or x[3] >= ACCEPT]
 

@@ -443,6 +443,18 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(t) == brute_spans(t), t
 
 
+@pytest.mark.parametrize("iban", ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"])
+def test_iban_before_and_after_capitals_and_numbers(iban):
+    for before in ("", "XX12 ", "NR 7 "):
+        for after in ("", " BIC GEBABEBB", " 5", " BIC", " EUR 100", " EUR 2024 OK", " GEBA BEBB 12", ", BIC"):
+            for own in (iban, iban.replace(" ", "")):
+                text = f"x {before}{own}{after}"
+                spans = [text[s:e] for kind, s, e, _ in pii.find_spans(text) if kind == "iban"]
+                assert spans == [own], text
+    assert pii.redact(f"to {iban} BIC x") == "to [IBAN] BIC x"
+    assert not any(x[0] == "iban" for x in pii.find_spans("BE68 5390 0754 7035 BIC A"))
+
+
 def test_checks_and_context():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
