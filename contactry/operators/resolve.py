@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactry.functions import lexicons as lex
@@ -47,17 +47,25 @@ def best_emails(emails: DataFrame) -> DataFrame:
     return best.select("group_id", "value", "b.deliverability", "b.status", "b.generic", "confidence")
 
 
-def combine(candidates: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row per group: first name and position by order, distinct phones and URLs, evidence by source and URL."""
-    rows = candidates.join(groups, "cand_id")
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c])
+def combine(candidates: DataFrame, groups: DataFrame, facts: dict[str, Column]) -> DataFrame:
+    """One row per group: first name and position by order, whether a fact holds for any candidate, n_phones (distinct),
+    the largest confidence, the newest evidence, and whether it has several URLs.
+
+    Nothing is listed: aggregates of fixed size, combined before the shuffle, and distinct phones as rows.
+    """
+    rows = candidates.join(groups, "cand_id").withColumns(facts)
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
-    return rows.groupBy("entity_id", "group_id").agg(
+    held = lambda c: F.when(F.bool_or(c), True).when(F.bool_or(F.col(c).isNull()), None).otherwise(False)
+    urls = F.transform("evidence", lambda e: e.url)
+    low, high, missing = F.min(F.array_min(urls)), F.max(F.array_max(urls)), F.bool_or(F.exists(urls, lambda u: u.isNull()))
+    merged = rows.groupBy("entity_id", "group_id").agg(
         first("full_name").alias("full_name"),
         first("position").alias("position"),
-        F.array_distinct(F.flatten(ordered("phones"))).alias("phones"),
-        F.array_distinct(F.flatten(ordered("social_urls"))).alias("social_urls"),
-        F.flatten(ordered("emails")).alias("all_emails"),
-        F.array_distinct(F.flatten(ordered("evidence"))).alias("evidence"),
+        *(held(name).alias(name) for name in facts),
+        F.max(F.array_max(F.transform("emails", lambda e: e.confidence))).alias("confidence"),
+        F.max(F.array_max(F.transform("evidence", lambda e: e.published_at))).alias("newest"),
+        F.coalesce((low != high) | (missing & high.isNotNull()), F.lit(False)).alias("several_urls"),
         F.min("ord").alias("ord"),
     )
+    phones = rows.select("entity_id", "group_id", F.explode("phones").alias("phone")).distinct().groupBy("entity_id", "group_id").agg(F.count("*").alias("n"))
+    return merged.join(phones, ["entity_id", "group_id"], "left").withColumn("n_phones", F.coalesce("n", F.lit(0).cast("long"))).drop("n")

@@ -21,19 +21,38 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.withColumns({"score": F.greatest(F.lit(0), F.least(F.lit(100), points)).cast("int"), "score_reasons": reasons})
 
 
+def contact_facts() -> dict[str, Column]:
+    """What the rules ask of a candidate's emails, phones, social_urls, social_profiles and evidence, as true or false."""
+    mail = lambda f: F.exists("emails", f)
+    on = lambda *p: F.exists("social_profiles", lambda s: s.platform.isin(*p))
+    source = lambda *s: F.exists("evidence", lambda e: e.source.isin(*s))
+    return {
+        "official": source(*lex.OFFICIAL_SOURCES),
+        "hunter": source("hunter"),
+        "web": source(*lex.WEB_SOURCES),
+        "mail": F.size("emails") > 0,
+        "inferred": mail(lambda e: e.status.eqNullSafe("inferred")),
+        "direct": mail(lambda e: ~F.coalesce(e.generic, F.lit(False)) & ~e.status.eqNullSafe("inferred")),
+        "generic": mail(lambda e: F.coalesce(e.generic, F.lit(False))),
+        "alive": mail(lambda e: ~e.deliverability.eqNullSafe("undeliverable")),
+        "deliverable": mail(lambda e: e.deliverability.eqNullSafe("deliverable")),
+        "no_mx": mail(lambda e: e.domain_has_mx.eqNullSafe(False)),
+        "usable_mail": mail(lambda e: ~e.status.eqNullSafe("inferred") & ~e.deliverability.eqNullSafe("undeliverable")),
+        "phone": F.size("phones") > 0,
+        "telegram": on("telegram"),
+        "professional": on("tenchat", "linkedin", "github"),
+        "social": on("vk", "threads", "instagram"),
+        "person": F.exists("social_profiles", lambda s: s.kind.eqNullSafe("person")),
+        "social_url": F.size("social_urls") > 0,
+    }
+
+
 def contact_rules(run_ts: Column, target_roles: Sequence[str] = ()) -> list[Rule]:
-    """Rules over a candidate's columns: full_name, position, emails, phones, social_urls, social_profiles, evidence."""
-    official = F.exists("evidence", lambda e: e.source.isin(*lex.OFFICIAL_SOURCES))
+    """Rules over a contact's columns: full_name, position, those of contact_facts, confidence, newest, several_urls."""
     named, placed = F.coalesce(F.col("full_name") != "", F.lit(False)), F.coalesce(F.col("position") != "", F.lit(False))
     wanted = reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce("position", F.lit(""))), F.lit(r.lower())) for r in target_roles), F.lit(False))
-    inferred = F.exists("emails", lambda e: e.status.eqNullSafe("inferred"))
-    direct = F.exists("emails", lambda e: ~F.coalesce(e.generic, F.lit(False)) & ~e.status.eqNullSafe("inferred"))
-    generic = F.exists("emails", lambda e: F.coalesce(e.generic, F.lit(False)))
-    dead = (F.size("emails") > 0) & F.forall("emails", lambda e: e.deliverability.eqNullSafe("undeliverable"))
-    on = lambda *p: F.exists("social_profiles", lambda s: s.platform.isin(*p))
-    newest = F.array_max(F.transform("evidence", lambda e: e.published_at))
-    age = (F.unix_micros(run_ts) - F.unix_micros(newest)) / F.lit(86400000000.0)
-    source = lambda *s: F.exists("evidence", lambda e: e.source.isin(*s))
+    official, direct, generic, telegram = (F.col(c) for c in ("official", "direct", "generic", "telegram"))
+    age = (F.unix_micros(run_ts) - F.unix_micros("newest")) / F.lit(86400000000.0)
     none = F.lit(False)
     return [
         (10, "+10 name", named),
@@ -43,21 +62,21 @@ def contact_rules(run_ts: Column, target_roles: Sequence[str] = ()) -> list[Rule
         (40, "+40 direct email in an official source", direct & official),
         (25, "+25 direct email", direct & ~official),
         (10, "+10 general email", generic & ~direct),
-        (-30, "-30 inferred email", inferred),
-        (20, "+20 deliverable email", F.exists("emails", lambda e: e.deliverability.eqNullSafe("deliverable"))),
-        (10, "+10 confidence", F.coalesce(F.array_max(F.transform("emails", lambda e: e.confidence)) >= 70, none)),
-        (8, "+8 phone", F.size("phones") > 0),
-        (35, "+35 telegram in an official source", on("telegram") & official),
-        (20, "+20 telegram", on("telegram") & ~official),
-        (20, "+20 professional profile", on("tenchat", "linkedin", "github")),
-        (12, "+12 social profile", on("vk", "threads", "instagram")),
-        (5, "+5 social link", ~on("vk", "threads", "instagram") & (F.size("social_urls") > 0)),
+        (-30, "-30 inferred email", F.col("inferred")),
+        (20, "+20 deliverable email", F.col("deliverable")),
+        (10, "+10 confidence", F.coalesce(F.col("confidence") >= 70, none)),
+        (8, "+8 phone", F.col("phone")),
+        (35, "+35 telegram in an official source", telegram & official),
+        (20, "+20 telegram", telegram & ~official),
+        (20, "+20 professional profile", F.col("professional")),
+        (12, "+12 social profile", F.col("social")),
+        (5, "+5 social link", ~F.col("social") & F.col("social_url")),
         (8, "+8 official source", official),
-        (8, "+8 domain contacts", source("hunter")),
-        (5, "+5 independent source", source(*lex.WEB_SOURCES)),
-        (5, "+5 several sources", F.size(F.array_distinct(F.transform("evidence", lambda e: e.url))) >= 2),
-        (-100, "-100 undeliverable", dead),
-        (-30, "-30 domain without MX", F.exists("emails", lambda e: e.domain_has_mx.eqNullSafe(False))),
+        (8, "+8 domain contacts", F.col("hunter")),
+        (5, "+5 independent source", F.col("web")),
+        (5, "+5 several sources", F.col("several_urls")),
+        (-100, "-100 undeliverable", F.col("mail") & ~F.col("alive")),
+        (-30, "-30 domain without MX", F.col("no_mx")),
         (10, "+10 fresh", F.coalesce(age <= 730, none)),
         (-20, "-20 stale", F.coalesce(age > 1460, none)),
     ]
@@ -65,9 +84,8 @@ def contact_rules(run_ts: Column, target_roles: Sequence[str] = ()) -> list[Rule
 
 def usable(min_score: int) -> Column:
     """Score reached, and an email that is neither inferred nor undeliverable, a phone, or a personal profile."""
-    mail = F.exists("emails", lambda e: ~e.status.eqNullSafe("inferred") & ~e.deliverability.eqNullSafe("undeliverable"))
-    personal = (F.size("social_urls") > 0) & (F.col("full_name").isNotNull() | F.exists("social_profiles", lambda s: s.kind.eqNullSafe("person")))
-    return (F.col("score") >= min_score) & (mail | (F.size("phones") > 0) | personal)
+    personal = F.col("social_url") & (F.col("full_name").isNotNull() | F.col("person"))
+    return (F.col("score") >= min_score) & (F.col("usable_mail") | F.col("phone") | personal)
 
 
 def term_count(text: Column, terms: Sequence[str]) -> Column:

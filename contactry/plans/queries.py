@@ -152,12 +152,13 @@ def best_email(spark, d):
 
 def _scored(spark, d):
     found, groups = _groups(spark, d)
-    merged = resolve.combine(found, groups).withColumn("emails", F.col("all_emails")).withColumn("social_profiles", F.array().cast("array<struct<platform:string,kind:string>>"))
+    found = found.withColumn("social_profiles", F.array().cast("array<struct<platform:string,kind:string>>"))
+    merged = resolve.combine(found, groups, score.contact_facts())
     return score.apply_rules(merged, score.contact_rules(F.lit(RUN_TS).cast("timestamp")))
 
 
 def contact_scores(spark, d):
-    return _scored(spark, d).select("entity_id", "group_id", F.size("phones").cast("long").alias("n_phones"), "score")
+    return _scored(spark, d).select("entity_id", "group_id", "n_phones", "score")
 
 
 def top_contacts_per_source(spark, d):
