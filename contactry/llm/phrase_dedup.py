@@ -1,8 +1,8 @@
 """Substring dedup with repeated-phrase automata: remove words under a 20-word window that also starts earlier.
 
-Recurring passages are confirmed shard by shard of the anchor space, each shard compiles an Aho-Corasick automaton
-of its confirmed 20-word phrases (one symbol per word), and the passages of all documents that carry the shard's
-anchors stream through it. Repeats inside one document are found where its text is.
+Recurring passages are confirmed in groups of passages under one anchor: a dict of a group's 20-word windows finds the
+repeats, and an Aho-Corasick automaton of them (one symbol per word) looks them up again. Copies, passages repeated
+whole and classes over groups go by hashes. Repeats inside one document are found where its text is.
 """
 
 from __future__ import annotations
