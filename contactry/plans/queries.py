@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactry.functions import lexicons as lex
 from contactry.functions import normalize as norm
 from contactry.operators import dedup, extract, resolve, score, state
+from contactry.storage import store
 
 RUN_TS = "2024-02-01 00:00:00"
 #: Words of the synthetic texts, in place of the default lexicons.
 TERMS = {"intent": ("tion ", "the "), "fit": ("ing", "and"), "strong": ("rights", "licensed"), "negative": ("###", "***")}
-_own: dict[str, str] = {}
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _save(df: DataFrame) -> DataFrame:
-    """A stored step in the folder of spark.checkpoint.dir (an own one where it is unset)."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
-    path = f"{root}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def emails_in_documents(spark, d):
     rows = _t(spark, d, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", "source", F.explode(extract.emails(F.col("text"))).alias("email"))
     return rows.select("doc_id", "email", norm.is_generic(F.col("email")).alias("generic"), F.when(F.col("source").isin(*lex.OFFICIAL_SOURCES), 95).otherwise(75).alias("confidence"))
@@ -136,8 +124,8 @@ def _candidates(spark, d):
 
 
 def _groups(spark, d):
-    found = _save(_candidates(spark, d))
-    return found, resolve.resolve(resolve.candidate_keys(found, with_phones=True), _save)
+    found = store(_candidates(spark, d))
+    return found, resolve.resolve(resolve.candidate_keys(found, with_phones=True), store)
 
 
 def resolve_components(spark, d):
