@@ -2,43 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactry.storage import store  # noqa: F401
+
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NO_ID = -(2**63)
-_own_folder: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _own_folder[app]
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of it.
-
-    This cuts the lineage: a lost executor costs the tasks it ran, not the stages before the table.
-    The collector is then asked to run, so that shuffle files of the finished stage go.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -70,3 +40,27 @@ def keyed_documents(docs: DataFrame, rows_per_chunk: int = 256) -> DataFrame:
 def outer_id(column: str = "doc_id"):
     """The id as the caller gave it: the stand-in for a missing id becomes null again."""
     return F.when(F.col(column) != NO_ID, F.col(column))
+
+
+def join_weighted(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` joined with the one row of ``keyed`` per key, whose ``weight`` counts the rows of that key.
+
+    Keys that hold more than a thousandth of all rows (so at most a thousand of them) are broadcast, and their rows
+    stay where they are; no other key is more than a thousandth of the shuffled side.
+    """
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    hot = keyed.where(F.col(weight) > max(total // 1000, 1000))
+    if hot.isEmpty():
+        return rows.join(keyed, key)
+    cold = keyed.where(F.col(weight) <= max(total // 1000, 1000))
+    some = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return some.unionByName(rest)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

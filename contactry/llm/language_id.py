@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NO_ID, outer_id
+from .common import NO_ID, fresh, outer_id
 from .textscan import mix
 
 #: Rows per language, and in all, in the training sample: this bounds what the driver holds.
@@ -101,32 +101,35 @@ def is_held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[np.ndarray, list[str]]:
-    """Features and languages of at most ``per_language`` labelled rows of each language, chosen by a hash of the id.
+def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[str]]:
+    """Features and languages of labelled rows: of each language the ids that come first by a hash of the id.
 
-    Ids are chosen from the narrow columns first; only the chosen rows' texts are turned into features.
+    A language gives ``per_language`` ids, or its part of ``most`` if there are too many languages for that; an id
+    counts once, however often it is repeated. A count per language tells the share of the hashes that holds about
+    twice the wanted ids, so that only those reach the ranking. Ids are chosen from narrow columns; only the chosen
+    rows' texts are turned into features.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~is_held_out(), F.lit(True)))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        known.select("lang", "doc_id")
-        .withColumn("nth", F.row_number().over(order))
-        .where(F.col("nth") <= per_language)
-        .groupBy("lang", "doc_id")
-        .agg(F.min("nth").alias("nth"))
-        .orderBy("nth", F.xxhash64("doc_id"), "doc_id", "lang")
-        .limit(SAMPLE_ROWS)
-        .select("lang", "doc_id")
-    )
+    known = known.select("lang", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    held = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("held"))
+    languages = held.count()
+    if not languages:
+        return np.empty((0, BUCKETS)), []
+    each = max(1, min(per_language, most // languages))
+    order = F.xxhash64("doc_id")
+    place = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
+    near = known.select("lang", "doc_id", F.xxhash64("text").alias("mark")).join(held, "lang").where(place <= (2 * each + 50) / F.col("held"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(place, order, "doc_id"))
+    chosen = near.groupBy("lang", "doc_id").agg(F.min("mark").alias("mark")).withColumn("nth", nth).where(F.col("nth") <= each)
+    chosen = chosen.orderBy("nth", "lang").limit(most).select("lang", "doc_id", "mark")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "x": [features(t).astype("<f4").tobytes() for t in frame["text"]]})
 
-    picked = known.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
-    rows = picked.mapInPandas(run, "doc_id long, lang string, x binary").orderBy("lang", "doc_id").limit(SAMPLE_ROWS).collect()
-    if not rows:
-        return np.empty((0, BUCKETS)), []
+    picked = known.withColumn("mark", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "lang", "mark"]).drop("mark")
+    rows = picked.mapInPandas(run, "doc_id long, lang string, x binary").groupBy("lang", "doc_id").agg(F.min("x").alias("x"))
+    rows = rows.orderBy("lang", "doc_id").collect()  # at most SAMPLE_ROWS
     return np.stack([np.frombuffer(r.x, "<f4") for r in rows]), [r.lang for r in rows]
 
 
@@ -135,13 +138,30 @@ def train(docs: DataFrame) -> CodeModel | None:
     return CodeModel.fit(x, languages) if languages else None
 
 
+def _predicted(model: CodeModel | None, texts: pd.Series, letters: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and ambiguity of every text, 256 at a time."""
+    lang = np.full(len(texts), UNKNOWN, object)
+    score, lead, letters = np.zeros(len(texts)), np.zeros(len(texts)), letters.to_numpy(bool)
+    for b in range(0, len(texts), 256):
+        at = np.flatnonzero(letters[b : b + 256]) + b
+        if model is not None and len(at):
+            best, score[at], lead[at] = model.predict(np.stack([features(texts.iloc[i]) for i in at]))
+            lang[at] = np.array(model.languages, object)[best]
+    return lang, score, lead < LEAD
+
+
+def _has_letter():
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: CodeModel | None = None) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, ambiguous.
 
     The classifiers learn from a bounded sample (SAMPLE_PER_LANGUAGE rows of each language, SAMPLE_ROWS in all) of the
     labelled rows that are not held out; every whole text is predicted from its bytes alone. A null text or one
     without a letter is ``und`` with score 0, as is everything when no row is labelled. A null doc_id stays null and
-    is not held out. Repeated rows are documents of their own; further columns are ignored.
+    is not held out. Repeated rows are documents of their own; further columns are ignored; an empty table gives no
+    rows. Texts of any length are read whole, block by block. Ties between codewords go to the first language by name.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     if model is None:
@@ -149,35 +169,34 @@ def identify(docs: DataFrame, model: CodeModel | None = None) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            letters = frame["letters"].to_numpy(bool)
-            lang = np.full(len(frame), UNKNOWN, object)
-            score, lead = np.zeros(len(frame)), np.zeros(len(frame))
-            for b in range(0, len(frame), 256):
-                at = np.flatnonzero(letters[b : b + 256]) + b
-                if model is not None and len(at):
-                    best, score[at], lead[at] = model.predict(np.stack([features(frame["text"].iloc[i]) for i in at]))
-                    lang[at] = np.array(model.languages, object)[best]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "lang_pred": lang, "score": score, "ambiguous": lead < LEAD})
+            lang, score, ambiguous = _predicted(model, frame["text"], frame["letters"])
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "lang_pred": lang, "score": score, "ambiguous": ambiguous})
 
     rows = docs.select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"),
         F.coalesce(is_held_out(), F.lit(False)).alias("held_out"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
+        _has_letter().alias("letters"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
     )
     return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean").withColumn("doc_id", outer_id())
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents with a language: null texts and texts without a letter go. A missing lang is filled in."""
+    """The documents with a language, which ``lang`` then holds: the predicted one.
+
+    Null texts, texts without a letter, and texts whose two nearest codewords are too close to tell apart go. Where
+    no row is labelled, nothing can be learned: texts with a letter stay as they are. Repeated rows are judged alike;
+    long texts are read whole; an empty table gives no rows; further columns of any name are kept.
+    """
     model = train(docs)
+    if model is None:
+        return docs.where(_has_letter())
 
-    @F.pandas_udf("string")
-    def language(texts: pd.Series) -> pd.Series:
-        if model is None or not len(texts):
-            return pd.Series([None] * len(texts), dtype=object)
-        out = [model.languages[model.predict(features(t.encode())[None])[0][0]] for t in texts]
-        return pd.Series(out, dtype=object)
+    @F.pandas_udf("struct<lang: string, ambiguous: boolean>")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        lang, _, ambiguous = _predicted(model, texts, pd.Series(np.ones(len(texts), bool)))
+        return pd.DataFrame({"lang": lang, "ambiguous": ambiguous})
 
-    kept = docs.where(F.col("text").rlike(r"\p{L}"))
-    return kept.withColumn("lang", F.coalesce("lang", language("text")))
+    name = fresh(docs, "told")
+    kept = docs.where(_has_letter()).withColumn(name, told(F.col("text").cast("binary"))).where(~F.col(f"{name}.ambiguous"))
+    return kept.withColumn("lang", F.col(f"{name}.lang")).select(*docs.columns)

@@ -5,19 +5,22 @@ arrival falls on a random register, and a register keeps the shingle of its earl
 soon as no arrival can come before the latest register. Two documents agree in a register with their probability
 Jaccard similarity, which for equal weights is the Jaccard similarity.
 
-Bands of registers give candidates. In turns, a band's documents are compared with a centre of it, one turn after
-another with other centres, as long as they are in different classes; similar ones join classes. What is then still
-in different classes of a band is compared in full, so that no candidate pair is left both apart and unverified.
-
-After the first turn pairs are left out that provably stay under the threshold. Let a and b be the shares of the
-weight of two documents on shingles that the other lacks: their similarity is at most (1 - a)(1 - b) / (1 - ab), which
-falls in both. Shingles that no other open document has, and the difference in the number of shingles, bound a and b
-from below; so each document has a size and a largest size it can be similar to (``_reach``).
+Bands of registers give candidates. Each document is compared with a central one of its bands, then with the centre
+of every band in which several classes are left, then in a few turns with documents outside a group's main class;
+similar ones join classes. What is then still in different classes is compared pair by pair, but for pairs that provably
+stay under the threshold, so that no candidate pair is left both apart and unverified. Documents with the same best
+centre meet under it; others that share a band meet under the band's centre.
+
+The proof: let a and b be the shares of the weight of two documents on shingles that the other lacks. Their similarity
+is at most (1 - a)(1 - b) / (1 - ab), so a + b is at most 2 (1 - t) / (1 + t) where it reaches the threshold t. The
+shingles that no other open document has are in a or b; so are those of the band's centre that one of the two has and
+the other lacks. Both are known without the pair: the comparison with the centre also counts the shingles of it that
+a document lacks, in GAPS parts (``_gaps``), and in each part the counts of two documents differ by no more than the
+shingles in which they do. Members of a group that were edited in different places are told apart by this alone.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +31,23 @@ from pyspark.sql import functions as F
 from contactry.operators.components import connected_components
 
 from . import textscan
-from .common import NO_ID, outer_id, store
+from .common import NO_ID, join_weighted, outer_id, store
 from .textscan import mix
 
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Turns of linking to centres, before what is still in different classes is compared in full.
-ROUNDS = 5
+#: Turns of linking to documents outside a group's main class, before what is still in different classes is compared.
+TURNS = 2
 #: Bytes of a shingle's hash in a stored set.
 KEY = 6
-#: Ratio of the bounds of one bin of sizes.
-BIN = 1.02
+#: Parts of a centre's shingles in which the missing ones are counted.
+GAPS = 32
+#: Bins up to the largest share of weight that similar documents can have apart.
+BINS = 2
+#: Documents of a group in one share of the last comparison.
+PER_SHARE = 4096
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -147,98 +154,135 @@ def _read_set(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _set_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for node, keys, counts in zip(frame["node"], frame["keys"], frame["counts"], strict=True):
-            shingle, weight = _read_set(keys, counts)
-            yield pd.DataFrame({"node": node, "shingle": shingle.view(np.int64), "weight": weight})
+        sets = [_read_set(keys, counts) for keys, counts in zip(frame["keys"], frame["counts"], strict=True)]
+        if sets:
+            shingle, weight = np.concatenate([k for k, _ in sets]).view(np.int64), np.concatenate([w for _, w in sets])
+            yield pd.DataFrame({"node": np.repeat(frame["node"].to_numpy(), [len(k) for k, _ in sets]), "shingle": shingle, "weight": weight})
 
 
-def _verify(threshold: float):
+def _gaps(own: np.ndarray, centre: np.ndarray) -> list[int]:
+    """How many shingles of the centre a document lacks, in each of GAPS parts of the shingles."""
+    lacks = np.setdiff1d(centre, own, assume_unique=True)
+    return np.bincount((mix(lacks) % _U(GAPS)).astype(np.int64), minlength=GAPS).tolist()
+
+
+def _compare(threshold: float, with_gaps: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ok = [
-                min(len(ka), len(kb)) and probability_jaccard(_read_set(ka, ca), _read_set(kb, cb)) >= threshold
-                for ka, ca, kb, cb in zip(frame["keys"], frame["counts"], frame["other_keys"], frame["other_counts"], strict=True)
-            ]
-            yield frame.loc[np.array(ok, bool), ["src", "dst"]]
+            similar, gaps = [], []
+            for ka, ca, kb, cb in zip(frame["keys"], frame["counts"], frame["other_keys"], frame["other_counts"], strict=True):
+                own, other = _read_set(ka, ca), _read_set(kb, cb)
+                similar.append(bool(min(len(ka), len(kb)) and probability_jaccard(own, other) >= threshold))
+                gaps.append(_gaps(own[0], other[0]) if with_gaps else [])
+            yield pd.DataFrame({"src": frame["src"], "dst": frame["dst"], "similar": similar, "gaps": gaps})
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: float, with_gaps: bool = False) -> DataFrame:
+    """src, dst, similar, gaps (what src lacks of dst) of the given pairs."""
     other = sets.select(F.col("node").alias("dst"), F.col("keys").alias("other_keys"), F.col("counts").alias("other_counts"))
     both = pairs.join(sets.withColumnRenamed("node", "src"), "src").join(other, "dst")
-    return both.mapInPandas(_verify(threshold), "src long, dst long")
+    both = both.select("src", "dst", "keys", "counts", "other_keys", "other_counts")
+    return both.mapInPandas(_compare(threshold, with_gaps), "src long, dst long, similar boolean, gaps array<int>")
 
 
-def _to_central(placed: DataFrame) -> DataFrame:
-    """First turn: pairs of each document with the most central document of one of its bands.
+def _linked(compared: DataFrame) -> DataFrame:
+    return compared.where("similar").select("src", "dst")
 
-    A document is the more central the more documents share its bands.
-    """
+
+def _with_centres(placed: DataFrame) -> DataFrame:
+    """Adds each band's most central document; one is the more central the more documents share its bands."""
     sizes = placed.groupBy("band").agg(F.count("*").alias("of"))
     central = placed.join(sizes, "band").groupBy("node").agg(F.sum("of").alias("central"))
-    ranked = placed.join(central, "node")
-    centres = ranked.groupBy("band").agg(F.max(F.struct("central", "node")).alias("centre"))
-    best = placed.join(centres, "band").groupBy("node").agg(F.max("centre").alias("centre"))
-    pairs = best.select("node", F.col("centre.node").alias("centre")).where("node <> centre")
-    return pairs.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
+    centres = placed.join(central, "node").groupBy("band").agg(F.max(F.struct("central", "node")).alias("centre"))
+    return placed.join(centres, "band")
+
+
+def _to_central(placed: DataFrame) -> DataFrame:
+    """First turn: pairs of each document with the most central document of all its bands, its best centre."""
+    best = _with_centres(placed).groupBy("node").agg(F.max("centre").alias("centre"))
+    return best.select(F.col("node").alias("src"), F.col("centre.node").alias("dst")).where("src <> dst")
 
 
-def _open(placed: DataFrame, labels: DataFrame) -> DataFrame:
-    """The bands that hold several classes."""
-    ends = placed.join(labels, "node").groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return placed.join(ends.where("lo < hi").select("band"), "band")
+def _open(placed: DataFrame, labels: DataFrame, by: str = "band") -> DataFrame:
+    """The bands (or other groups) that hold several classes."""
+    ends = placed.join(labels, "node").groupBy(by).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return placed.join(ends.where("lo < hi").select(by), by)
 
 
-def _reach(sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """node, n (shingles), size, most: two of ``nodes`` are similar only if each one's size is at most the other's most.
+def _facts(sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """node, total (weight), u: the share of it on shingles that no other of ``nodes`` has.
 
-    With own: shingles that no other of ``nodes`` has, u: their share of the weight. Another document y has at most
-    n - own common shingles, so its share b on further ones is at least (n_y - (n - own)) / total_y; the threshold
-    allows b up to (1 - u - t) / (1 - u - t u), at most 1 - t. Solved for n_y, less what repeats of shingles in y
-    can make up, this is size <= most.
+    Documents with more than 1 - threshold of it are similar to none and left out.
     """
     mine = sets.join(nodes, "node", "left_semi")
     rows = mine.select("node", "keys", "counts").mapInPandas(_set_rows, "node long, shingle long, weight long")
     single = rows.groupBy("shingle").agg(F.count("*").alias("of"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("of = 1")
-    own = single.groupBy("node").agg(F.count("*").alias("own"), F.sum("weight").alias("own_weight"))
-    share = F.coalesce(F.col("own_weight") / F.col("total"), F.lit(0.0))
-    told = mine.select("node", "n", "total").join(own, "node", "left").withColumn("u", share)
-    limit = F.greatest(1 - F.col("u") - threshold, F.lit(0.0)) / (1 - F.col("u") - threshold * F.col("u"))
-    most = (F.col("n") - F.coalesce("own", F.lit(0))) / (1 - limit) * (1 + 1e-9)
-    return told.select(
-        "node", "n", (F.col("n") - (1 - threshold) / threshold * (F.col("total") - F.col("n"))).alias("size"),
-        F.when(F.col("u") <= 1 - threshold + 1e-9, most).otherwise(float("-inf")).alias("most"),
-    )
+    own = single.groupBy("node").agg(F.sum("weight").alias("own"))
+    told = mine.select("node", "total").join(own, "node", "left").withColumn("u", F.coalesce(F.col("own") / F.col("total"), F.lit(0.0)))
+    return told.where(F.col("u") <= 1 - threshold + 1e-9).select("node", "total", "u")
+
+
+def _most_apart(threshold: float) -> float:
+    """What the shares of two similar documents' weights on shingles that the other lacks come to at most."""
+    return 2 * (1 - threshold) / (1 + threshold) + 1e-9
+
+
+def _allowed(threshold: float, a: str, b: str):
+    """Whether documents with the given prefixes of u, gaps and total can be similar, by what is known of their centre."""
+    apart = F.aggregate(F.zip_with(f"{a}gaps", f"{b}gaps", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    u = F.col(f"{a}u") + F.col(f"{b}u")
+    most = _most_apart(threshold)
+    return (u <= most) & (u + apart / F.greatest(f"{a}total", f"{b}total") <= most)
+
+
+def _to_strays(placed: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """Pairs of a group's documents with one (another each turn) outside their main class, where they can be similar."""
+    order = F.struct(F.col("label") == F.col("main"), F.xxhash64("node", F.lit(turn)), "node", "label", "u", "gaps", "total")
+    chosen = _with_main(placed).groupBy("group").agg(F.min(order).alias("c"))
+    chosen = chosen.select("group", *(F.col(f"c.{n}").alias(f"c_{n}") for n in ("node", "label", "u", "gaps", "total")))
+    met = placed.join(chosen, "group").where(F.col("label") != F.col("c_label")).where(_allowed(threshold, "", "c_"))
+    met = met.groupBy("node", "c_label").agg(F.min("c_node").alias("c_node"))
+    return met.select(F.least("node", "c_node").alias("src"), F.greatest("node", "c_node").alias("dst")).distinct()
 
 
-def _to_centres(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a band's documents with its centre (another one each turn) where classes differ and sizes allow it."""
-    order = F.struct(F.col("most") < F.col("size"), F.xxhash64("node", F.lit(turn)), "node", "label", "size", "most")
-    centres = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("c"))
-    centres = centres.where("lo < hi").select("band", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"), F.col("c.size").alias("c_size"), F.col("c.most").alias("c_most"))
-    met = placed.join(centres, "band").where("label <> centre_label and size <= c_most and c_size <= most")
-    met = met.groupBy("node", "centre_label").agg(F.min("centre").alias("centre"))
-    return met.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
+def _with_main(placed: DataFrame) -> DataFrame:
+    """The groups of several classes, with the label of the largest one, the number of documents and the largest weight."""
+    classes = placed.groupBy("group", "label").agg(F.count("*").alias("of"), F.max("total").alias("heaviest"))
+    main = classes.groupBy("group").agg(
+        F.max_by("label", F.struct("of", "label")).alias("main"), F.sum("of").alias("held"), F.count("*").alias("classes"), F.max("heaviest").alias("heaviest")
+    )
+    return placed.join(main.where("classes > 1").drop("classes"), "group")
 
 
 def _left_open(placed: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of a band in different classes, but for those within its main class, that sizes allow.
+    """All pairs of documents of one group in different classes, but for those within their main class, that can be similar.
 
-    Documents meet by bins of size, so those that can be similar to nothing in their band meet nothing.
+    With g the number of the centre's shingles that a document lacks, as a share of their largest weight: two
+    documents are similar only if u + g of each is at most the most allowed, less u, plus g of the other. So each is
+    an interval; they meet in the bin where the later of two intervals begins, and there the parts of g are compared.
+    The others of a large group are dealt over shares of it, each of which meets all strays.
     """
-    main = placed.groupBy("band", "label").agg(F.count("*").alias("of")).groupBy("band").agg(F.max_by("label", F.struct("of", "label")).alias("main"), F.count("*").alias("classes"))
-    both = placed.join(main.where("classes > 1"), "band")
-    bin_of = lambda v: F.floor(F.log(F.greatest(v, F.lit(1.0))) / math.log(BIN)).cast("int")
-    low = threshold * F.col("size") * (1 - 1e-9)
-    strays = both.where((F.col("label") != F.col("main")) & (F.col("most") >= low))
-    strays = strays.withColumn("s_low", bin_of(low)).select(
-        "band", F.col("node").alias("stray"), F.col("label").alias("s_label"), F.col("size").alias("s_size"), F.col("most").alias("s_most"),
-        "s_low", F.explode(F.sequence("s_low", F.greatest("s_low", bin_of(F.col("most"))))).alias("bin"),
+    most = _most_apart(threshold)
+    gaps = F.aggregate("gaps", F.lit(0), lambda total, x: total + x) / F.col("heaviest")
+    both = _with_main(placed).withColumn("g", gaps).withColumns({"size": F.col("u") + F.col("g"), "most": most + F.col("g") - F.col("u")})
+    bin_of = lambda v: F.floor(v / (most / BINS) + 1e-9).cast("int")
+    both = both.withColumns({"low": bin_of(F.col("size")), "high": bin_of(F.greatest("size", "most")), "first": bin_of(F.least("size", "most"))})
+    shares = F.ceil(F.col("held") / PER_SHARE).cast("int")
+    strays = both.where(F.col("label") != F.col("main"))
+    range_of = strays.groupBy("group").agg(F.min("first").alias("from"), F.max("high").alias("to"))
+    others = both.join(range_of, "group").withColumn("low", F.greatest("low", "from")).where(F.col("low") <= F.least(F.greatest("low", "high"), "to"))
+    others = others.select(
+        "group", "node", "best", "label", "main", "u", "gaps", "total", "low", F.pmod(F.xxhash64("node"), shares).alias("share"),
+        F.explode(F.sequence("low", F.least(F.greatest("low", "high"), F.greatest("low", "to")))).alias("bin"),
     )
-    others = both.withColumn("low", bin_of(F.col("size"))).withColumn("bin", F.explode(F.sequence("low", F.greatest("low", bin_of(F.col("n"))))))
-    allowed = "s_label <> label and s_size <= most and size <= s_most and bin = greatest(low, s_low) and (label = main or stray < node)"
-    met = others.join(strays, ["band", "bin"]).where(allowed)
+    strays = strays.select(
+        "group", F.col("node").alias("stray"), *(F.col(n).alias(f"s_{n}") for n in ("best", "label", "u", "gaps", "total", "first")),
+        F.explode(F.sequence("first", "high")).alias("bin"), shares.alias("shares"),
+    ).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1)))
+    met = others.join(strays, ["group", "bin", "share"]).where("s_label <> label and bin = greatest(low, s_first) and (label = main or stray < node) and (group.by_best or best <> s_best)")
+    met = met.where(_allowed(threshold, "", "s_"))
     return met.select(F.least("stray", "node").alias("src"), F.greatest("stray", "node").alias("dst")).distinct()
 
 
@@ -264,33 +308,43 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     sketches = store(hashed.mapInPandas(_sketch, "doc_id long, text_hash long, node long, bands array<long>"), "sketches")
     known = sketches.where("node is not null")
-    nodes = store(known.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"), F.any_value("bands").alias("bands")), "nodes")
+    one = F.min(F.struct("doc_id", "text_hash")).alias("one")
+    nodes = known.groupBy("node").agg(one, F.count("*").alias("members"), F.any_value("bands").alias("bands"))
+    nodes = store(nodes.select("node", F.col("one.doc_id").alias("least"), "one.text_hash", "members", "bands"), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("of")).where("of > 1").select("band")
     placed = store(bands.join(shared, "band"), "bands")
     labels = store(placed.select("node", F.col("node").alias("label")).distinct(), "labels")
-    wanted = labels.join(nodes.select("node", "least"), "node").select(F.col("least").alias("doc_id"), "node")
-    sets = store(texts.join(wanted, "doc_id").mapInPandas(_as_sets, "node long, keys binary, counts binary, n int, total long").dropDuplicates(["node"]), "sets")
+    wanted = labels.join(nodes, "node").select(F.col("least").alias("doc_id"), "text_hash", "node")
+    chosen = hashed.join(wanted, ["doc_id", "text_hash"])
+    sets = store(chosen.mapInPandas(_as_sets, "node long, keys binary, counts binary, n int, total long").dropDuplicates(["node"]), "sets")
 
-    tried = store(_to_central(placed), "pairs")
-    labels = _merged(labels, store(_verified(tried, sets, threshold), "links"))
+    first = store(_compared(_to_central(placed), sets, threshold, with_gaps=True), "compared")
+    labels = _merged(labels, store(_linked(first), "links"))
     placed = store(_open(placed, labels), "bands")
     if not placed.isEmpty():
-        reach = store(_reach(sets, placed.select("node").distinct(), threshold), "reach")
-        placed = store(placed.join(reach, "node"), "bands")
-        for turn in range(1, ROUNDS):
-            pairs = store(_to_centres(placed.join(labels, "node"), turn).join(tried, ["src", "dst"], "left_anti"), "pairs")
-            if pairs.isEmpty():
+        best = first.select(F.col("src").alias("node"), F.col("dst").alias("best"))
+        left = placed.select("node").unionByName(best.select(F.col("best").alias("node"))).distinct()
+        facts = store(_facts(sets, left, threshold).join(best, "node", "left").withColumn("best", F.coalesce("best", "node")), "facts")
+        centred = _with_centres(placed.join(facts, "node")).select(F.col("node").alias("src"), F.col("centre.node").alias("dst"))
+        compared = store(_compared(centred.where("src <> dst").distinct(), sets, threshold, with_gaps=True), "compared")
+        labels = _merged(labels, store(_linked(compared), "links"))
+        group = lambda by_best: F.struct(F.lit(by_best).alias("by_best"), F.col("dst").alias("centre")).alias("group")
+        told = first.select(F.col("src").alias("node"), group(True), "gaps").unionByName(compared.select(F.col("src").alias("node"), group(False), "gaps"))
+        placed = store(_open(told.join(facts, "node"), labels, "group"), "groups")
+        for turn in range(TURNS):
+            if placed.isEmpty():
                 break
-            tried = tried.unionByName(pairs)
-            labels = _merged(labels, store(_verified(pairs, sets, threshold), "links"))
-        pairs = store(_left_open(placed.join(labels, "node"), threshold).join(tried, ["src", "dst"], "left_anti"), "pairs")
-        labels = _merged(labels, store(_verified(pairs, sets, threshold), "links"))
+            pairs = _to_strays(placed.join(labels, "node"), turn, threshold)
+            labels = _merged(labels, store(_linked(_compared(pairs, sets, threshold)), "links"))
+            placed = store(_open(placed, labels, "group"), "groups")
+        pairs = store(_left_open(placed.join(labels, "node"), threshold), "pairs")
+        labels = _merged(labels, store(_linked(_compared(pairs, sets, threshold)), "links"))
 
     named = nodes.select("node", "least", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("members").alias("class_size"))
-    classes = store(named.join(sizes, "label").select("node", "class_id", "class_size"), "named")
-    out = known.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "class_id", "class_size")
+    classes = store(join_weighted(named.select("node", "label", "members"), sizes, "label", "class_size").select("node", "members", "class_id", "class_size"), "named")
+    out = join_weighted(known.select("doc_id", "text_hash", "node"), classes, "node", "members").select("doc_id", "text_hash", "class_id", "class_size")
     alone = sketches.where("node is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     out = out.unionByName(alone)
     return out.select(outer_id().alias("doc_id"), outer_id("class_id").alias("class_id"), "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"), "text_hash")

@@ -20,6 +20,8 @@ CAPACITY = 1024
 VOCABULARY = "byte_bpe_50k"
 #: Word units whose ids one worker remembers.
 REMEMBERED = 600_000
+#: A document's leftover: 36 bytes.
+_TAIL = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("length", "<i8"), ("ids_crc32", "<u4"), ("doc_tokens", "<i8")])
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -139,19 +141,9 @@ def _pack(ranks_path: str, tokenizer_path: str, pattern: str, capacity: int):
         ids = _ids[key]
         columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         next_id = TaskContext.get().partitionId() << 32
-        tails: list[tuple] = []
-
-        def packed() -> pd.DataFrame:
-            nonlocal next_id, tails
-            out = pd.DataFrame(tails, columns=columns[:5])
-            window, out["offset"], opened = best_fit_decreasing(out["length"].to_numpy(np.int64), capacity)
-            out["sequence_id"] = window + next_id
-            next_id += opened
-            tails = []
-            return out[columns]
-
+        tails: list[np.ndarray] = []
         for frame in frames:
-            full = []
+            full, left = [], []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 data = ids(text) + b"\0\0\0\0"
                 n = len(data) // 4
@@ -159,12 +151,15 @@ def _pack(ranks_path: str, tokenizer_path: str, pattern: str, capacity: int):
                     full.append((doc_id, start, capacity, zlib.crc32(data[4 * start : 4 * (start + capacity)]), n, next_id, 0))
                     next_id += 1
                 if rest := n % capacity:
-                    tails.append((doc_id, n - rest, rest, zlib.crc32(data[-4 * rest :]), n))
+                    left.append((doc_id, n - rest, rest, zlib.crc32(data[-4 * rest :]), n))
+            tails.append(np.array(left, _TAIL))
             yield pd.DataFrame(full, columns=columns)
-            if len(tails) >= 200_000:
-                yield packed()
-        if tails:
-            yield packed()
+        rest = np.concatenate(tails or [np.empty(0, _TAIL)])
+        window, offset, _ = best_fit_decreasing(rest["length"].astype(np.int64), capacity)
+        for low in range(0, len(rest), 65_536):
+            part = slice(low, low + 65_536)
+            out = pd.DataFrame({c: rest[c][part].astype(np.int64) for c in columns[:5]})
+            yield out.assign(sequence_id=window[part] + next_id, offset=offset[part])
 
     return run
 
@@ -174,7 +169,7 @@ def pack(docs: DataFrame, vocabulary_folder: str | None = None, capacity: int =
 
     A document is the ids of its text and a closing id 0. Its full windows are sequences of their own; what is
     left over is packed best-fit decreasing among the leftovers of the same input partition, so nothing is
-    shuffled and a task keeps one small row per document. Null text counts as empty (one piece, the closing id).
+    shuffled and a task keeps 36 bytes per document of its partition, whatever its length, and the places of its windows. Null text counts as empty (one piece, the closing id).
     A null doc_id is kept as null; repeated rows are documents of their own; further columns are ignored.
 
     ``vocabulary_folder``: where the tokenizer files are; by default those of ``public_tokenizers``. The rank file

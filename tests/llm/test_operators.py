@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -97,10 +98,12 @@ def test_packed_ids_equal_the_tokenizer_file_under_its_defaults(spark):
 
 
 def test_packing(spark):
-    rows = corpus(2) + [(9000, "long text of words " * 3000), (None, "no id"), (1, "again"), (1, "again")]
+    rows = corpus(2) + [(9000, "long text of words " * 3000), (9001, "x" * 200_000), (None, "no id"), (1, "again"), (1, "again"), (7, "a <|endoftext|> b")]
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     got = rows_of(packing.pack(table(spark, rows)))
     crc = Counter()
     sequences = defaultdict(list)
@@ -193,11 +196,11 @@ def test_near_duplicates(spark):
     assert sorted(sorted(c) for c in classes.values()) == brute_classes(rows)
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_near_duplicates_with_many_members_apart(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("turns", [0, 2])
+def test_near_duplicates_with_many_members_apart(spark, monkeypatch, turns):
     """Members with few to many edits, repeated and cut passages: the last comparison loses no link."""
-    monkeypatch.setattr(minhash, "ROUNDS", rounds)
-    rnd = random.Random(rounds)
+    monkeypatch.setattr(minhash, "TURNS", turns)
+    rnd = random.Random(turns)
     base = [f"w{rnd.randrange(400)}" for _ in range(110)]
     rows = []
     for i in range(90):
@@ -216,6 +219,50 @@ def test_near_duplicates_with_many_members_apart(spark, monkeypatch, rounds):
     assert sorted(sorted(c) for c in got.values()) == brute_classes(rows)
 
 
+def test_near_duplicates_of_a_large_group_of_which_most_are_below_the_threshold(spark, monkeypatch):
+    """2,000 edited copies: no link is lost, and few pairs are compared."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(2000):
+        own = list(base)
+        for n, at in enumerate(rnd.sample(range(len(own)), rnd.randint(1, 7))):
+            own[at] = f"x{i}a{n}" if rnd.random() < 0.9 else f"y{rnd.randrange(20)}"
+        if i % 10 == 0:
+            del own[rnd.randrange(100) : rnd.randrange(100, 150)]
+        rows.append((i, " ".join(own)))
+    sets = [minhash.shingles(t.encode()) for _, t in rows]
+    assert all((c == 1).all() for _, c in sets)
+    names = {k: n for n, k in enumerate(np.unique(np.concatenate([k for k, _ in sets])).tolist())}
+    x = np.zeros((2000, len(names)), np.float32)
+    for i, (k, _) in enumerate(sets):
+        x[i, [names[v] for v in k.tolist()]] = 1
+    both = x @ x.T
+    similar = both / (x.sum(1)[:, None] + x.sum(1)[None] - both) >= 0.8
+    label = np.arange(2000)
+    while (label != (new := np.where(similar, label[None], 2000).min(1))).any():
+        label = new
+
+    compared = []
+
+    def counted(*args, was=minhash._left_open):
+        pairs = was(*args)
+        compared.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_left_open", counted)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert [got[i] for i in range(2000)] == label.tolist()
+    assert len(set(label.tolist())) > 500
+    assert compared[0] < 20_000
+
+
+def test_near_duplicates_of_rows_without_ids_stay_linear(spark):
+    rows = [(None, f"one two three four five six {i // 2} eight") for i in range(400)]
+    got = rows_of(minhash.near_duplicates(table(spark, rows)))
+    assert len(got) == 400
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
     got = rows_of(minhash.near_duplicates(table(spark, [(1, None), (2, ""), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")])))
@@ -290,6 +337,36 @@ def test_language_identification(spark):
     assert language_id.identify(table(spark, [])).count() == 0
 
 
+def test_decoding_takes_the_codeword_of_least_weighted_loss():
+    rnd = np.random.default_rng(0)
+    names = list("abcdefg")
+    x = rnd.normal(size=(70, language_id.BUCKETS))
+    model = language_id.CodeModel.fit(x, [names[i % 7] for i in range(70)], rounds=5)
+    tried = rnd.normal(size=(40, language_id.BUCKETS))
+    best, score, lead = model.predict(tried)
+    for i, row in enumerate(tried):
+        margin = [sum(row[f] * model.weights[f, b] for f in range(len(row))) + model.bias[b] for b in range(model.code.shape[1])]
+        loss = [sum(model.trust[b] * math.log1p(math.exp(-margin[b] * word[b])) for b in range(len(word))) for word in model.code]
+        like = [math.exp(-model.code.shape[1] * (v - min(loss))) for v in loss]
+        ranked = sorted((v / sum(like) for v in like), reverse=True)
+        assert best[i] == loss.index(min(loss))
+        assert score[i] == pytest.approx(ranked[0]) and lead[i] == pytest.approx(ranked[0] - ranked[1])
+
+
+def test_sample_of_repeated_ids_keeps_every_language(spark):
+    rows = [(1, f"same id {i % 7}", "aa") for i in range(5000)] + [(i, f"zz text {i}", "zz") for i in range(2, 300)] + [(None, "no id", "nn")]
+    _, languages = language_id.training_sample(table(spark, rows), 50)
+    assert Counter(languages) == {"aa": 1, "zz": 50, "nn": 1}
+    _, languages = language_id.training_sample(table(spark, [(i, "t", f"l{i % 40}") for i in range(4000)]), 400, 80)
+    assert Counter(languages) == {f"l{i}": 2 for i in range(40)}
+
+
+def test_held_out_accuracy_on_the_documents_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.98
+
+
 # 8 unigram
 
 
