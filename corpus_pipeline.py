@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactry.llm import exact_dedup as exact
-from contactry.llm.common import NO_ID, store
+from contactry.llm.common import NO_ID, fresh, store
 from contactry.llm.language_id import keep_identified
 from contactry.llm.minhash import near_duplicates
 from contactry.llm.packing import pack
@@ -15,39 +14,52 @@ from contactry.llm.pii import redact_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go; a missing lang is filled in."""
+    """Documents without a language go (no text, no letter in it, or too close between two); ``lang`` is the predicted one.
+
+    Rows without an id and repeated rows are judged like others.
+    """
     return keep_identified(docs)
 
 
-def _only(docs: DataFrame, kept: DataFrame, name: str, mark) -> DataFrame:
-    """The rows of ``docs`` whose id and text mark are in ``kept``; of repeated rows one."""
+def _only(docs: DataFrame, result: DataFrame, name: str, mark) -> DataFrame:
+    """The rows of ``docs`` that ``result`` keeps, by id and text mark; of rows with the same id and text one.
+
+    Texts stay where they are: the few keys that go, or that have several rows, are taken out by an anti join, and
+    only rows that share a key are brought together. Names inside are ones that ``docs`` does not have.
+    """
+    at, by, kept, rows = (fresh(docs, n) for n in ("at", "by", "kept_row", "rows_of_key"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    own = docs.withColumns({"__id": key, "__mark": mark})
-    ids = kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col(name).alias("__mark"))
-    nth = F.row_number().over(W.partitionBy("__id", "__mark").orderBy(F.lit(1)))
-    out = own.join(ids.distinct(), ["__id", "__mark"], "left_semi").withColumn("__nth", nth).where(F.col("__nth") == 1)
-    return out.select(*docs.columns)
+    told = result.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(at), F.col(name).alias(by), F.col("kept").alias(kept))
+    told = store(told.groupBy(at, by).agg(F.bool_or(kept).alias(kept), F.count("*").alias(rows)).where(~F.col(kept) | (F.col(rows) > 1)), "odd")
+    own = docs.withColumns({at: key, by: mark})
+    plain = own.join(told.select(at, by), [at, by], "left_anti")
+    again = own.join(told.where(kept).select(at, by), [at, by], "left_semi").dropDuplicates([at, by])
+    return plain.unionByName(again).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with the same text the one with the largest doc_id stays."""
-    kept = exact.exact_dedup(docs).where("kept")
-    return _only(docs, kept, "text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    """Of documents with the same text the one with the largest doc_id stays.
+
+    Null counts as empty text, a null id as smaller than all others; of repeated rows one stays.
+    """
+    return _only(docs, exact.exact_dedup(docs), "text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents the one with the smallest doc_id stays."""
-    kept = near_duplicates(docs).where("kept")
-    return _only(docs, kept, "text_hash", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")))
+    """Of near-duplicate documents the one with the smallest doc_id stays.
+
+    A null id counts as smaller than all others; texts without words are alike to nothing; of repeated rows one stays.
+    """
+    return _only(docs, near_duplicates(docs), "text_hash", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind in brackets."""
+    """Personal data in the texts is replaced by its kind in brackets; no row goes, null texts stay null."""
     return redact_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     return pack(docs)
 
 
