@@ -7,7 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FOR_WRITES = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 _own_folder: dict[str, str] = {}
 
 
@@ -28,17 +31,16 @@ def store(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it.
 
     A lost executor then costs the tasks it ran, not the stages before the table. Shuffle files of the finished
-    write go at once.
+    write go at once. Batches to and from Python are kept small for the write, as rows hold whole texts.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    before = {name: spark.conf.get(name, None) for name in _FOR_WRITES}
+    for name, value in _FOR_WRITES.items():
+        spark.conf.set(name, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
