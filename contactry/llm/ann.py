@@ -21,7 +21,8 @@ from .common import store
 
 SAMPLE_ROWS = 16_384
 BRANCHES = 8
-LEAVES = 512
+#: Leaves at most: they grow with the rows, one for about 128, as far as the sample tells them apart.
+LEAVES = 4096
 CALIBRATION_QUERIES = 128
 RECALL = 0.97
 NEIGHBOURS = 20
@@ -217,11 +218,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, recall: flo
 
     Nearness is the largest inner product in double precision; ties go to the smaller vec_id; a query's own row (and
     repeated rows with its id) is no candidate. Null or zero vectors, and those with null or non-finite parts, take
-    no part, nor do rows without an id. Fewer candidates than k give them all. No usable row gives no result.
+    no part, nor do rows without an id, nor vectors of another length than the most frequent one (of two as frequent,
+    the shorter). Of several vectors with one id the smallest, component by component, counts. Fewer candidates than k give them all. No usable row gives no result.
     The sample (SAMPLE_ROWS rows) and the calibration queries are chosen by a hash of the id.
     """
     spark = vectors.sparkSession
-    rows = store(usable(vectors).dropDuplicates(["vec_id"]), "vectors")
+    rows = usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
+    lengths = rows.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").first()
+    rows = store(rows.where(F.size("v") == (lengths["length"] if lengths else 0)), "vectors")
     n = rows.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:

@@ -118,16 +118,18 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, mo
     each = max(1, min(per_language, most // languages))
     order = F.xxhash64("doc_id")
     place = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
-    near = known.select("lang", "doc_id", F.xxhash64("text").alias("mark")).join(held, "lang").where(place <= (2 * each + 50) / F.col("held"))
+    if languages <= 10_000:  # a few hundred KB
+        held = F.broadcast(held)
+    near = known.select("lang", "doc_id").join(held, "lang").where(place <= (2 * each + 50) / F.col("held"))
     nth = F.row_number().over(W.partitionBy("lang").orderBy(place, order, "doc_id"))
-    chosen = near.groupBy("lang", "doc_id").agg(F.min("mark").alias("mark")).withColumn("nth", nth).where(F.col("nth") <= each)
-    chosen = chosen.orderBy("nth", "lang").limit(most).select("lang", "doc_id", "mark")
+    chosen = near.distinct().withColumn("nth", nth).where(F.col("nth") <= each)
+    chosen = chosen.orderBy("nth", "lang").limit(most).select("lang", "doc_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "x": [features(t).astype("<f4").tobytes() for t in frame["text"]]})
 
-    picked = known.withColumn("mark", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "lang", "mark"]).drop("mark")
+    picked = known.join(F.broadcast(chosen), ["doc_id", "lang"])
     rows = picked.mapInPandas(run, "doc_id long, lang string, x binary").groupBy("lang", "doc_id").agg(F.min("x").alias("x"))
     rows = rows.orderBy("lang", "doc_id").collect()  # at most SAMPLE_ROWS
     return np.stack([np.frombuffer(r.x, "<f4") for r in rows]), [r.lang for r in rows]

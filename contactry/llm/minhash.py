@@ -134,16 +134,20 @@ def _sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _as_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["node", "keys", "counts", "n", "total"]
     for frame in frames:
         out = []
         for node, text in zip(frame["node"], frame["text"], strict=True):
+            if len(out) >= 256:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
             s = shingles(text)
             if len(s[0]) and _signed(text, s) == node:
                 keys = np.ascontiguousarray(s[0].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEY :])
                 keys, where = np.unique(keys.view(f"V{KEY}").ravel(), return_inverse=True)
                 counts = np.bincount(where, s[1]).astype("<u4")
                 out.append((node, keys.tobytes(), counts.tobytes(), len(keys), int(counts.sum(dtype=np.int64))))
-        yield pd.DataFrame(out, columns=["node", "keys", "counts", "n", "total"])
+        yield pd.DataFrame(out, columns=columns)
 
 
 def _read_set(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -154,10 +158,11 @@ def _read_set(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _set_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        sets = [_read_set(keys, counts) for keys, counts in zip(frame["keys"], frame["counts"], strict=True)]
-        if sets:
+        for low in range(0, len(frame), 64):
+            part = frame.iloc[low : low + 64]
+            sets = [_read_set(keys, counts) for keys, counts in zip(part["keys"], part["counts"], strict=True)]
             shingle, weight = np.concatenate([k for k, _ in sets]).view(np.int64), np.concatenate([w for _, w in sets])
-            yield pd.DataFrame({"node": np.repeat(frame["node"].to_numpy(), [len(k) for k, _ in sets]), "shingle": shingle, "weight": weight})
+            yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), [len(k) for k, _ in sets]), "shingle": shingle, "weight": weight})
 
 
 def _gaps(own: np.ndarray, centre: np.ndarray) -> list[int]:

@@ -459,6 +459,15 @@ def test_search_fills_the_list_of_isolated_vectors(spark):
         assert len({v for _, v in found} - {q}) == 20
 
 
+def test_search_with_unequal_lengths_and_repeated_ids(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 41)] + [(41, [1.0, 2.0, 3.0]), (42, [1.0]), (20, [0.5, 0.5]), (20, [0.25, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.search(df).collect())
+    assert {r[0] for r in got} == {20, 40} and all(len([r for r in got if r[0] == q]) == 20 for q in (20, 40))
+    assert not {r[2] for r in got} & {41, 42}
+    assert got[0] == (20, 1, 40, 0.25 * 40 + 9.0)
+
+
 def test_search_in_cells_and_blocks(spark, monkeypatch):
     rnd = np.random.default_rng(4)
     x = np.concatenate([np.repeat(rnd.normal(size=(1, 8)), 900, 0), rnd.normal(size=(1500, 8))])[rnd.permutation(2400)]
