@@ -13,14 +13,24 @@ from contactry.llm.packing import pack
 from contactry.llm.pii import redact_documents
 
 
+#: Keys up to which the rows that go are broadcast: some 10 MB.
+SMALL = 100_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go (no text, no letter in it, or too close between two); ``lang`` is the predicted one.
 
     Rows without an id and repeated rows are judged like others.
     """
+    _small_batches(spark)
     return keep_identified(docs)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts, some very long: fewer of them go to Python at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def _only(docs: DataFrame, result: DataFrame, name: str, mark) -> DataFrame:
     """The rows of ``docs`` that ``result`` keeps, by id and text mark; of rows with the same id and text one.
 
@@ -31,6 +41,8 @@ def _only(docs: DataFrame, result: DataFrame, name: str, mark) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     told = result.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(at), F.col(name).alias(by), F.col("kept").alias(kept))
     told = store(told.groupBy(at, by).agg(F.bool_or(kept).alias(kept), F.count("*").alias(rows)).where(~F.col(kept) | (F.col(rows) > 1)), "odd")
+    if told.count() <= SMALL:
+        told = F.broadcast(told)
     own = docs.withColumns({at: key, by: mark})
     plain = own.join(told.select(at, by), [at, by], "left_anti")
     again = own.join(told.where(kept).select(at, by), [at, by], "left_semi").dropDuplicates([at, by])
@@ -55,11 +67,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind in brackets; no row goes, null texts stay null."""
+    _small_batches(spark)
     return redact_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    _small_batches(spark)
     return pack(docs)
 
 
