@@ -90,7 +90,6 @@ ORACLE = {
     "lead_queue": "SELECT o_orderkey, coalesce(nullif(trim(c_name), ''), 'unnamed') AS company, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 100",
     "query_matrix": "SELECT c_custkey, nth, replace(form, '{}', c_name) AS query FROM customer, (VALUES (0, 'contacts {}'), (1, '{} team'), (2, '{} press service'), (3, '{} tender')) f(nth, form)",
     "rejected_contacts": "SELECT source, count(*) AS rejected FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0) GROUP BY 1",
-    "platform_counts": f"WITH u AS (SELECT source, unnest(regexp_extract_all(text, 'https?://[a-z0-9.]+')) AS url FROM documents), h AS (SELECT source, {_domain('url')} AS host FROM u) SELECT source, {_platform} AS platform, count(*) AS n FROM h GROUP BY 1, 2",
     "run_totals": "SELECT count(*) AS results, count(DISTINCT source) AS sources, count(DISTINCT CASE WHEN lang = 'en' THEN lower(source) END) AS en_sources, sum(n_chars)::BIGINT AS chars FROM documents",
     "customer_initials": "WITH w AS (SELECT c_custkey, list_filter(string_split(trim(replace(c_name, '#', ' ')), ' '), lambda x: x <> '') AS w FROM customer) SELECT c_custkey, upper(left(w[1], 1)) || coalesce(upper(left(w[2], 1)), '') AS initials FROM w",
 }

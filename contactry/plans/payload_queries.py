@@ -54,7 +54,8 @@ def grounded_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def archived_page_urls(spark: SparkSession, d: str) -> DataFrame:
-    rows = _bodies(_t(spark, d, "pages"), "page_id", 20, "hits", F.struct("url"))
+    place = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(SITE + "team/"), (F.col("page_id") % 7).cast("string"))).otherwise(F.col("url"))
+    rows = _bodies(_t(spark, d, "pages"), "page_id", 20, "hits", F.struct(place.alias("url")))
     lines = F.array_join(F.transform("hits", lambda h: F.to_json(h)), "\n")
     table = F.to_json(F.concat(F.array(F.array(F.lit("url"))), F.transform("hits", lambda h: F.array(h.url))))
     body = F.when(F.col("bucket") % 3 == 0, lines).when(F.col("bucket") % 3 == 1, table).otherwise(F.to_json("hits"))
@@ -111,7 +112,7 @@ ORACLE = {
     "recent_questions": f"WITH {_places(10)} SELECT query, ord, '{SITE}q/' || doc_id AS title, '{SITE}q/' || doc_id AS url, {_cut(3000)} AS content, source AS author FROM d WHERE doc_id % 30 <= 14",
     "grounded_sources": f"""WITH {_places(10)}, n AS (SELECT *, nullif(lang, '') AS own, nullif(lag(lang) OVER (PARTITION BY query ORDER BY ord), '') AS before FROM d)
       SELECT query, ord, coalesce({_source}, '{SITE}' || doc_id) AS title, '{SITE}' || doc_id AS url, coalesce(nullif(concat_ws(' ', before, own), ''), {_source}, 'Grounded source') AS content FROM n""",
-    "archived_page_urls": f"""WITH {_pages}, n AS (SELECT query, ord, {_normal} AS url FROM p), f AS (SELECT query, url, min(ord) AS ord FROM n WHERE url IS NOT NULL GROUP BY 1, 2),
+    "archived_page_urls": f"""WITH {_pages.replace("regexp_replace(trim(url)", f"regexp_replace(trim(CASE WHEN page_id % 3 = 0 THEN '{SITE}team/' || (page_id % 7) ELSE url END)")}, n AS (SELECT query, ord, {_normal} AS url FROM p), f AS (SELECT query, url, min(ord) AS ord FROM n WHERE url IS NOT NULL GROUP BY 1, 2),
       r AS (SELECT query, url, row_number() OVER (PARTITION BY query ORDER BY ord)::INTEGER AS rank FROM f WHERE regexp_matches({_path('url')}, '{payloads.ARCHIVE_PATH}')) SELECT * FROM r WHERE rank <= {payloads.ARCHIVE_URLS}""",
     "feed_signals": f"WITH {_places(40)} SELECT 'feed:{SITE}' || query AS query, ord, coalesce({_source}, '{SITE}' || doc_id) AS title, '{SITE}' || doc_id AS url, coalesce(trim(lang), '') AS content FROM d WHERE ord < 30",
     "sitemap_urls": f"WITH {_pages} SELECT query AS site, false AS nested, trim(url) AS url FROM p WHERE trim(url) <> ''",

@@ -203,11 +203,6 @@ def rejected_contacts(spark, d):
     return docs.join(marks, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("rejected"))
 
 
-def platform_counts(spark, d):
-    rows = _t(spark, d, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit("https?://[a-z0-9.]+"), F.lit(0))).alias("url"))
-    return rows.groupBy("source", F.coalesce(norm.platform(F.col("url")), F.lit("other")).alias("platform")).agg(F.count("*").alias("n"))
-
-
 def run_totals(spark, d):
     docs = _t(spark, d, "documents")
     return docs.agg(F.count("*").alias("results"), F.count_distinct("source").alias("sources"), F.count_distinct(F.when(F.col("lang") == "en", F.lower("source"))).alias("en_sources"), F.sum("n_chars").alias("chars"))
@@ -223,7 +218,7 @@ QUERIES = {
         emails_in_documents, phones_in_documents, url_parts, fingerprint_documents, truncate_texts, fnv_sources, freshness_days,
         page_text, page_links, top_links_per_page, robots_filter, first_wins_dedup, union_evidence, provider_status, term_windows,
         allowlist_semi_join, resolve_components, best_email, contact_scores, top_contacts_per_source, confidence_buckets,
-        demand_scores, top_signals, signal_upsert, review_decisions, lead_queue, query_matrix, rejected_contacts, platform_counts,
+        demand_scores, top_signals, signal_upsert, review_decisions, lead_queue, query_matrix, rejected_contacts,
         run_totals, customer_initials,
     )
 }
