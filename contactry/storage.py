@@ -7,10 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FOR_WRITES = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own_folder: dict[str, str] = {}
 
 
@@ -27,20 +25,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[context.applicationId]
 
 
-def store(df: DataFrame, name: str = "step") -> DataFrame:
+def store(df: DataFrame, name: str = "step", batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it.
 
     A lost executor then costs the tasks it ran, not the stages before the table. Shuffle files of the finished
-    write go at once. Batches to and from Python are kept small for the write, as rows hold whole texts.
+    write go at once. ``batch_rows``: rows that go to Python at a time during the write, fewer where they hold whole texts.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = {name: spark.conf.get(name, None) for name in _FOR_WRITES}
-    for name, value in _FOR_WRITES.items():
-        spark.conf.set(name, value)
+    wanted = {_CLEAN: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    before = {conf: spark.conf.get(conf, None) for conf in wanted}
+    for conf, value in wanted.items():
+        spark.conf.set(conf, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+        for conf, value in before.items():
+            spark.conf.unset(conf) if value is None else spark.conf.set(conf, value)
     return spark.read.schema(df.schema).parquet(path)
