@@ -48,6 +48,8 @@ GAPS = 32
 BINS = 2
 #: Documents of a group in one share of the last comparison.
 PER_SHARE = 4096
+#: Texts or sets of shingles that go to Python at a time.
+TEXTS = 1000
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -311,7 +313,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text)
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
-    sketches = store(hashed.mapInPandas(_sketch, "doc_id long, text_hash long, node long, bands array<long>"), "sketches")
+    sketches = store(hashed.mapInPandas(_sketch, "doc_id long, text_hash long, node long, bands array<long>"), "sketches", TEXTS)
     known = sketches.where("node is not null")
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
     nodes = known.groupBy("node").agg(one, F.count("*").alias("members"), F.any_value("bands").alias("bands"))
@@ -322,18 +324,18 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     labels = store(placed.select("node", F.col("node").alias("label")).distinct(), "labels")
     wanted = labels.join(nodes, "node").select(F.col("least").alias("doc_id"), "text_hash", "node")
     chosen = hashed.join(wanted, ["doc_id", "text_hash"])
-    sets = store(chosen.mapInPandas(_as_sets, "node long, keys binary, counts binary, n int, total long").dropDuplicates(["node"]), "sets")
+    sets = store(chosen.mapInPandas(_as_sets, "node long, keys binary, counts binary, n int, total long").dropDuplicates(["node"]), "sets", TEXTS)
 
-    first = store(_compared(_to_central(placed), sets, threshold, with_gaps=True), "compared")
-    labels = _merged(labels, store(_linked(first), "links"))
+    first = store(_compared(_to_central(placed), sets, threshold, with_gaps=True), "compared", TEXTS)
+    labels = _merged(labels, store(_linked(first), "links", TEXTS))
     placed = store(_open(placed, labels), "bands")
     if not placed.isEmpty():
         best = first.select(F.col("src").alias("node"), F.col("dst").alias("best"))
         left = placed.select("node").unionByName(best.select(F.col("best").alias("node"))).distinct()
-        facts = store(_facts(sets, left, threshold).join(best, "node", "left").withColumn("best", F.coalesce("best", "node")), "facts")
+        facts = store(_facts(sets, left, threshold).join(best, "node", "left").withColumn("best", F.coalesce("best", "node")), "facts", TEXTS)
         centred = _with_centres(placed.join(facts, "node")).select(F.col("node").alias("src"), F.col("centre.node").alias("dst"))
-        compared = store(_compared(centred.where("src <> dst").distinct(), sets, threshold, with_gaps=True), "compared")
-        labels = _merged(labels, store(_linked(compared), "links"))
+        compared = store(_compared(centred.where("src <> dst").distinct(), sets, threshold, with_gaps=True), "compared", TEXTS)
+        labels = _merged(labels, store(_linked(compared), "links", TEXTS))
         group = lambda by_best: F.struct(F.lit(by_best).alias("by_best"), F.col("dst").alias("centre")).alias("group")
         told = first.select(F.col("src").alias("node"), group(True), "gaps").unionByName(compared.select(F.col("src").alias("node"), group(False), "gaps"))
         placed = store(_open(told.join(facts, "node"), labels, "group"), "groups")
@@ -341,10 +343,10 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
             if placed.isEmpty():
                 break
             pairs = _to_strays(placed.join(labels, "node"), turn, threshold)
-            labels = _merged(labels, store(_linked(_compared(pairs, sets, threshold)), "links"))
+            labels = _merged(labels, store(_linked(_compared(pairs, sets, threshold)), "links", TEXTS))
             placed = store(_open(placed, labels, "group"), "groups")
         pairs = store(_left_open(placed.join(labels, "node"), threshold), "pairs")
-        labels = _merged(labels, store(_linked(_compared(pairs, sets, threshold)), "links"))
+        labels = _merged(labels, store(_linked(_compared(pairs, sets, threshold)), "links", TEXTS))
 
     named = nodes.select("node", "least", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("members").alias("class_size"))

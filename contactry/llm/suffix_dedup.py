@@ -42,6 +42,7 @@ def lyndon_groups(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     end_of[begins] = np.append(begins[1:], n)
     unknown = -2
     prev = np.full(n, unknown, np.int64)
+    taken = np.zeros(n, bool)
     base = bounds[:-1][owner]
     bottom, top = bounds[:-1], bounds[1:].copy()
     live = np.flatnonzero(top > bottom)
@@ -71,7 +72,9 @@ def lyndon_groups(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
         rest = stop - moved
         tail = np.repeat(rest - cut, moved) + np.arange(len(target))
         there = order[tail]
-        displaced = there[~np.isin(there, target, assume_unique=True)]
+        taken[target] = True
+        displaced = there[~taken[there]]
+        taken[target] = False
         holes = np.sort(rank[target][rank[target] < np.repeat(rest, moved)])
         displaced = displaced[np.argsort(group[displaced], kind="stable")]
         order[holes], rank[displaced] = displaced, holes
