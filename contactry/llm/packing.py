@@ -18,8 +18,8 @@ from .common import NO_ID, outer_id
 
 CAPACITY = 1024
 VOCABULARY = "byte_bpe_50k"
-#: Word units whose ids one worker remembers.
-REMEMBERED = 600_000
+#: Word units whose ids one worker remembers: some 20 MB.
+REMEMBERED = 100_000
 #: A document's leftover: 36 bytes.
 _TAIL = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("length", "<i8"), ("ids_crc32", "<u4"), ("doc_tokens", "<i8")])
 _TWO_SPACES = re.compile(r"\s\s")
