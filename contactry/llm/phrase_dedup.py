@@ -1,24 +1,38 @@
 """Substring dedup with repeated-phrase automata: remove words under a 20-word window that also starts earlier.
 
-Recurring passages are confirmed in groups of passages under one anchor: a dict of a group's 20-word windows finds the
-repeats, and an Aho-Corasick automaton of them (one symbol per word) looks them up again. Copies, passages repeated
-whole and classes over groups go by hashes. Repeats inside one document are found where its text is.
+1. Runs of windows under a repeated anchor are cut from all documents; no other window can recur.
+2. Recurring phrases are confirmed: an aggregate over the windows' own words keeps those with two places or more, with
+   the smallest document of each.
+3. Confirmed phrases are dealt to shards of bounded size, by anchor (phrases of an anchor that has very many: by their
+   own words). Every shard compiles an Aho-Corasick automaton, one symbol per word, and the runs of all documents
+   under its anchors stream through it. Each removed word comes from a place that an automaton reports: copies of
+   whole documents and repeats inside one document take the same way.
+
+A shard through which very many runs stream is compiled on several tasks, each taking a part of the documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textscan
-from .common import outer_id
-from .repeats import Kind, cover, marked, notes_by_document, repeated_windows
+from .common import keyed_documents, outer_id, store
+from .repeats import Kind, anchored_segments, marked, notes_by_document
 
 WINDOW = 20
+#: Phrases in one automaton, on average: about 400,000 nodes.
+SHARD_PHRASES = 20_000
+#: Phrases of one anchor from which they are dealt by their words.
+HOT_PHRASES = 4096
+#: Runs that stream through one copy of an automaton, on average.
+STREAM_RUNS = 100_000
 
 
 def join_words(text: bytes) -> bytes:
@@ -34,83 +48,131 @@ def _prepare(text: bytes):
 WORDS = Kind(WINDOW, 8, _prepare)
 
 
-def automaton_classes(contents: list[list[bytes]], ids: list[np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every window of every content with the smallest id of a content of its group that has the same window.
-
-    The phrases are the windows that a passage of a smaller id brings; the automaton finds every place of them.
-    """
-    names: dict[bytes, str] = {}
-    at_content, at_window, least = [], [], []
-    base = 0
-    for group, docs in zip(contents, ids, strict=True):
-        if len(names) > 900_000:
-            names.clear()
-        symbols = []
-        for passage in group:
-            words = passage.split(b" ")
-            for w in words:
-                if w not in names:
-                    names[w] = chr(len(names) + 0x10000 if len(names) >= 0xD000 else len(names) + 0x100)
-            symbols.append("".join([names[w] for w in words]))
-        seen: dict[str, int] = {}
-        again: dict[str, int] = {}
-        for passage, doc in zip(symbols, docs.tolist(), strict=True):
-            for w in range(len(passage) - window + 1):
-                phrase = passage[w : w + window]
-                if phrase not in seen:
-                    seen[phrase] = doc
-                elif seen[phrase] != doc:
-                    seen[phrase] = again[phrase] = min(seen[phrase], doc)
-        known = {}
-        if again:
-            machine = ahocorasick.Automaton()
-            for phrase, doc in again.items():
-                machine.add_word(phrase, doc)
-            machine.make_automaton()
-            known = {(i, end - window + 1): doc for i, passage in enumerate(symbols) for end, doc in machine.iter(passage)}
-        for i, (passage, doc) in enumerate(zip(symbols, docs.tolist(), strict=True)):
-            for w in range(len(passage) - window + 1):
-                at_content.append(base + i)
-                at_window.append(w)
-                least.append(known.get((i, w), doc))
-        base += len(group)
-    return np.array(at_content, np.int64), np.array(at_window, np.int64), np.array(least, np.int64)
-
-
-def _earlier_inside(units: np.ndarray, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Starts of windows whose words also start earlier in this text."""
-    names = textscan.rolling_all(units, WINDOW)
-    hit = np.zeros(len(names), bool)
-    order = np.argsort(names, kind="stable")
-    same = names[order][1:] == names[order][:-1]
-    if same.any():  # equal hashes are compared as bytes
-        first: dict[bytes, int] = {}
-        for at in np.sort(order[np.flatnonzero(np.append(same, False) | np.append(False, same))]).tolist():
-            phrase = joined[starts[at] : ends[at + WINDOW - 1]]
-            hit[at] = first.setdefault(phrase, at) != at
-    return hit
+def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each window of each content, as its words; ``nth`` counts the windows of a content."""
+    for frame in frames:
+        phrases, sizes = [], []
+        for content in frame["content"]:
+            starts, ends = textscan.word_spans(content)
+            n = len(starts) - WINDOW + 1
+            phrases += [content[a:b] for a, b in zip(starts[:n].tolist(), ends[WINDOW - 1 :].tolist(), strict=True)]
+            sizes.append(n)
+        sizes = np.array(sizes, np.int64)
+        out = frame.drop(columns="content").loc[frame.index.repeat(sizes)]
+        out["phrase"] = phrases
+        out["nth"] = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        yield out
+
+
+class Automaton:
+    """Phrases of a shard with the smallest document of each; finds the places of a passage that are to go."""
+
+    def __init__(self):
+        self.symbols: dict[bytes, str] = {}
+        self.least: list[int] = []
+        self.seen: list[tuple[int, int] | None] = []
+        self.machine = ahocorasick.Automaton()
+        self.ready = False
+
+    def add(self, phrase: bytes, least: int) -> None:
+        symbols = self.symbols
+        for word in phrase.split(b" "):
+            if word not in symbols:
+                n = len(symbols)
+                symbols[word] = chr(n + 0x10000 if n >= 0xD000 else n + 0x100)  # past the surrogates
+        self.machine.add_word("".join([symbols[w] for w in phrase.split(b" ")]), len(self.least))
+        self.least.append(least)
+        self.seen.append(None)
+
+    def places(self, passage: bytes, row: tuple[int, int]) -> int:
+        """Bits of the windows that stand in a smaller document, or further left in this one.
+
+        ``row`` is (doc_id, ident); the passages of a row come one after the other, from left to right.
+        """
+        if not self.least:
+            return 0
+        if not self.ready:
+            self.machine.make_automaton()
+            self.ready = True
+        symbols, least, seen, doc_id, bits = self.symbols, self.least, self.seen, row[0], 0
+        for end, p in self.machine.iter("".join([symbols.get(w, "\0") for w in passage.split(b" ")])):
+            if least[p] < doc_id or seen[p] == row:
+                bits |= 1 << (end - WINDOW + 1)
+            else:
+                seen[p] = row
+        return bits
+
+
+def _locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by shard: its phrases (``part`` 0, doc_id the smallest document), then passages by row and place."""
+    at, automaton = None, Automaton()
+    for frame in frames:
+        out = []
+        columns = (frame[c].tolist() for c in ("shard", "salt", "part", "chunk", "doc_id", "ident", "first", "words"))
+        for shard, salt, part, chunk, doc_id, ident, first, words in zip(*columns, strict=True):
+            if (shard, salt) != at:
+                at, automaton = (shard, salt), Automaton()
+            if part == 0:
+                automaton.add(words, doc_id)
+            elif bits := automaton.places(words, (doc_id, ident)):
+                out.append((chunk, doc_id, ident, first, bits))
+        yield pd.DataFrame(out, columns=["chunk", "doc_id", "ident", "first", "mask"])
+
+
+def confirmed_phrases(segments: DataFrame) -> DataFrame:
+    """a, phrase, least: windows with two places or more, and the smallest document that has them."""
+    contents = segments.groupBy("a", "content").agg(F.min("doc_id").alias("least"), F.count("*").alias("places"))
+    windows = contents.mapInPandas(_windows, "a long, least long, places long, phrase binary, nth int")
+    return windows.groupBy("a", "phrase").agg(F.min("least").alias("least"), F.sum("places").alias("places")).where("places > 1").select("a", "phrase", "least")
+
+
+def repeated_places(segments: DataFrame) -> DataFrame:
+    """chunk, doc_id, ident, first, n, mask: windows from ``first`` on that an automaton reports as repeats."""
+    phrases = store(confirmed_phrases(segments), "phrases")
+    per_anchor = phrases.groupBy("a").agg(F.count("*").alias("of"))
+    shards = max(1, -(-phrases.count() // SHARD_PHRASES))
+    hot = store(per_anchor.where(F.col("of") >= HOT_PHRASES).select("a", F.lit(True).alias("hot")), "hot")
+
+    def dealt(key):
+        return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
+
+    by_words = F.coalesce("hot", F.lit(False))
+    patterns = phrases.join(hot, "a", "left").select(
+        F.when(by_words, dealt("phrase")).otherwise(dealt("a")).alias("shard"), F.col("least").alias("doc_id"), F.col("phrase").alias("words")
+    )
+    runs = segments.select("a", "chunk", "doc_id", "ident", "first", "content")
+    plain = runs.join(hot, "a", "left_anti").select(dealt("a"), "chunk", "doc_id", "ident", "first", F.col("content").alias("words"))
+    single = runs.join(hot.select("a"), "a", "left_semi").mapInPandas(_windows, "a long, chunk long, doc_id long, ident long, first int, phrase binary, nth int")
+    passages = plain.unionByName(
+        single.select(dealt("phrase"), "chunk", "doc_id", "ident", (F.col("first") + F.col("nth")).alias("first"), F.col("phrase").alias("words"))
+    )
+    load = store(passages.groupBy("shard").agg(F.ceil(F.count("*") / STREAM_RUNS).cast("int").alias("salts")), "load")
+    zero = F.lit(0)
+    patterns = patterns.join(load, "shard").select(
+        "shard", F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"), zero.alias("part"), zero.cast("long").alias("chunk"),
+        "doc_id", zero.cast("long").alias("ident"), zero.alias("first"), "words",
+    )
+    passages = passages.join(load, "shard").select(
+        "shard", F.pmod(F.xxhash64("doc_id", "ident"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("part"), "chunk",
+        "doc_id", "ident", "first", "words",
+    )
+    stream = patterns.unionByName(passages).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "part", "doc_id", "ident", "first")
+    found = stream.mapInPandas(_locate, "chunk long, doc_id long, ident long, first int, mask long")
+    return store(found.withColumn("n", zero), "notes")
 
 
 def _apply(docs: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
     told = notes_by_document(notes)
     out = []
     for doc_id, ident, text in zip(docs["doc_id"], docs["ident"], docs["text"], strict=True):
-        joined, units, starts, ends = _prepare(text)
-        n = len(units)
-        noted = (doc_id, ident) in told
-        if n < WINDOW:
-            gone = np.zeros(n, bool)
-        elif noted and told[doc_id, ident] is None:  # a copy of a smaller document
-            gone = np.ones(n, bool)
-        else:
-            gone = cover(_earlier_inside(units, joined, starts, ends), n, WINDOW)
-            if noted:
-                gone |= marked(n, WINDOW, told[doc_id, ident])
-        kept = joined
-        if gone.any():
-            keep = np.flatnonzero(~gone)
+        joined = join_words(text)
+        starts, ends = textscan.word_spans(joined)
+        kept, n, n_gone = joined, len(starts), 0
+        if (doc_id, ident) in told:
+            gone = marked(n, WINDOW, told[doc_id, ident])
+            n_gone, keep = int(gone.sum()), np.flatnonzero(~gone)
             kept = b" ".join([joined[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
-        out.append((doc_id, n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+        out.append((doc_id, n, n_gone, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
     return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
@@ -120,9 +182,11 @@ def dedup_phrases(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Words are runs of bytes other than space and 0x09-0x0D. A word goes if a window of 20 words over it also
     starts earlier: in a smaller document, or further left in the same one. Null text has no words. A null doc_id
     counts as smaller than all others and is returned as null. Rows with the same doc_id don't remove each
-    other's words. An empty table gives no rows; further columns are ignored.
+    other's words. Very long texts are cut into runs of at most 32 windows and take the same way. An empty table gives
+    no rows; further columns are ignored.
     """
-    keyed, notes = repeated_windows(docs, WORDS, automaton_classes)
+    keyed = keyed_documents(docs)
+    notes = repeated_places(anchored_segments(keyed, WORDS, True))
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     out = keyed.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInPandas(lambda d, m: _apply(d, m)[columns], schema)

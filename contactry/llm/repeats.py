@@ -7,10 +7,13 @@ Steps, each a Spark job over tables of bounded groups:
    answers which of them occur in at least two different texts.
 3. segments: runs of windows under such an anchor, with their content. Other windows cannot repeat.
 4. distinct contents per anchor with the smallest document id; an anchor with one content needs no more.
-5. an anchor with several contents goes to ``resolve`` (suffix array or automaton), which classes equal windows
+5. an anchor with several contents goes to ``resolve`` (the suffix order), which classes equal windows
    in pieces of PIECE contents. Up to HOT contents an anchor's pieces are merged in one task; beyond, pieces are
    classed on any task and merged by window hash with a pre-aggregated minimum, so no key meets in one task.
 6. verdicts return to their documents, chunk by chunk.
+
+The byte operator takes all steps; the word operator takes steps 2 and 3 (with anchors that repeat inside one document,
+and without step 1) and confirms and finds its phrases by itself.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .common import keyed_documents, n_partitions, store
 PIECE = 48
 #: Contents of one anchor up to which one task takes them all, piece by piece: at most a few hundred KB.
 HOT = 4096
+#: Text bytes per shard of the anchor space: a task holds some 2 million anchors of one shard.
+SHARD_BYTES = 32 << 20
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -68,13 +73,14 @@ def _unpack(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _anchor_blocks(kind: Kind, shards: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _anchor_blocks(kind: Kind, shards: int, own: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for chunk, part in frame.groupby("chunk", sort=False):
                 rows = []
                 for text in part["text"]:
-                    rows.append(np.unique(kind.segments(text)[3]))
+                    found, times = np.unique(kind.segments(text)[3], return_counts=True)
+                    rows.append(np.repeat(found, np.minimum(times, 2)) if own else found)
                 sizes = [len(x) for x in rows]
                 keys = np.concatenate(rows)
                 if not len(keys):
@@ -82,20 +88,21 @@ def _anchor_blocks(kind: Kind, shards: int) -> Callable[[Iterator[pd.DataFrame]]
                 owner = np.repeat(np.arange(len(rows), dtype=np.uint32), sizes)
                 shard = (keys >> np.uint64(40)) % np.uint64(shards)
                 order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                present, cuts = np.unique(shard[order], return_index=True)
+                cuts = np.append(cuts, len(order))
                 idents = part["ident"].to_numpy(np.int64)
                 out = []
-                for s in range(shards):
-                    at = order[cuts[s] : cuts[s + 1]]
-                    if len(at):
-                        used, nth = np.unique(owner[at], return_inverse=True)
-                        out.append((s, chunk, _pack(keys[at] & _LOW40), nth.astype("<u2" if len(used) <= 65536 else "<u4").tobytes(), idents[used].tobytes()))
+                for i, s in enumerate(present.tolist()):
+                    at = order[cuts[i] : cuts[i + 1]]
+                    used, nth = np.unique(owner[at], return_inverse=True)
+                    out.append((s, chunk, _pack(keys[at] & _LOW40), nth.astype("<u2" if len(used) <= 65536 else "<u4").tobytes(), idents[used].tobytes()))
                 yield pd.DataFrame(out, columns=["shard", "chunk", "keys", "nth", "idents"])
 
     return scan
 
 
-def _repeated_in_shard(frame: pd.DataFrame) -> pd.DataFrame:
+def _repeated_in_shard(frame: pd.DataFrame, own: bool) -> pd.DataFrame:
+    """Anchors in at least two different texts; with ``own``, also those at two places of one text or of equal ones."""
     keys, idents, block = [], [], []
     for i, (packed, nth, ids) in enumerate(zip(frame["keys"], frame["nth"], frame["idents"], strict=True)):
         k = _unpack(packed)
@@ -108,7 +115,7 @@ def _repeated_in_shard(frame: pd.DataFrame) -> pd.DataFrame:
     sorted_k = k[order]
     at = np.flatnonzero(np.concatenate(([True], sorted_k[1:] != sorted_k[:-1])))
     sizes = np.diff(np.append(at, len(k)))
-    many = np.minimum.reduceat(ident[order], at) != np.maximum.reduceat(ident[order], at)
+    many = sizes > 1 if own else np.minimum.reduceat(ident[order], at) != np.maximum.reduceat(ident[order], at)
     hit = np.zeros(len(k), bool)
     hit[order] = np.repeat(many, sizes)
     out = []
@@ -234,30 +241,39 @@ def _window_rows(resolve: Resolve, kind: Kind):
     return run
 
 
+def anchored_segments(keyed: DataFrame, kind: Kind, own: bool, copies: DataFrame | None = None) -> DataFrame:
+    """Runs of windows under an anchor that repeats, with their content; rows in ``copies`` are left out.
+
+    The number of anchor shards follows the bytes of the texts. Rows with the same id and text are taken once.
+    """
+    spark = keyed.sparkSession
+    n_bytes = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(n_partitions(spark), -(-n_bytes // SHARD_BYTES))
+    blocks = keyed.select("chunk", "ident", "text").mapInPandas(_anchor_blocks(kind, shards, own), "shard int, chunk long, keys binary, nth binary, idents binary")
+    answers = store(blocks.groupBy("shard").applyInPandas(lambda frame: _repeated_in_shard(frame, own), "chunk long, keys binary"), "anchors")
+    none = F.lit(0).cast("long")  # not null: pandas would turn the idents of copies into floats
+    told = answers.select("chunk", "keys", none.alias("doc_id"), none.alias("ident"))
+    if copies is not None:
+        told = told.unionByName(copies.select("chunk", F.lit(None).cast("binary").alias("keys"), "doc_id", "ident"))
+    found = keyed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
+        _segments_of_chunk(kind, shards), "a long, chunk long, doc_id long, ident long, first int, n int, content binary"
+    )
+    return store(found, "segments")
+
+
 def repeated_windows(docs: DataFrame, kind: Kind, resolve: Resolve) -> tuple[DataFrame, DataFrame]:
     """(documents with doc_id, chunk, ident, text; notes by chunk on what repeats in them).
 
     A note without ``first`` says that the document is a copy of a smaller one; others carry a run of windows,
     ``first`` and ``n``, and a bit mask of those that start in a smaller document.
     """
-    spark = docs.sparkSession
-    shards = n_partitions(spark)
+    shards = n_partitions(docs.sparkSession)
     keyed = keyed_documents(docs)
     digests = store(keyed.select("doc_id", "chunk", "ident", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = store(digests.join(firsts, "digest").where("doc_id > least").select("chunk", "doc_id", "ident"), "copies")
-
-    blocks = keyed.select("chunk", "ident", "text").mapInPandas(_anchor_blocks(kind, shards), "shard int, chunk long, keys binary, nth binary, idents binary")
-    answers = store(blocks.groupBy("shard").applyInPandas(_repeated_in_shard, "chunk long, keys binary"), "anchors")
-    none = F.lit(0).cast("long")  # not null: pandas would turn the idents of copies into floats
-    told = answers.select("chunk", "keys", none.alias("doc_id"), none.alias("ident")).unionByName(
-        copies.select("chunk", F.lit(None).cast("binary").alias("keys"), "doc_id", "ident")
-    )
-    found = keyed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
-        _segments_of_chunk(kind, shards), "a long, chunk long, doc_id long, ident long, first int, n int, content binary"
-    )
     named = F.xxhash64("content")  # with the anchor, a content's name; cheaper to compute again than to store
-    segments = store(found, "segments").withColumn("c", named)
+    segments = anchored_segments(keyed, kind, False, copies).withColumn("c", named)
 
     contents = segments.groupBy("a", "content").agg(F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"))
     contents = store(contents, "contents").withColumn("c", named)

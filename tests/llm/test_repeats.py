@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from contactry.llm import textscan
-from contactry.llm.phrase_dedup import dedup_phrases
+from contactry.llm.phrase_dedup import Automaton, dedup_phrases
 from contactry.llm.suffix_dedup import dedup_substrings, suffix_arrays
 
 from .docs import corpus, table
@@ -96,6 +96,36 @@ def test_a_hotter_anchor_is_classed_on_any_task(spark, monkeypatch):
     assert {r[0]: tuple(r)[1:] for r in dedup_phrases(table(spark, rows)).collect()} == brute_words(rows)
 
 
+def test_words_in_many_small_shards(spark, monkeypatch):
+    """Few phrases to a shard, phrases dealt by their words, and shards compiled on several tasks: the same rows."""
+    for name, value in (("SHARD_PHRASES", 50), ("HOT_PHRASES", 2), ("STREAM_RUNS", 20)):
+        monkeypatch.setattr(f"contactry.llm.phrase_dedup.{name}", value)
+    for seed in (3, 4):
+        rows = corpus(seed)
+        assert {r[0]: tuple(r)[1:] for r in dedup_phrases(table(spark, rows)).collect()} == brute_words(rows)
+
+
+def test_words_of_a_very_long_text(spark):
+    """Beyond the block of the scans (65,536 units), with repeats inside the text and in another document."""
+    words = [f"w{i}" for i in range(70_000)]
+    rows = [(1, " ".join(words + words[65_500:65_600])), (2, " ".join(words[65_520:65_560])), (3, "x " * 70_000)]
+    got = {r[0]: tuple(r)[1:] for r in dedup_phrases(table(spark, rows)).collect()}
+    assert got == brute_words(rows)
+    assert got[1][1] == 100 and got[2][1] == 40 and got[3][1] == 69_999
+
+
+def test_every_removed_word_comes_from_an_automaton():
+    passage, other = [f"a{i}".encode() for i in range(25)], [b"z%d" % i for i in range(20)]
+    automaton = Automaton()
+    for i in range(6):
+        automaton.add(b" ".join(passage[i : i + 20]), 3)
+    assert automaton.places(b" ".join(passage), (3, 7)) == 0
+    assert automaton.places(b" ".join(passage), (3, 7)) == 0b111111
+    assert automaton.places(b" ".join(passage), (3, 8)) == 0
+    assert automaton.places(b" ".join([b"own", *passage, *other]), (4, 9)) == 0b1111110
+    assert Automaton().places(b" ".join(passage), (5, 1)) == 0
+
+
 def test_empty_and_odd_rows(spark):
     assert dedup_substrings(table(spark, [])).count() == 0
     assert dedup_phrases(table(spark, [])).count() == 0
