@@ -1,10 +1,10 @@
 """Substring dedup with repeated-phrase automata: remove words under a 20-word window that also starts earlier.
 
 1. Runs of windows under a repeated anchor are cut from all documents; no other window can recur.
-2. Recurring phrases are confirmed: an aggregate over the windows' own words keeps those with two places or more, with
-   the smallest document of each.
+2. Recurring phrases are confirmed: an aggregate over the windows' names keeps those with two places or more, and
+   where the smallest document has them.
 3. Confirmed phrases are dealt to shards of bounded size, by anchor (phrases of an anchor that has very many: by their
-   own words). Every shard compiles an Aho-Corasick automaton, one symbol per word, and the runs of all documents
+   names). Every shard compiles an Aho-Corasick automaton, one symbol per word, and the runs of all documents
    under its anchors stream through it. Each removed word comes from a place that an automaton reports: copies of
    whole documents and repeats inside one document take the same way.
 
@@ -48,20 +48,34 @@ def _prepare(text: bytes):
 WORDS = Kind(WINDOW, 8, _prepare)
 
 
+def _names(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Of each window of each content: content, place in it, hash, first and last byte in the joined contents (given too)."""
+    data = b" ".join(contents)
+    units, starts, ends = textscan.word_units(data)
+    content = np.searchsorted(np.cumsum([len(c) + 1 for c in contents]), starts, "right")
+    names = textscan.rolling_all(units, WINDOW)
+    at = np.flatnonzero(content[: len(names)] == content[WINDOW - 1 :])
+    low = np.searchsorted(content, np.arange(len(contents)))
+    return content[at], at - low[content[at]], names[at].view(np.int64), starts[at], ends[at + WINDOW - 1], data
+
+
 def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each window of each content, as its words; ``nth`` counts the windows of a content."""
+    """Each window of each content by its name, with ``at``: the content's name, its last five bits the place in it."""
+    for frame in frames:
+        if len(frame):
+            content, nth, name, *_ = _names(frame["content"].tolist())
+            rows = frame[["a", "least", "places"]].iloc[content]
+            yield rows.assign(name=name, at=frame["c"].to_numpy(np.int64)[content] | nth)
+
+
+def _single(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each window of each run as a run of its own."""
     for frame in frames:
-        phrases, sizes = [], []
-        for content in frame["content"]:
-            starts, ends = textscan.word_spans(content)
-            n = len(starts) - WINDOW + 1
-            phrases += [content[a:b] for a, b in zip(starts[:n].tolist(), ends[WINDOW - 1 :].tolist(), strict=True)]
-            sizes.append(n)
-        sizes = np.array(sizes, np.int64)
-        out = frame.drop(columns="content").loc[frame.index.repeat(sizes)]
-        out["phrase"] = phrases
-        out["nth"] = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        yield out
+        if len(frame):
+            content, nth, name, start, end, data = _names(frame["content"].tolist())
+            words = [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            rows = frame[["chunk", "doc_id", "ident", "first"]].iloc[content]
+            yield rows.assign(first=rows["first"].to_numpy() + nth.astype(np.int32), name=name, words=words)
 
 
 class Automaton:
@@ -74,15 +88,19 @@ class Automaton:
         self.machine = ahocorasick.Automaton()
         self.ready = False
 
-    def add(self, phrase: bytes, least: int) -> None:
-        symbols = self.symbols
-        for word in phrase.split(b" "):
+    def add(self, passage: bytes, mask: int, least: int) -> None:
+        """The windows of ``passage`` at the bits of ``mask`` are phrases."""
+        symbols, words = self.symbols, passage.split(b" ")
+        for word in words:
             if word not in symbols:
                 n = len(symbols)
                 symbols[word] = chr(n + 0x10000 if n >= 0xD000 else n + 0x100)  # past the surrogates
-        self.machine.add_word("".join([symbols[w] for w in phrase.split(b" ")]), len(self.least))
-        self.least.append(least)
-        self.seen.append(None)
+        text = "".join([symbols[w] for w in words])
+        for i in range(len(words) - WINDOW + 1):
+            if mask >> i & 1:
+                self.machine.add_word(text[i : i + WINDOW], len(self.least))
+                self.least.append(least)
+                self.seen.append(None)
 
     def places(self, passage: bytes, row: tuple[int, int]) -> int:
         """Bits of the windows that stand in a smaller document, or further left in this one.
@@ -108,53 +126,56 @@ def _locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     at, automaton = None, Automaton()
     for frame in frames:
         out = []
-        columns = (frame[c].tolist() for c in ("shard", "salt", "part", "chunk", "doc_id", "ident", "first", "words"))
-        for shard, salt, part, chunk, doc_id, ident, first, words in zip(*columns, strict=True):
+        columns = (frame[c].tolist() for c in ("shard", "salt", "part", "chunk", "doc_id", "ident", "first", "mask", "words"))
+        for shard, salt, part, chunk, doc_id, ident, first, mask, words in zip(*columns, strict=True):
             if (shard, salt) != at:
                 at, automaton = (shard, salt), Automaton()
             if part == 0:
-                automaton.add(words, doc_id)
+                automaton.add(words, mask, doc_id)
             elif bits := automaton.places(words, (doc_id, ident)):
                 out.append((chunk, doc_id, ident, first, bits))
         yield pd.DataFrame(out, columns=["chunk", "doc_id", "ident", "first", "mask"])
 
 
-def confirmed_phrases(segments: DataFrame) -> DataFrame:
-    """a, phrase, least: windows with two places or more, and the smallest document that has them."""
-    contents = segments.groupBy("a", "content").agg(F.min("doc_id").alias("least"), F.count("*").alias("places"))
-    windows = contents.mapInPandas(_windows, "a long, least long, places long, phrase binary, nth int")
-    return windows.groupBy("a", "phrase").agg(F.min("least").alias("least"), F.sum("places").alias("places")).where("places > 1").select("a", "phrase", "least")
+def confirmed_phrases(contents: DataFrame) -> DataFrame:
+    """a, name, c, nth: windows with two places or more, each at one place in a content of its smallest document.
+
+    A name is a 64-bit hash beside the anchor. It only chooses what is compiled: the automaton compares words, so equal
+    names of different windows remove nothing.
+    """
+    windows = contents.mapInPandas(_windows, "a long, least long, places long, name long, at long")
+    found = windows.groupBy("a", "name").agg(F.sum("places").alias("places"), F.min_by("at", "least").alias("at"))
+    return found.where("places > 1").select("a", "name", F.col("at").bitwiseAND(F.lit(~31).cast("long")).alias("c"), F.col("at").bitwiseAND(F.lit(31)).cast("int").alias("nth"))
 
 
 def repeated_places(segments: DataFrame) -> DataFrame:
     """chunk, doc_id, ident, first, n, mask: windows from ``first`` on that an automaton reports as repeats."""
-    phrases = store(confirmed_phrases(segments), "phrases")
+    contents = segments.groupBy("a", "content").agg(F.min("doc_id").alias("least"), F.count("*").alias("places"))
+    contents = store(contents.withColumn("c", F.xxhash64("content").bitwiseAND(F.lit(~31).cast("long"))), "contents")
+    phrases = store(confirmed_phrases(contents), "phrases")
     per_anchor = phrases.groupBy("a").agg(F.count("*").alias("of"))
     shards = max(1, -(-phrases.count() // SHARD_PHRASES))
     hot = store(per_anchor.where(F.col("of") >= HOT_PHRASES).select("a", F.lit(True).alias("hot")), "hot")
 
     def dealt(key):
-        return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
+        return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
-    by_words = F.coalesce("hot", F.lit(False))
-    patterns = phrases.join(hot, "a", "left").select(
-        F.when(by_words, dealt("phrase")).otherwise(dealt("a")).alias("shard"), F.col("least").alias("doc_id"), F.col("phrase").alias("words")
-    )
+    shard = F.when(F.col("hot"), dealt("name")).otherwise(dealt("a")).alias("shard")
+    masks = phrases.join(hot, "a", "left").groupBy("a", "c", shard).agg(F.bit_or(F.expr("shiftleft(1L, nth)")).alias("mask"))
+    patterns = masks.join(contents, ["a", "c"]).select("shard", F.col("least").alias("doc_id"), "mask", F.col("content").alias("words"))
     runs = segments.select("a", "chunk", "doc_id", "ident", "first", "content")
-    plain = runs.join(hot, "a", "left_anti").select(dealt("a"), "chunk", "doc_id", "ident", "first", F.col("content").alias("words"))
-    single = runs.join(hot.select("a"), "a", "left_semi").mapInPandas(_windows, "a long, chunk long, doc_id long, ident long, first int, phrase binary, nth int")
-    passages = plain.unionByName(
-        single.select(dealt("phrase"), "chunk", "doc_id", "ident", (F.col("first") + F.col("nth")).alias("first"), F.col("phrase").alias("words"))
-    )
+    plain = runs.join(hot, "a", "left_anti").select(dealt("a").alias("shard"), "chunk", "doc_id", "ident", "first", F.col("content").alias("words"))
+    single = runs.join(hot, "a", "left_semi").mapInPandas(_single, "chunk long, doc_id long, ident long, first int, name long, words binary")
+    passages = plain.unionByName(single.select(dealt("name").alias("shard"), "chunk", "doc_id", "ident", "first", "words"))
     load = store(passages.groupBy("shard").agg(F.ceil(F.count("*") / STREAM_RUNS).cast("int").alias("salts")), "load")
-    zero = F.lit(0)
+    zero, none = F.lit(0), F.lit(0).cast("long")
     patterns = patterns.join(load, "shard").select(
-        "shard", F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"), zero.alias("part"), zero.cast("long").alias("chunk"),
-        "doc_id", zero.cast("long").alias("ident"), zero.alias("first"), "words",
+        "shard", F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"), zero.alias("part"), none.alias("chunk"),
+        "doc_id", none.alias("ident"), zero.alias("first"), "mask", "words",
     )
     passages = passages.join(load, "shard").select(
         "shard", F.pmod(F.xxhash64("doc_id", "ident"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("part"), "chunk",
-        "doc_id", "ident", "first", "words",
+        "doc_id", "ident", "first", none.alias("mask"), "words",
     )
     stream = patterns.unionByName(passages).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "part", "doc_id", "ident", "first")
     found = stream.mapInPandas(_locate, "chunk long, doc_id long, ident long, first int, mask long")
