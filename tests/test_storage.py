@@ -1,0 +1,10 @@
+from contactry.storage import release, store
+
+
+def test_a_released_step_is_empty_and_its_successor_stays(spark):
+    first = store(spark.range(10), "first")
+    second = store(first.where("id > 4"), "second")
+    path = first.inputFiles()[0].rsplit("/", 1)[0]
+    release(first)
+    assert spark.read.parquet(path).count() == 0
+    assert second.count() == 5
