@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactry.storage import store  # noqa: F401
+from contactry.storage import release, store  # noqa: F401
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NO_ID = -(2**63)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import keyed_documents, outer_id, store
+from .common import keyed_documents, outer_id, release, store
 from .repeats import Kind, anchored_segments, marked, notes_by_document
 
 WINDOW = 20
@@ -162,7 +162,8 @@ def repeated_places(segments: DataFrame) -> DataFrame:
 
     shard = F.when(F.col("hot"), dealt("name")).otherwise(dealt("a")).alias("shard")
     masks = phrases.join(hot, "a", "left").groupBy("a", "c", shard).agg(F.bit_or(F.expr("shiftleft(1L, nth)")).alias("mask"))
-    patterns = masks.join(contents, ["a", "c"]).select("shard", F.col("least").alias("doc_id"), "mask", F.col("content").alias("words"))
+    patterns = store(masks.join(contents, ["a", "c"]).select("shard", F.col("least").alias("doc_id"), "mask", F.col("content").alias("words")), "patterns")
+    release(contents, phrases)
     runs = segments.select("a", "chunk", "doc_id", "ident", "first", "content")
     plain = runs.join(hot, "a", "left_anti").select(dealt("a").alias("shard"), "chunk", "doc_id", "ident", "first", F.col("content").alias("words"))
     single = runs.join(hot, "a", "left_semi").mapInPandas(_single, "chunk long, doc_id long, ident long, first int, name long, words binary")
