@@ -43,13 +43,3 @@ def store(df: DataFrame, name: str = "step", batch_rows: int | None = None) -> D
         for conf, value in before.items():
             spark.conf.unset(conf) if value is None else spark.conf.set(conf, value)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def release(*steps: DataFrame) -> None:
-    """Empty stored steps that nothing reads any more: all that was made of them is itself stored."""
-    for step in steps:
-        spark = step.sparkSession
-        own = shared_folder(spark).rsplit("/", 1)[-1]
-        for path in {name.rsplit("/", 1)[0] for name in step.inputFiles()}:
-            if f"/{own}/" in path:
-                spark.createDataFrame([], step.schema).write.mode("overwrite").parquet(path)
