@@ -68,14 +68,19 @@ def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows.assign(name=name, at=frame["c"].to_numpy(np.int64)[content] | nth)
 
 
-def _single(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each window of each run as a run of its own."""
-    for frame in frames:
-        if len(frame):
-            content, nth, name, start, end, data = _names(frame["content"].tolist())
-            words = [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-            rows = frame[["chunk", "doc_id", "ident", "first"]].iloc[content]
-            yield rows.assign(first=rows["first"].to_numpy() + nth.astype(np.int32), name=name, words=words)
+def _single(keys: list[str]):
+    """Each window of each content as a row of its own with ``name`` and ``words``; only those at the bits of a ``mask`` if it is among ``keys``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                content, nth, name, start, end, data = _names(frame["content"].tolist())
+                at = np.flatnonzero(frame["mask"].to_numpy(np.int64)[content] >> nth & 1) if "mask" in keys else np.arange(len(nth))
+                words = [data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+                rows = frame[keys].iloc[content[at]].assign(name=name[at], words=words)
+                yield rows.assign(mask=1) if "mask" in keys else rows.assign(first=rows["first"].to_numpy() + nth.astype(np.int32))
+
+    return run
 
 
 class Automaton:
@@ -138,35 +143,36 @@ def _locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def confirmed_phrases(contents: DataFrame) -> DataFrame:
-    """a, name, c, nth: windows with two places or more, each at one place in a content of its smallest document.
+    """a, c, mask: the windows of a content, as bits, that have two places or more; each phrase once, in its smallest document.
 
-    A name is a 64-bit hash beside the anchor. It only chooses what is compiled: the automaton compares words, so equal
-    names of different windows remove nothing.
+    Windows are told apart by name, a 64-bit hash beside the anchor. It only chooses what is compiled: the automaton
+    compares words, so equal names of different windows remove nothing.
     """
     windows = contents.mapInPandas(_windows, "a long, least long, places long, name long, at long")
     found = windows.groupBy("a", "name").agg(F.sum("places").alias("places"), F.min_by("at", "least").alias("at"))
-    return found.where("places > 1").select("a", "name", F.col("at").bitwiseAND(F.lit(~31).cast("long")).alias("c"), F.col("at").bitwiseAND(F.lit(31)).cast("int").alias("nth"))
+    content, nth = F.col("at").bitwiseAND(F.lit(~31).cast("long")), F.col("at").bitwiseAND(F.lit(31)).cast("int")
+    chosen = found.where("places > 1").select("a", content.alias("c"), nth.alias("nth"))
+    return chosen.groupBy("a", "c").agg(F.bit_or(F.expr("shiftleft(1L, nth)")).alias("mask"))
 
 
 def repeated_places(segments: DataFrame) -> DataFrame:
     """chunk, doc_id, ident, first, n, mask: windows from ``first`` on that an automaton reports as repeats."""
     contents = segments.groupBy("a", "content").agg(F.min("doc_id").alias("least"), F.count("*").alias("places"))
     contents = store(contents.withColumn("c", F.xxhash64("content").bitwiseAND(F.lit(~31).cast("long"))), "contents")
-    phrases = store(confirmed_phrases(contents), "phrases")
-    per_anchor = phrases.groupBy("a").agg(F.count("*").alias("of"))
-    shards = max(1, -(-phrases.count() // SHARD_PHRASES))
-    hot = store(per_anchor.where(F.col("of") >= HOT_PHRASES).select("a", F.lit(True).alias("hot")), "hot")
-
-    def dealt(key):
-        return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
-
-    shard = F.when(F.col("hot"), dealt("name")).otherwise(dealt("a")).alias("shard")
-    masks = phrases.join(hot, "a", "left").groupBy("a", "c", shard).agg(F.bit_or(F.expr("shiftleft(1L, nth)")).alias("mask"))
-    patterns = masks.join(contents, ["a", "c"]).select("shard", F.col("least").alias("doc_id"), "mask", F.col("content").alias("words"))
-    runs = segments.select("a", "chunk", "doc_id", "ident", "first", "content")
-    plain = runs.join(hot, "a", "left_anti").select(dealt("a").alias("shard"), "chunk", "doc_id", "ident", "first", F.col("content").alias("words"))
-    single = runs.join(hot, "a", "left_semi").mapInPandas(_single, "chunk long, doc_id long, ident long, first int, name long, words binary")
-    passages = plain.unionByName(single.select(dealt("name").alias("shard"), "chunk", "doc_id", "ident", "first", "words"))
+    confirmed = confirmed_phrases(contents).join(contents.select("a", "c", "least", "content"), ["a", "c"])
+    confirmed = store(confirmed.select("a", F.col("least").alias("doc_id"), "mask", "content"), "patterns")
+    per_anchor = store(confirmed.groupBy("a").agg(F.sum(F.bit_count("mask")).alias("of")), "anchor_phrases")
+    shards = max(1, -(-(per_anchor.agg(F.sum("of")).first()[0] or 0) // SHARD_PHRASES))
+    hot = per_anchor.where(F.col("of") >= HOT_PHRASES).select("a")
+
+    def dealt(rows, keys, types):
+        """Rows by the shard of their anchor, those under a hot anchor window by window."""
+        plain = rows.join(hot, "a", "left_anti").select(F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int").alias("shard"), *keys, F.col("content").alias("words"))
+        single = rows.join(hot, "a", "left_semi").mapInPandas(_single(keys), f"{types}, name long, words binary")
+        return plain.unionByName(single.select(F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard"), *keys, "words"))
+
+    patterns = dealt(confirmed, ["doc_id", "mask"], "doc_id long, mask long")
+    passages = dealt(segments, ["chunk", "doc_id", "ident", "first"], "chunk long, doc_id long, ident long, first int")
     load = store(passages.groupBy("shard").agg(F.ceil(F.count("*") / STREAM_RUNS).cast("int").alias("salts")), "load")
     zero, none = F.lit(0), F.lit(0).cast("long")
     patterns = patterns.join(load, "shard").select(
