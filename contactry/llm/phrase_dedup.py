@@ -163,7 +163,7 @@ def repeated_places(segments: DataFrame) -> DataFrame:
     confirmed = store(confirmed.select("a", F.col("least").alias("doc_id"), "mask", "content"), "patterns")
     per_anchor = store(confirmed.groupBy("a").agg(F.sum(F.bit_count("mask")).alias("of")), "anchor_phrases")
     shards = max(1, -(-(per_anchor.agg(F.sum("of")).first()[0] or 0) // SHARD_PHRASES))
-    hot = per_anchor.where(F.col("of") >= HOT_PHRASES).select("a")
+    hot = store(per_anchor.where(F.col("of") >= HOT_PHRASES).select("a"), "hot")  # stored, so its size is known to the joins
 
     def dealt(rows, keys, types):
         """Rows by the shard of their anchor, those under a hot anchor window by window."""
