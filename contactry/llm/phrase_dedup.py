@@ -45,7 +45,7 @@ def _prepare(text: bytes):
     return joined, *textscan.word_units(joined)
 
 
-WORDS = Kind(WINDOW, 8, _prepare)
+WORDS = Kind(WINDOW, 8, _prepare, own=True)
 
 
 def _names(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -78,7 +78,11 @@ def _single(keys: list[str]):
                 at = np.flatnonzero(frame["mask"].to_numpy(np.int64)[content] >> nth & 1) if "mask" in keys else np.arange(len(nth))
                 words = [data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
                 rows = frame[keys].iloc[content[at]].assign(name=name[at], words=words)
-                yield rows.assign(mask=1) if "mask" in keys else rows.assign(first=rows["first"].to_numpy() + nth.astype(np.int32))
+                if "mask" in keys:
+                    yield rows.assign(mask=1)
+                else:
+                    more = [(np.frombuffer(m, "<i4") + n).astype("<i4").tobytes() if m else m for m, n in zip(rows["more"], nth.tolist(), strict=True)]
+                    yield rows.assign(first=rows["first"].to_numpy() + nth.astype(np.int32), more=more)
 
     return run
 
@@ -110,7 +114,7 @@ class Automaton:
     def places(self, passage: bytes, row: tuple[int, int]) -> int:
         """Bits of the windows that stand in a smaller document, or further left in this one.
 
-        ``row`` is (doc_id, ident); the passages of a row come one after the other, from left to right.
+        ``row`` is (doc_id, ident); the passages of a row come one after the other, by their first places.
         """
         if not self.least:
             return 0
@@ -127,19 +131,25 @@ class Automaton:
 
 
 def _locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by shard: its phrases (``part`` 0, doc_id the smallest document), then passages by row and place."""
+    """Rows sorted by shard: its phrases (``part`` 0, doc_id the smallest document), then passages by row and first place.
+
+    A passage that stands at more places of its row streams through a second time, for all of them.
+    """
     at, automaton = None, Automaton()
     for frame in frames:
         out = []
-        columns = (frame[c].tolist() for c in ("shard", "salt", "part", "chunk", "doc_id", "ident", "first", "mask", "words"))
-        for shard, salt, part, chunk, doc_id, ident, first, mask, words in zip(*columns, strict=True):
+        columns = (frame[c].tolist() for c in ("shard", "salt", "part", "chunk", "doc_id", "ident", "first", "more", "mask", "words"))
+        for shard, salt, part, chunk, doc_id, ident, first, more, mask, words in zip(*columns, strict=True):
             if (shard, salt) != at:
                 at, automaton = (shard, salt), Automaton()
             if part == 0:
                 automaton.add(words, mask, doc_id)
-            elif bits := automaton.places(words, (doc_id, ident)):
-                out.append((chunk, doc_id, ident, first, bits))
-        yield pd.DataFrame(out, columns=["chunk", "doc_id", "ident", "first", "mask"])
+                continue
+            if bits := automaton.places(words, (doc_id, ident)):
+                out.append((chunk, doc_id, ident, np.array([first], "<i4").tobytes(), bits))
+            if more and (bits := automaton.places(words, (doc_id, ident))):
+                out.append((chunk, doc_id, ident, more, bits))
+        yield pd.DataFrame(out, columns=["chunk", "doc_id", "ident", "firsts", "mask"])
 
 
 def confirmed_phrases(contents: DataFrame) -> DataFrame:
@@ -156,8 +166,9 @@ def confirmed_phrases(contents: DataFrame) -> DataFrame:
 
 
 def repeated_places(segments: DataFrame) -> DataFrame:
-    """chunk, doc_id, ident, first, n, mask: windows from ``first`` on that an automaton reports as repeats."""
-    contents = segments.groupBy("a", "content").agg(F.min("doc_id").alias("least"), F.count("*").alias("places"))
+    """chunk, doc_id, ident, firsts, mask: windows from each of ``firsts`` (packed) on that an automaton reports as repeats."""
+    places = F.sum(1 + F.length("more") / 4).cast("long").alias("places")
+    contents = segments.groupBy("a", "content").agg(F.min("doc_id").alias("least"), places)
     contents = store(contents.withColumn("c", F.xxhash64("content").bitwiseAND(F.lit(~31).cast("long"))), "contents")
     confirmed = confirmed_phrases(contents).join(contents.select("a", "c", "least", "content"), ["a", "c"])
     confirmed = store(confirmed.select("a", F.col("least").alias("doc_id"), "mask", "content"), "patterns")
@@ -172,24 +183,25 @@ def repeated_places(segments: DataFrame) -> DataFrame:
         return plain.unionByName(single.select(F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard"), *keys, "words"))
 
     patterns = dealt(confirmed, ["doc_id", "mask"], "doc_id long, mask long")
-    passages = dealt(segments, ["chunk", "doc_id", "ident", "first"], "chunk long, doc_id long, ident long, first int")
+    passages = dealt(segments, ["chunk", "doc_id", "ident", "first", "more"], "chunk long, doc_id long, ident long, first int, more binary")
     load = store(passages.groupBy("shard").agg(F.ceil(F.count("*") / STREAM_RUNS).cast("int").alias("salts")), "load")
     zero, none = F.lit(0), F.lit(0).cast("long")
     patterns = patterns.join(load, "shard").select(
         "shard", F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"), zero.alias("part"), none.alias("chunk"),
-        "doc_id", none.alias("ident"), zero.alias("first"), "mask", "words",
+        "doc_id", none.alias("ident"), zero.alias("first"), F.lit(None).cast("binary").alias("more"), "mask", "words",
     )
     passages = passages.join(load, "shard").select(
         "shard", F.pmod(F.xxhash64("doc_id", "ident"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("part"), "chunk",
-        "doc_id", "ident", "first", none.alias("mask"), "words",
+        "doc_id", "ident", "first", "more", none.alias("mask"), "words",
     )
     stream = patterns.unionByName(passages).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "part", "doc_id", "ident", "first")
-    found = stream.mapInPandas(_locate, "chunk long, doc_id long, ident long, first int, mask long")
-    return store(found.withColumn("n", zero), "notes")
+    return store(stream.mapInPandas(_locate, "chunk long, doc_id long, ident long, firsts binary, mask long"), "notes")
 
 
 def _apply(docs: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-    told = notes_by_document(notes)
+    firsts = [np.frombuffer(x, "<i4") for x in notes["firsts"]]
+    wide = notes.iloc[np.repeat(np.arange(len(notes)), [len(x) for x in firsts])]
+    told = notes_by_document(wide.assign(first=np.concatenate(firsts or [np.empty(0, np.int32)]), n=0))
     out = []
     for doc_id, ident, text in zip(docs["doc_id"], docs["ident"], docs["text"], strict=True):
         joined = join_words(text)
@@ -209,11 +221,12 @@ def dedup_phrases(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Words are runs of bytes other than space and 0x09-0x0D. A word goes if a window of 20 words over it also
     starts earlier: in a smaller document, or further left in the same one. Null text has no words. A null doc_id
     counts as smaller than all others and is returned as null. Rows with the same doc_id don't remove each
-    other's words. Very long texts are cut into runs of at most 32 windows and take the same way. An empty table gives
+    other's words. Very long texts are cut into runs of at most 32 windows and take the same way; equal runs of a document
+    (a ruler, a repeated line) travel as one, with all their places. An empty table gives
     no rows; further columns are ignored.
     """
     keyed = keyed_documents(docs)
-    notes = repeated_places(anchored_segments(keyed, WORDS, True))
+    notes = repeated_places(anchored_segments(keyed, WORDS))
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     out = keyed.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInPandas(lambda d, m: _apply(d, m)[columns], schema)

@@ -41,15 +41,19 @@ _LOW40 = np.uint64((1 << 40) - 1)
 
 @dataclass(frozen=True)
 class Kind:
-    """How a text is cut into units. ``prepare`` gives the bytes that contents are cut from, and unit hashes, starts, ends."""
+    """How a text is cut into units. ``prepare`` gives the bytes that contents are cut from, and unit hashes, starts, ends.
+
+    ``own``: repeats inside one document count too, so runs are cut where equal windows could share one.
+    """
 
     window: int
     k: int
     prepare: Callable[[bytes], tuple[bytes, np.ndarray, np.ndarray | None, np.ndarray | None]]
+    own: bool = False
 
     def segments(self, text: bytes):
         data, units, starts, ends = self.prepare(text)
-        keys, first, count = textscan.runs(units, self.window, self.k)
+        keys, first, count = textscan.runs(units, self.window, self.k, self.own)
         return data, starts, ends, keys, first, count
 
     def cut(self, data: bytes, starts, ends, first: np.ndarray, count: np.ndarray) -> list[bytes]:
@@ -73,14 +77,14 @@ def _unpack(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _anchor_blocks(kind: Kind, shards: int, own: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _anchor_blocks(kind: Kind, shards: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for chunk, part in frame.groupby("chunk", sort=False):
                 rows = []
                 for text in part["text"]:
                     found, times = np.unique(kind.segments(text)[3], return_counts=True)
-                    rows.append(np.repeat(found, np.minimum(times, 2)) if own else found)
+                    rows.append(np.repeat(found, np.minimum(times, 2)) if kind.own else found)
                 sizes = [len(x) for x in rows]
                 keys = np.concatenate(rows)
                 if not len(keys):
@@ -130,13 +134,13 @@ def _repeated_in_shard(frame: pd.DataFrame, own: bool) -> pd.DataFrame:
 
 
 def _segments_of_chunk(kind: Kind, shards: int):
-    columns = ["a", "chunk", "doc_id", "ident", "first", "n", "content"]
+    columns = ["a", "chunk", "doc_id", "ident", "first", "n", "content"] + ["more"] * kind.own
 
     def cut(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         marks = told["keys"].notna()
         copies = set(zip(told.loc[~marks, "doc_id"], told.loc[~marks, "ident"], strict=True))
         repeated = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in told.loc[marks, "keys"]] or [np.empty(0, np.uint64)]))
-        out, content, done = [], [], set()
+        out, content, more, done = [], [], [], set()
         chunk = int(docs["chunk"].iloc[0]) if len(docs) else 0
         for doc_id, ident, text in zip(docs["doc_id"], docs["ident"], docs["text"], strict=True):
             if not len(repeated) or (doc_id, ident) in copies or (doc_id, ident) in done:
@@ -147,11 +151,18 @@ def _segments_of_chunk(kind: Kind, shards: int):
             hit = np.searchsorted(repeated, full)
             hit[hit == len(repeated)] = 0
             at = np.flatnonzero(repeated[hit] == full)
+            if len(at) and kind.own:  # equal runs of one document travel as one, with all their places
+                places: dict[bytes, list[int]] = {}
+                for i, run in zip(at.tolist(), kind.cut(data, starts, ends, first[at], count[at]), strict=True):
+                    places.setdefault(run, []).append(i)
+                at = np.array([x[0] for x in places.values()])
+                more += [first[x[1:]].astype("<i4").tobytes() for x in places.values()]
             if len(at):
                 out.append((keys[at].view(np.int64), np.full(len(at), doc_id, np.int64), np.full(len(at), ident, np.int64), first[at], count[at]))
                 content += kind.cut(data, starts, ends, first[at], count[at])
         a, doc_id, ident, first, n = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.empty(0, np.int64)] * 5
-        return pd.DataFrame({"a": a, "chunk": np.full(len(a), chunk), "doc_id": doc_id, "ident": ident, "first": first, "n": n, "content": content}, columns=columns)
+        frame = {"a": a, "chunk": np.full(len(a), chunk), "doc_id": doc_id, "ident": ident, "first": first, "n": n, "content": content}
+        return pd.DataFrame(frame | ({"more": more} if kind.own else {}), columns=columns)
 
     return cut
 
@@ -241,22 +252,22 @@ def _window_rows(resolve: Resolve, kind: Kind):
     return run
 
 
-def anchored_segments(keyed: DataFrame, kind: Kind, own: bool, copies: DataFrame | None = None) -> DataFrame:
+def anchored_segments(keyed: DataFrame, kind: Kind, copies: DataFrame | None = None) -> DataFrame:
     """Runs of windows under an anchor that repeats, with their content; rows in ``copies`` are left out.
 
-    The number of anchor shards follows the bytes of the texts. Rows with the same id and text are taken once.
+    Where repeats inside a document count, ``more`` has the further places of an equal run in it (32-bit, little-endian). The number of anchor shards follows the bytes of the texts. Rows with the same id and text are taken once.
     """
     spark = keyed.sparkSession
     n_bytes = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(n_partitions(spark), -(-n_bytes // SHARD_BYTES))
-    blocks = keyed.select("chunk", "ident", "text").mapInPandas(_anchor_blocks(kind, shards, own), "shard int, chunk long, keys binary, nth binary, idents binary")
-    answers = store(blocks.groupBy("shard").applyInPandas(lambda frame: _repeated_in_shard(frame, own), "chunk long, keys binary"), "anchors")
+    blocks = keyed.select("chunk", "ident", "text").mapInPandas(_anchor_blocks(kind, shards), "shard int, chunk long, keys binary, nth binary, idents binary")
+    answers = store(blocks.groupBy("shard").applyInPandas(lambda frame: _repeated_in_shard(frame, kind.own), "chunk long, keys binary"), "anchors")
     none = F.lit(0).cast("long")  # not null: pandas would turn the idents of copies into floats
     told = answers.select("chunk", "keys", none.alias("doc_id"), none.alias("ident"))
     if copies is not None:
         told = told.unionByName(copies.select("chunk", F.lit(None).cast("binary").alias("keys"), "doc_id", "ident"))
     found = keyed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
-        _segments_of_chunk(kind, shards), "a long, chunk long, doc_id long, ident long, first int, n int, content binary"
+        _segments_of_chunk(kind, shards), "a long, chunk long, doc_id long, ident long, first int, n int, content binary" + ", more binary" * kind.own
     )
     return store(found, "segments")
 
@@ -273,7 +284,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, resolve: Resolve) -> tuple[Dat
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = store(digests.join(firsts, "digest").where("doc_id > least").select("chunk", "doc_id", "ident"), "copies")
     named = F.xxhash64("content")  # with the anchor, a content's name; cheaper to compute again than to store
-    segments = anchored_segments(keyed, kind, False, copies).withColumn("c", named)
+    segments = anchored_segments(keyed, kind, copies).withColumn("c", named)
 
     contents = segments.groupBy("a", "content").agg(F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"))
     contents = store(contents, "contents").withColumn("c", named)

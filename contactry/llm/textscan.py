@@ -64,17 +64,38 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return m
 
 
-def runs(units: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
+    """Position of the leftmost least value in every window of ``w`` values."""
+    done, m, at = 1, h, np.arange(len(h), dtype=np.int32)
+
+    def merge(step: int) -> tuple[np.ndarray, np.ndarray]:
+        left = m[:-step] <= m[step:]
+        return np.where(left, m[:-step], m[step:]), np.where(left, at[:-step], at[step:])
+
+    while done * 2 <= w:
+        m, at = merge(done)
+        done *= 2
+    return merge(w - done)[1] if done < w else at
+
+
+def runs(units: np.ndarray, window: int, k: int, by_place: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Split all windows into runs of neighbours with the same anchor: anchor, first window, number of windows.
 
-    Each window is in exactly one run; a run has at most RUN windows. Works block by block in bounded memory.
+    Each window is in exactly one run; a run has at most RUN windows. With ``by_place``, a run also ends where the
+    anchor's leftmost place in the window changes: equal windows then never share a run, however short the period of the
+    text. Works block by block in bounded memory.
     """
     total = len(units) - window + 1
     keys, firsts, counts = [], [], []
     for b in range(0, max(total, 0), _BLOCK):
         n = min(_BLOCK, total - b)
-        least = sliding_min(rolling(units[b : b + n + window - 1], k), window - k + 1)
-        at = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        hashes = rolling(units[b : b + n + window - 1], k)
+        if by_place:
+            place = sliding_argmin(hashes, window - k + 1)
+            least = hashes[place]
+        else:
+            place = least = sliding_min(hashes, window - k + 1)
+        at = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         size = np.diff(np.append(at, n))
         if size.max() > RUN:
             parts = -(-size // RUN)

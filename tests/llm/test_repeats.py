@@ -135,3 +135,57 @@ def test_empty_and_odd_rows(spark):
     assert got == [("1", n), ("1", n), ("1", n), ("None", 0), ("None", 0)]
     got = sorted((str(r.doc_id), r.n_removed) for r in dedup_phrases(table(spark, rows)).collect())
     assert got == [("1", 40), ("1", 40), ("1", 40), ("None", 0), ("None", 0)]
+
+
+def test_equal_windows_never_share_a_run():
+    rnd = np.random.default_rng(2)
+    for _ in range(60):
+        units = rnd.integers(1, 1 + rnd.integers(1, 4), rnd.integers(20, 120)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys, first, count = textscan.runs(units, 20, 8, by_place=True)
+        assert [w for f, n in zip(first, count, strict=True) for w in range(f, f + n)] == list(range(len(units) - 19))
+        for f, n in zip(first.tolist(), count.tolist(), strict=True):
+            assert len({tuple(units[w : w + 20].tolist()) for w in range(f, f + n)}) == n
+
+
+def short_periods():
+    """Texts of every period from 1 to 33 words, each alone in its words, and texts that share such passages."""
+    texts = []
+    for period in range(1, 34):
+        for length in (20, 21, 22, 20 + period, 41, 60):
+            unit = [f"p{period}l{length}w{i}" for i in range(period)]
+            texts.append(" ".join((unit * 60)[:length]))
+    texts += ["- " * 30 + f"prose of {i} " * 3 + "= " * (20 + i) + "and = " * 15 for i in range(6)]
+    return list(enumerate(texts))
+
+
+def test_short_periods(spark):
+    rows = short_periods()
+    assert {r[0]: tuple(r)[1:] for r in dedup_phrases(table(spark, rows)).collect()} == brute_words(rows)
+    assert {r[0]: tuple(r)[1:] for r in dedup_substrings(table(spark, rows)).collect()} == brute_bytes(rows)
+    for text, gone in (("x " * 21, 20), ("a b " * 22, 42), ("x " * 20, 0)):
+        alone = {r[0]: tuple(r)[1:] for r in dedup_phrases(table(spark, [(1, text)])).collect()}
+        assert alone == brute_words([(1, text)]) and alone[1][1] == gone
+
+
+def test_few_words(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(i, " ".join(rnd.choice(list("abcd")[: rnd.integers(2, 5)], rnd.integers(15, 90)))) for i in range(200)]
+    assert {r[0]: tuple(r)[1:] for r in dedup_phrases(table(spark, rows)).collect()} == brute_words(rows)
+    assert {r[0]: tuple(r)[1:] for r in dedup_substrings(table(spark, rows)).collect()} == brute_bytes(rows)
+
+
+def test_few_words_as_single_windows(spark, monkeypatch):
+    for name, value in (("SHARD_PHRASES", 50), ("HOT_PHRASES", 2), ("STREAM_RUNS", 20)):
+        monkeypatch.setattr(f"contactry.llm.phrase_dedup.{name}", value)
+    rnd = np.random.default_rng(9)
+    rows = [(i, " ".join(rnd.choice(list("abc"), rnd.integers(15, 90)))) for i in range(60)] + [(100 + i, t) for i, t in short_periods()[:30]]
+    assert {r[0]: tuple(r)[1:] for r in dedup_phrases(table(spark, rows)).collect()} == brute_words(rows)
+
+
+def test_whole_documents_table(spark):
+    for sf in ("0.001", "0.01"):
+        docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        assert {r[0]: tuple(r)[1:] for r in dedup_phrases(docs).collect()} == brute_words(rows)
+        if sf == "0.001":
+            assert {r[0]: tuple(r)[1:] for r in dedup_substrings(docs).collect()} == brute_bytes(rows)
