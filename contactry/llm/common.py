@@ -42,7 +42,7 @@ def outer_id(column: str = "doc_id"):
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
-def join_weighted(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:
+def join_weighted(rows: DataFrame, keyed: DataFrame, key: str | list[str], weight: str) -> DataFrame:
     """``rows`` joined with the one row of ``keyed`` per key, whose ``weight`` counts the rows of that key.
 
     Keys that hold more than a thousandth of all rows (so at most a thousand of them) are broadcast, and their rows

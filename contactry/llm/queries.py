@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import codes, exact_dedup, prefix_trie
 from .ann import search
 from .common import read_table
 from .language_id import identify
@@ -15,6 +15,7 @@ from .minhash import near_duplicates
 from .packing import pack
 from .phrase_dedup import dedup_phrases
 from .pii import scan_pii
+from .sharding import shard_documents
 from .suffix_dedup import dedup_substrings
 from .unigram import encode_documents
 
@@ -61,13 +62,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_exact_dedup, op2_suffix_dedup, op3_packing, op4_phrase_dedup, op5_minhash,
         op6_licenses, op7_language_id, op8_unigram, op9_ann, op10_pii,
+        op11_sharding, op12_codes, op13_prefix_trie,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op12_codes": codes.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
