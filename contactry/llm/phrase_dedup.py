@@ -33,6 +33,8 @@ SHARD_PHRASES = 20_000
 HOT_PHRASES = 4096
 #: Runs that stream through one copy of an automaton, on average.
 STREAM_RUNS = 100_000
+#: Passages whose phrases an automaton's copy remembers, so that equal ones are scanned once.
+REMEMBERED = 100_000
 
 
 def join_words(text: bytes) -> bytes:
@@ -94,6 +96,7 @@ class Automaton:
         self.symbols: dict[bytes, str] = {}
         self.least: list[int] = []
         self.seen: list[tuple[int, int] | None] = []
+        self.known: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
         self.machine = ahocorasick.Automaton()
         self.ready = False
 
@@ -121,10 +124,21 @@ class Automaton:
         if not self.ready:
             self.machine.make_automaton()
             self.ready = True
-        symbols, least, seen, doc_id, bits = self.symbols, self.least, self.seen, row[0], 0
-        for end, p in self.machine.iter("".join([symbols.get(w, "\0") for w in passage.split(b" ")])):
+        known = self.known.get(passage)
+        if known is None:
+            symbols = self.symbols
+            found = self.machine.iter("".join([symbols.get(w, "\0") for w in passage.split(b" ")]))
+            phrases = [(1 << (end - WINDOW + 1), p) for end, p in found]
+            known = sum(b for b, _ in phrases), max((self.least[p] for _, p in phrases), default=0), phrases
+            if len(self.known) < REMEMBERED:
+                self.known[passage] = known
+        every, most, phrases = known
+        if row[0] > most:  # all of them stand in smaller documents
+            return every
+        least, seen, doc_id, bits = self.least, self.seen, row[0], 0
+        for bit, p in phrases:
             if least[p] < doc_id or seen[p] == row:
-                bits |= 1 << (end - WINDOW + 1)
+                bits |= bit
             else:
                 seen[p] = row
         return bits
