@@ -4,7 +4,7 @@
 2. Recurring phrases are confirmed: an aggregate over the windows' names keeps those with two places or more, and
    where the smallest document has them.
 3. Confirmed phrases are dealt to shards of bounded size, by anchor (phrases of an anchor that has very many: by their
-   names). Every shard compiles an Aho-Corasick automaton, one symbol per word, and the runs of all documents
+   names). Every shard compiles an Aho-Corasick automaton, a symbol for every four words, and the runs of all documents
    under its anchors stream through it. Each removed word comes from a place that an automaton reports: copies of
    whole documents and repeats inside one document take the same way.
 
@@ -27,7 +27,11 @@ from .common import keyed_documents, outer_id, store
 from .repeats import Kind, anchored_segments, marked, notes_by_document
 
 WINDOW = 20
-#: Phrases in one automaton, on average: about 400,000 nodes.
+#: Words to a symbol of an automaton; it divides the window.
+GRAM = 4
+#: Digits, of 256 values or more, of a symbol.
+DIGITS = 3
+#: Phrases in one automaton, on average: about 300,000 nodes.
 SHARD_PHRASES = 20_000
 #: Phrases of one anchor from which they are dealt by their words.
 HOT_PHRASES = 4096
@@ -89,11 +93,19 @@ def _single(keys: list[str]):
     return run
 
 
+_DIGIT = [chr(256 + i) for i in range(256)]
+
+
 class Automaton:
-    """Phrases of a shard with the smallest document of each; finds the places of a passage that are to go."""
+    """Phrases of a shard with the smallest document of each; finds the places of a passage that are to go.
+
+    A symbol stands for GRAM consecutive words, so a phrase is a few symbols, and a passage streams through once for each
+    of the GRAM words at which its symbols can begin. A symbol is written in DIGITS digits, as a node of the automaton looks
+    through all its children: with a letter for each symbol, its root would have one for almost every phrase.
+    """
 
     def __init__(self):
-        self.symbols: dict[bytes, str] = {}
+        self.symbols: dict[tuple[bytes, ...], str] = {}
         self.least: list[int] = []
         self.seen: list[tuple[int, int] | None] = []
         self.known: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
@@ -102,18 +114,27 @@ class Automaton:
 
     def add(self, passage: bytes, mask: int, least: int) -> None:
         """The windows of ``passage`` at the bits of ``mask`` are phrases."""
-        symbols, words = self.symbols, passage.split(b" ")
-        for word in words:
-            if word not in symbols:
+        symbols, text = self.symbols, []
+        for gram in _grams(passage):
+            symbol = symbols.get(gram)
+            if symbol is None:
                 n = len(symbols)
-                symbols[word] = chr(n + 0x10000 if n >= 0xD000 else n + 0x100)  # past the surrogates
-        text = "".join([symbols[w] for w in words])
-        for i in range(len(words) - WINDOW + 1):
+                symbol = symbols[gram] = _DIGIT[n & 255] + _DIGIT[n >> 8 & 255] + chr(256 + (n >> 16))
+            text.append(symbol)
+        for i in range(len(text) - WINDOW + GRAM):
             if mask >> i & 1:
-                self.machine.add_word(text[i : i + WINDOW], len(self.least))
+                self.machine.add_word("".join(text[i : i + WINDOW : GRAM]), len(self.least))
                 self.least.append(least)
                 self.seen.append(None)
 
+    def phrases(self, passage: bytes) -> list[tuple[int, int]]:
+        """(bit of the window, phrase) of the phrases in a passage, from left to right."""
+        get = self.symbols.get
+        text = [get(gram, "\0" * DIGITS) for gram in _grams(passage)]
+        ends = [(low, end + 1, p) for low in range(GRAM) for end, p in self.machine.iter("".join(text[low::GRAM]))]
+        found = sorted([(low + end // DIGITS * GRAM - WINDOW, p) for low, end, p in ends if end % DIGITS == 0])
+        return [(1 << at, p) for at, p in found]
+
     def places(self, passage: bytes, row: tuple[int, int]) -> int:
         """Bits of the windows that stand in a smaller document, or further left in this one.
 
@@ -126,10 +147,8 @@ class Automaton:
             self.ready = True
         known = self.known.get(passage)
         if known is None:
-            symbols = self.symbols
-            found = self.machine.iter("".join([symbols.get(w, "\0") for w in passage.split(b" ")]))
-            phrases = [(1 << (end - WINDOW + 1), p) for end, p in found]
-            known = sum(b for b, _ in phrases), max((self.least[p] for _, p in phrases), default=0), phrases
+            phrases = self.phrases(passage)
+            known = sum([b for b, _ in phrases]), max([self.least[p] for _, p in phrases], default=0), phrases
             if len(self.known) < REMEMBERED:
                 self.known[passage] = known
         every, most, phrases = known
@@ -144,6 +163,12 @@ class Automaton:
         return bits
 
 
+def _grams(passage: bytes) -> Iterator[tuple[bytes, ...]]:
+    """Every GRAM consecutive words."""
+    words = passage.split(b" ")
+    return zip(*(words[i:] for i in range(GRAM)))  # noqa: B905
+
+
 def _locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by shard: its phrases (``part`` 0, doc_id the smallest document), then passages by row and first place.
 
