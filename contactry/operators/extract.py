@@ -20,6 +20,19 @@ def phones(text: Column, least: int = 10) -> Column:
     return F.filter(F.array_distinct(found), lambda p: F.length(F.regexp_replace(p, "[^0-9]", "")) >= least)
 
 
+def page_channels(text: Column, hrefs: Column, url: Column) -> tuple[Column, Column, Column]:
+    """emails, phones and social_urls of a page: those of its mailto, tel and other links first, then those in its text."""
+    scheme = lambda name: F.filter(hrefs, lambda h: F.startswith(F.lower(h), F.lit(name)))
+    written = F.concat(F.transform(scheme("mailto:"), norm.email), F.transform(F.regexp_extract_all(text, F.lit(lex.EMAIL), F.lit(0)), norm.email))
+    called = F.concat(F.transform(scheme("tel:"), lambda h: norm.phone(F.substring(h, 5, F.length(h)))), F.transform(F.regexp_extract_all(text, F.lit(lex.PHONE), F.lit(0)), norm.phone))
+    places = F.filter(F.transform(hrefs, lambda h: norm.resolve(h, url)), lambda u: norm.platform(u).isNotNull())
+    return (
+        F.filter(F.array_distinct(written), lambda e: F.contains(e, F.lit("@")) & ~e.rlike("\\.(png|jpe?g|gif|webp|svg)$")).alias("emails"),
+        F.filter(F.array_distinct(called), lambda p: F.length(F.regexp_replace(p, "[^0-9]", "")) >= 10).alias("phones"),
+        F.array_distinct(places).alias("social_urls"),
+    )
+
+
 def classify_email(address: Column, source: Column, url: Column) -> Column:
     generic = norm.is_generic(address)
     return F.struct(
@@ -43,23 +56,30 @@ def page_text(html: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, url, ord, link: hrefs resolved against the page's site, without fragments, in order."""
-    href = F.transform(F.regexp_extract_all("html", F.lit("(?i)href=[\"']([^\"'#]+)"), F.lit(1)), lambda h: F.trim(h))
-    site = F.regexp_extract("url", "(?i)^https?://[^/?#]+", 0)
-    rows = pages.select("page_id", "url", site.alias("site"), F.posexplode(href).alias("ord", "href"))
-    link = F.when(F.col("href").rlike("(?i)^https?://"), F.col("href")).when(F.startswith("href", F.lit("/")), F.concat("site", "href")).otherwise(F.concat("site", F.lit("/"), "href"))
-    return rows.select("page_id", "url", F.col("ord").cast("long").alias("ord"), norm.url(link).alias("link")).where("link is not null")
+    """page_id, url, ord, link: hrefs resolved against the page, without fragments, in order."""
+    href = F.regexp_extract_all("html", F.lit("(?i)href=[\"']([^\"'#]+)"), F.lit(1))
+    rows = pages.select("page_id", "url", F.posexplode(href).alias("ord", "href"))
+    return rows.select("page_id", "url", F.col("ord").cast("long").alias("ord"), norm.resolve(F.col("href"), F.col("url")).alias("link")).where("link is not null")
+
+
+def fits(c: Column, pattern: str) -> Column:
+    """Whether a pattern of ``lexicons`` occurs, also in letters that are not Latin."""
+    return c.rlike("(?u)" + pattern)
 
 
 def link_score(link: Column) -> Column:
-    p = norm.path(link)
-    points = F.when(p == "/", 110).otherwise(0) + F.when(p.rlike(lex.HIGH_VALUE_PATH), 100).otherwise(0) + F.when(p.rlike(lex.USEFUL_PATH), 25).otherwise(0)
-    return (points - F.size(F.split(p, "/"))).cast("long")
+    def points(p: Column) -> Column:
+        worth = lambda c, n: F.when(c, n).otherwise(0)
+        return worth(p == "/", 110) + worth(fits(p, lex.HIGH_VALUE_PATH), 100) + worth(fits(p, lex.USEFUL_PATH), 25) - F.size(F.split(p, "/"))
+
+    return norm.let(norm.path(link), points).cast("long")
 
 
 def in_site(links: DataFrame) -> DataFrame:
-    """Links of the page's own host that are not blocked."""
-    return links.where((norm.domain(F.col("url")) == norm.domain(F.col("link"))) & ~norm.path(F.col("link")).rlike(lex.BLOCKED_PATH))
+    """Links of the page's own host that are useful, by path or query, and not blocked."""
+    rows = links.withColumn("way", norm.path(F.col("link")))
+    useful = fits(F.concat("way", F.regexp_extract("link", "[?].*$", 0)), lex.USEFUL_PATH)
+    return rows.where((norm.domain(F.col("url")) == norm.domain(F.col("link"))) & useful & ~fits(F.col("way"), lex.BLOCKED_PATH)).drop("way")
 
 
 def allowed_by_robots(links: DataFrame, rules: DataFrame, honour_root: bool = False) -> DataFrame:
@@ -81,12 +101,24 @@ def robots_rules(lines: DataFrame) -> DataFrame:
 
 
 def windows_around(docs: DataFrame, terms: list[str], reach: int = 140) -> DataFrame:
-    """doc_id, term, at, window: every non-overlapping occurrence of a term with ``reach`` characters on each side."""
+    """The other columns of ``docs``, and term, at, window: each non-overlapping occurrence of a term with ``reach`` characters on each side.
+
+    The places of a term are folded once over the text between them, into an array of numbers; windows are cut from the one
+    text, so a text that is full of a term is not copied for every place.
+    """
+    rest = [c for c in docs.columns if c != "text"]
     flat = F.regexp_replace("text", "[ \\t\\r\\n]+", " ")
-    rows = docs.select("doc_id", flat.alias("flat"), F.explode(F.array(*map(F.lit, terms))).alias("term"))
-    rows = rows.where(F.contains(F.lower("flat"), F.lower("term"))).withColumn("parts", F.expr("split(lower(flat), concat('\\\\Q', lower(term), '\\\\E'))"))
-    nth = rows.select("*", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("nth"))
-    before = F.aggregate(F.slice("parts", F.lit(1), F.col("nth")), F.lit(0), lambda s, x: s + F.length(x)) + (F.col("nth") - 1) * F.length("term")
-    start = F.greatest(F.lit(0), F.col("at") - reach)
-    cut = F.substring(F.col("flat"), (start + 1).cast("int"), (F.col("at") + F.length("term") + reach - start).cast("int"))
-    return nth.withColumn("at", before).select("doc_id", "term", F.col("at").cast("long").alias("at"), cut.alias("window"))
+    rows = docs.select(*rest, flat.alias("flat"), F.explode(F.array(*map(F.lit, terms))).alias("term"))
+    rows = rows.where(F.contains(F.lower("flat"), F.lower("term")))
+    gaps = F.transform(F.expr("split(lower(flat), concat('\\\\Q', lower(term), '\\\\E'))"), lambda x: F.length(x))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
+
+    def place(done: Column, gap: Column) -> Column:
+        at = done["end"] + gap
+        return F.struct((at + F.length("term")).alias("end"), F.concat(done["at"], F.array(at)).alias("at"))
+
+    places = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), start, place, lambda done: done["at"])
+    low = lambda at: F.greatest(F.lit(0), at - reach)
+    cut = lambda at: F.substring(F.col("flat"), low(at) + 1, at + F.length("term") + reach - low(at))
+    windows = F.transform(places, lambda at: F.struct(at.cast("long").alias("at"), cut(at).alias("window")))
+    return rows.select(*rest, "term", F.inline(windows))

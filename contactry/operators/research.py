@@ -13,6 +13,7 @@ from contactry.functions import normalize as norm
 from . import extract
 
 SNIPPET = 4000
+URL_IN_TEXT = "(?i)https?://[^\\s<>\"')\\]]+"
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -50,12 +51,12 @@ def social_profiles(evidence: DataFrame, official: tuple[str, ...] = ("website",
 
     Of equal platform and url (in lower case) the first of an entity stays.
     """
-    found = F.array_distinct(F.concat(F.array("url"), F.regexp_extract_all("snippet", F.lit("(?i)https?://[^\\s<>\"')\\]]+"), F.lit(0))))
+    found = F.array_distinct(F.concat(F.array("url"), F.regexp_extract_all("snippet", F.lit(URL_IN_TEXT), F.lit(0))))
     rows = evidence.select("entity_id", "source", "ord", F.posexplode(found).alias("nth", "raw"))
     rows = rows.select("entity_id", "source", "ord", "nth", norm.social_url(F.col("raw")).alias("url")).where("url is not null")
     rows = rows.withColumns({"platform": norm.platform(F.col("url")), "username": norm.username(F.col("url")), "own": F.col("source").isin(*official)})
     rows = rows.withColumns({
-        "kind": norm.profile_kind(F.col("url"), F.col("username"), F.col("own")),
+        "kind": norm.profile_kind(F.col("url"), F.col("username"), F.col("own"), F.col("platform")),
         "confidence": F.when(F.col("own"), 95).when(F.col("platform") == "tenchat", 80).otherwise(65),
     })
     first = W.partitionBy("entity_id", "platform", F.lower("url")).orderBy("ord", "nth")
@@ -67,16 +68,29 @@ def role_terms(wanted: tuple[str, ...] = (), default: tuple[str, ...] = cat.ROLE
     return sorted(dict.fromkeys([*wanted, *default]), key=len, reverse=True)
 
 
-def people(texts: DataFrame, roles: list[str], name_pattern: str, reach: int = 140, names: int = 3) -> DataFrame:
-    """doc_id, full_name, position, at: names around every mention of a role; the first of a name and role stays.
+def people(texts: DataFrame, roles: list[str], name_pattern: str = lex.PERSON, reach: int = 140, names: int = 3) -> DataFrame:
+    """entity_id, ord, full_name, position, at, emails, profiles: names around every mention of a role.
 
-    texts (doc_id, text) in the order of doc_id; ``roles`` in the order in which they are tried.
+    texts (entity_id, ord, url, text), ``roles`` in the order in which they are tried. Of a window the first ``names`` names
+    count; each has all addresses and all social profiles of the window, and the profile that the text's url is. Of equal
+    name and role (in lower case) the first of an entity stays.
     """
     order = F.array_position(F.array(*map(F.lit, roles)), F.col("term"))
-    found = extract.windows_around(texts, roles, reach).withColumn("names", F.slice(F.regexp_extract_all("window", F.lit(name_pattern), F.lit(0)), 1, names))
-    rows = found.select("doc_id", F.col("term").alias("position"), "at", order.alias("role_ord"), F.posexplode("names").alias("nth", "full_name"))
-    first = W.partitionBy(F.lower("full_name"), F.lower("position")).orderBy("doc_id", "role_ord", "at", "nth")
-    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("doc_id", "full_name", "position", "at")
+    social = F.concat(F.array("url"), F.regexp_extract_all("window", F.lit(URL_IN_TEXT), F.lit(0)))
+    social = F.array_distinct(F.filter(F.transform(social, norm.social_url), lambda u: u.isNotNull()))
+    found = extract.windows_around(texts, roles, reach)
+    found = found.withColumn("names", F.slice(F.regexp_extract_all("window", F.lit(name_pattern), F.lit(0)), 1, names)).where("size(names) > 0")
+    found = found.select("entity_id", "ord", F.col("term").alias("position"), "at", order.alias("role_ord"), "names", extract.emails(F.col("window")).alias("emails"), social.alias("profiles"))
+    rows = found.select("entity_id", "ord", "position", "at", "role_ord", "emails", "profiles", F.posexplode("names").alias("nth", "full_name"))
+    first = W.partitionBy("entity_id", F.lower("full_name"), F.lower("position")).orderBy("ord", "role_ord", "at", "nth")
+    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("entity_id", "ord", "full_name", "position", "at", "emails", "profiles")
+
+
+def people_to_search(found: DataFrame, most: int = 3) -> DataFrame:
+    """entity_id, full_name, rank: the first distinct people of an entity, for a second round of searches."""
+    firsts = found.groupBy("entity_id", F.lower("full_name").alias("person")).agg(F.min(F.struct("ord", "at", "full_name")).alias("f"))
+    rank = F.row_number().over(W.partitionBy("entity_id").orderBy("f"))
+    return firsts.withColumn("rank", rank).where(F.col("rank") <= most).select("entity_id", "f.full_name", "rank")
 
 
 def latin(word: Column) -> Column:
@@ -113,7 +127,7 @@ def name_tokens(name: Column, legal: str = "(?U)\\b(ооо|ао|пао|зао|о
     return F.filter(F.split(plain, "[^a-zа-яё0-9]+"), lambda t: F.length(t) >= 3)
 
 
-def official_website(companies: DataFrame, results: DataFrame, blocked: tuple[str, ...] = ()) -> DataFrame:
+def official_website(companies: DataFrame, results: DataFrame, blocked: tuple[str, ...] = cat.NON_OFFICIAL_HOSTS) -> DataFrame:
     """entity_id, url, score: the result of an entity whose host and title hold most words of its name.
 
     companies (entity_id, name), results (entity_id, ord, url, title, score): 10 points a word and the result's own

@@ -92,8 +92,13 @@ def term_count(text: Column, terms: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, (F.contains(text, F.lit(t)).cast("int") for t in terms))
 
 
-def demand_score(df: DataFrame, lexicon: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """Adds score to rows with text, days (age, null if unknown), author, intent, channels (number of direct ones)."""
+def _found(text: Column, terms: Sequence[str], most: int) -> Column:
+    """The first terms that a text contains, in one line."""
+    return F.array_join(F.slice(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)), 1, most), ", ")
+
+
+def demand_score(df: DataFrame, lexicon: dict[str, Sequence[str]] | None = None, reasons: bool = False) -> DataFrame:
+    """Adds score, and score_reasons if asked for, to rows with text, days (age, null if unknown), author, intent, channels (number of direct ones)."""
     words = {"intent": lex.INTENT_TERMS, "fit": lex.FIT_TERMS, "strong": lex.STRONG_TERMS, "negative": lex.NEGATIVE_TERMS} | (lexicon or {})
     low = F.lower("text")
     n = {k: F.col(f"n_{k}") for k in words}
@@ -106,7 +111,18 @@ def demand_score(df: DataFrame, lexicon: dict[str, Sequence[str]] | None = None)
         + F.when(F.col("intent").isin("tender", "vendor_search"), 8).otherwise(0)
         + F.when(F.col("channels") > 0, 12).otherwise(0)
     )
-    return out.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), points)).cast("int"))
+    out = out.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), points)).cast("int"))
+    if not reasons:
+        return out
+    days, says = F.col("days"), lambda k, most: F.when(n[k] > 0, F.concat(F.lit(lex.DEMAND_REASONS[k]), _found(low, words[k], most)))
+    fresh = F.when(days <= 3, lex.DEMAND_REASONS[3]).when(days <= 14, lex.DEMAND_REASONS[14]).when(days <= 45, lex.DEMAND_REASONS[45])
+    told = (
+        says("intent", 3), says("fit", 4), says("strong", 3), fresh,
+        F.when(F.col("author") != "", lex.DEMAND_REASONS["author"]),
+        F.when(F.col("intent").isin("tender", "vendor_search"), F.concat(F.lit(lex.DEMAND_REASONS["kind"]), F.col("intent"))),
+        says("negative", 3), F.when(F.col("channels") > 0, lex.DEMAND_REASONS["channel"]),
+    )
+    return out.withColumn("score_reasons", F.array_compact(F.array(*told)))
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:

@@ -17,8 +17,10 @@ _phones = rf"""
   phones AS (SELECT doc_id, source, CASE WHEN starts_with(trim(raw), '+') THEN '+' ELSE '' END || regexp_replace(raw, '[^0-9]', '', 'g') AS phone FROM p0
              WHERE length(regexp_replace(raw, '[^0-9]', '', 'g')) >= 10 GROUP BY ALL)"""
 _url = "regexp_extract(url, '(?i)^https?://[^/?]+')"
-_normal = r"""CASE WHEN regexp_extract(u, '(?i)^https?://[^/?]+') <> '' THEN lower(regexp_extract(u, '(?i)^https?://[^/?]+')) ||
-  CASE WHEN starts_with(regexp_replace(u, '(?i)^https?://[^/?]+', ''), '/') THEN '' ELSE '/' END || regexp_replace(u, '(?i)^https?://[^/?]+', '') END"""
+_escaped = lambda c: f"""array_to_string(list_transform(string_split({c}, ''), lambda x: CASE WHEN unicode(x) > 126 OR unicode(x) < 33 OR x IN ('"', '<', '>', '^', '`', '{{', '}}') THEN url_encode(x) ELSE x END), '')"""
+_rest = _escaped("regexp_replace(u, '(?i)^https?://[^/?]+', '')")
+_normal = rf"""CASE WHEN regexp_extract(u, '(?i)^https?://[^/?]+') <> '' THEN lower(regexp_extract(u, '(?i)^https?://[^/?]+')) ||
+  CASE WHEN starts_with(regexp_replace(u, '(?i)^https?://[^/?]+', ''), '/') THEN '' ELSE '/' END || {_rest} END"""
 _domain = lambda c: rf"nullif(regexp_replace(lower(regexp_extract({c}, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', ''), '')"
 _path = lambda c: rf"regexp_extract({c}, '(?i)^https?://[^/?#]+([^?#]*)', 1)"
 _links = rf"""
@@ -26,6 +28,7 @@ _links = rf"""
   h2 AS (SELECT page_id, url, site, generate_subscripts(hs, 1) - 1 AS ord, unnest(hs) AS href FROM h),
   h3 AS (SELECT page_id, url, ord, regexp_replace(CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN starts_with(href, '/') THEN site || href ELSE site || '/' || href END, '#.*$', '') AS u FROM h2),
   links AS (SELECT page_id, url, ord, {_normal} AS link FROM h3 WHERE {_normal} IS NOT NULL)"""
+_moved = r"""FROM (SELECT page_id, url, regexp_replace(html, 'href="/([a-t])', 'href="/team/\1', 'g') AS html FROM pages)"""
 _groups = rf"""
   {_emails}, {_phones},
   keys AS (SELECT source, doc_id, 'email:' || email AS key FROM emails UNION SELECT source, doc_id, 'phone:' || phone FROM phones),
@@ -64,7 +67,8 @@ ORACLE = {
       trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS title,
       trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<({_tags})[^>]*>.*?</({_tags})>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""",
     "page_links": f"WITH {_links} SELECT page_id, url, ord::BIGINT AS ord, link FROM links",
-    "top_links_per_page": f"""WITH {_links}, own AS (SELECT page_id, link, min(ord) AS ord FROM links WHERE {_domain('url')} = {_domain('link')} AND NOT regexp_matches({_path('link')}, '{lex.BLOCKED_PATH}') GROUP BY 1, 2),
+    "top_links_per_page": rf"""WITH {_links.replace("FROM pages", _moved)}, own AS (SELECT page_id, link, min(ord) AS ord FROM links WHERE {_domain('url')} = {_domain('link')} AND regexp_matches({_path('link')} || regexp_extract(link, '[?].*$'), '{lex.USEFUL_PATH}')
+        AND NOT regexp_matches({_path('link')}, '{lex.BLOCKED_PATH}') GROUP BY 1, 2),
       s AS (SELECT *, (CASE WHEN {_path('link')} = '/' THEN 110 ELSE 0 END + CASE WHEN regexp_matches({_path('link')}, '{lex.HIGH_VALUE_PATH}') THEN 100 ELSE 0 END + CASE WHEN regexp_matches({_path('link')}, '{lex.USEFUL_PATH}') THEN 25 ELSE 0 END - len(string_split({_path('link')}, '/')))::BIGINT AS score FROM own),
       r AS (SELECT page_id, link, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord)::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 3""",
     "robots_filter": f"WITH {_links} SELECT page_id, ord::BIGINT AS ord, link FROM links WHERE NOT ({_domain('link')} IN (SELECT {_domain('url')} FROM pages) AND (starts_with({_path('link')}, '/a') OR starts_with({_path('link')}, '/p')))",

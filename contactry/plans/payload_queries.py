@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactry.functions import lexicons as lex
 from contactry.sources import payloads
 
 from .oracle import _domain, _flat, _normal, _path
@@ -63,18 +64,50 @@ def archived_page_urls(spark: SparkSession, d: str) -> DataFrame:
     return payloads.archived_urls(index.select("query", "ord", F.col("row")["url"].alias("url")))
 
 
+def _xml(c: Column) -> Column:
+    """Text as XML holds it: without what XML can't hold, the rest with entities."""
+    clean = F.regexp_replace(F.coalesce(c, F.lit("")), NOT_XML, "")
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        clean = F.replace(clean, F.lit(char), F.lit(name))
+    return clean
+
+
+NOT_XML = "[^\\x09\\x0A\\x0D\\x20-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]"
+_tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+_cdata = lambda c: F.concat(F.lit("<![CDATA["), F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), NOT_XML, ""), F.lit("]]>"), F.lit("]] >")), F.lit("]]>"))
+
+
 def feed_signals(spark: SparkSession, d: str) -> DataFrame:
-    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), F.coalesce(c, F.lit("")), F.lit(f"</{name}>"))
-    item = tag("item", F.concat(tag("title", F.col("source")), tag("link", _address()), tag("description", F.col("lang"))))
-    rows = _bodies(_t(spark, d, "documents"), "doc_id", 40, "hits", item)
-    feeds = rows.select(F.concat(F.lit(SITE), "query").alias("feed_url"), F.concat(F.lit("<rss>"), F.array_join("hits", ""), F.lit("</rss>")).alias("body"))
-    return payloads.feed_results(feeds).drop("published_at")
+    """Whole texts in RSS and Atom feeds, with entities or as CDATA, and the channels of every item."""
+    even = F.col("doc_id") % 2 == 0
+    text = F.when(even, _xml(F.col("text"))).otherwise(_cdata(F.col("text")))
+    rss = _tag("item", F.concat(_tag("title", _xml(F.concat(F.lit("A & B "), "source"))), _tag("link", _address()), _tag("description", text), _tag("pubDate", F.lit("Mon, 17 Aug 2026 10:00:00 GMT"))))
+    atom = _tag("entry", F.concat(F.lit('<title type="text">'), _xml(F.col("source")), F.lit('</title><link rel="x" href="'), _address(), F.lit('"/>'), _tag("summary", text), _tag("updated", F.lit("2026-08-17"))))
+    is_rss = F.floor(F.col("doc_id") / 40) % 2 == 0
+    rows = _bodies(_t(spark, d, "documents"), "doc_id", 40, "hits", F.when(is_rss, rss).otherwise(atom))
+    joined = F.array_join("hits", "\n")
+    body = F.when(F.col("bucket") % 2 == 0, F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>all</title>'), joined, F.lit("</channel></rss>"))).otherwise(
+        F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), joined, F.lit("</feed>"))
+    )
+    got = payloads.feed_results(rows.select(F.concat(F.lit(SITE), "query").alias("feed_url"), body.alias("body")))
+    return got.select("query", "ord", "title", "url", "content", "published_at", F.array_join("emails", " ").alias("emails"), F.size("phones").alias("n_phones"))
+
+
+def news_results(spark: SparkSession, d: str) -> DataFrame:
+    """News answers: publication and description, the first eight of an answer."""
+    item = _tag("item", F.concat(_tag("title", _xml(F.col("lang"))), F.when(F.col("doc_id") % 9 > 0, _tag("link", _address())).otherwise(""), F.lit('<source url="x">'), _xml(F.col("source")), F.lit("</source>"), _tag("description", _cdata(F.col("text")))))
+    rows = _bodies(_t(spark, d, "documents"), "doc_id", 10, "hits", item)
+    return payloads.news_feed(rows.select("query", _tag("rss", _tag("channel", F.array_join("hits", ""))).alias("body"))).drop("published_at", "author")
 
 
 def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
-    place = F.concat(F.lit("<url><loc> "), "url", F.lit(" </loc></url>"))
-    rows = _bodies(_t(spark, d, "pages"), "page_id", 20, "hits", place)
-    return payloads.sitemap(rows.select(F.col("query").alias("site"), F.array_join("hits", "\n").alias("body")))
+    """Addresses with entities, in sitemaps; every third bucket is an index."""
+    nested = F.floor(F.col("page_id") / 20) % 3 == 0
+    place = F.concat(F.lit("<loc> "), _xml(F.col("url")), F.lit(" </loc>"))
+    rows = _bodies(_t(spark, d, "pages"), "page_id", 20, "hits", F.when(nested, _tag("sitemap", place)).otherwise(_tag("url", place)))
+    lines = F.array_join("hits", "\n")
+    body = F.when(F.col("bucket") % 3 == 0, _tag("sitemapindex", lines)).otherwise(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), lines, F.lit("</urlset>")))
+    return payloads.sitemap(rows.select(F.col("query").alias("site"), body.alias("body"))).drop("ord")
 
 
 def domain_contact_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -96,13 +129,28 @@ def _places(per: int) -> str:
 
 
 _source = "nullif(trim(source), '')"
+_clean = lambda c: rf"regexp_replace(coalesce({c}, ''), '[^\x09\x0A\x0D\x20-\x{{D7FF}}\x{{E000}}-\x{{FFFD}}\x{{10000}}-\x{{10FFFF}}]', '', 'g')"
+_once = lambda c: f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+
+
+def _emails_of(c: str) -> str:
+    """Distinct addresses in a text, in order."""
+    found = rf"list_filter(list_transform(regexp_extract_all({c}, '{lex.EMAIL}'), lambda x: lower(trim(x))), lambda e: NOT regexp_matches(e, '\.(png|jpe?g|gif|webp|svg)$'))"
+    return _once(found)
+
+
+def _phones_of(c: str) -> str:
+    found = rf"list_filter(list_transform(regexp_extract_all({c}, '{lex.PHONE}'), lambda x: CASE WHEN starts_with(trim(x), '+') THEN '+' ELSE '' END || regexp_replace(x, '[^0-9]', '', 'g')), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) >= 10)"
+    return _once(found)
+
+
 _pages = "p AS (SELECT *, 'q' || (page_id // 20) AS query, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1 AS ord, regexp_replace(trim(url), '#.*$', '') AS u FROM pages)"
 
 QUERIES = {
     f.__name__: f
     for f in (
         meta_search_results, discussion_results, recent_questions, grounded_sources,
-        archived_page_urls, feed_signals, sitemap_urls, domain_contact_candidates,
+        archived_page_urls, feed_signals, news_results, sitemap_urls, domain_contact_candidates,
     )
 }
 ORACLE = {
@@ -114,8 +162,13 @@ ORACLE = {
       SELECT query, ord, coalesce({_source}, '{SITE}' || doc_id) AS title, '{SITE}' || doc_id AS url, coalesce(nullif(concat_ws(' ', before, own), ''), {_source}, 'Grounded source') AS content FROM n""",
     "archived_page_urls": f"""WITH {_pages.replace("regexp_replace(trim(url)", f"regexp_replace(trim(CASE WHEN page_id % 3 = 0 THEN '{SITE}team/' || (page_id % 7) ELSE url END)")}, n AS (SELECT query, ord, {_normal} AS url FROM p), f AS (SELECT query, url, min(ord) AS ord FROM n WHERE url IS NOT NULL GROUP BY 1, 2),
       r AS (SELECT query, url, row_number() OVER (PARTITION BY query ORDER BY ord)::INTEGER AS rank FROM f WHERE regexp_matches({_path('url')}, '{payloads.ARCHIVE_PATH}')) SELECT * FROM r WHERE rank <= {payloads.ARCHIVE_URLS}""",
-    "feed_signals": f"WITH {_places(40)} SELECT 'feed:{SITE}' || query AS query, ord, coalesce({_source}, '{SITE}' || doc_id) AS title, '{SITE}' || doc_id AS url, coalesce(trim(lang), '') AS content FROM d WHERE ord < 30",
-    "sitemap_urls": f"WITH {_pages} SELECT query AS site, false AS nested, trim(url) AS url FROM p WHERE trim(url) <> ''",
+    "feed_signals": rf"""WITH {_places(40)}, c AS (SELECT *, CASE WHEN doc_id % 2 = 1 THEN replace({_clean('text')}, ']]>', ']] >') ELSE {_clean('text')} END AS t FROM d),
+      m AS (SELECT *, {_emails_of('t')} AS mails, {_phones_of('t')} AS tels, (doc_id // 40) % 2 = 0 AS rss FROM c WHERE ord < 30)
+      SELECT 'feed:{SITE}' || query AS query, ord, CASE WHEN rss THEN rtrim('A & B ' || coalesce({_clean('source')}, '')) ELSE coalesce({_source}, '{SITE}' || doc_id) END AS title, '{SITE}' || doc_id AS url, {_cut(3000).replace('text', 't')} AS content,
+        CASE WHEN rss THEN 'Mon, 17 Aug 2026 10:00:00 GMT' ELSE '2026-08-17' END AS published_at, array_to_string(mails, ' ') AS emails, len(tels)::INTEGER AS n_phones FROM m""",
+    "news_results": rf"""WITH {_places(10)}, c AS (SELECT *, replace({_clean('text')}, ']]>', ']] >') AS t FROM d), n AS (SELECT *, concat_ws(' · ', nullif(trim(source), ''), nullif(trim(t), '')) AS said FROM c)
+      SELECT query, ord, coalesce(nullif(trim(lang), ''), '{SITE}' || doc_id) AS title, '{SITE}' || doc_id AS url, {_cut(2000).replace('text', 'said')} AS content FROM n WHERE ord < 8 AND doc_id % 9 > 0""",
+    "sitemap_urls": "SELECT 'q' || (page_id // 20) AS site, (page_id // 20) % 3 = 0 AS nested, trim(url) AS url FROM pages WHERE trim(url) <> ''",
     "domain_contact_candidates": """SELECT 'q' || (c_custkey // 10) AS domain, 'c' || c_custkey || '@example.org' AS email, c_name AS full_name, c_mktsegment AS position,
       CASE WHEN c_custkey % 3 = 0 THEN 'risky' ELSE 'unknown' END AS deliverability, CASE WHEN c_custkey % 3 = 0 THEN 50 ELSE 80 END AS confidence, 'https://q' || (c_custkey // 10) AS evidence_url FROM customer WHERE c_custkey % 9 <> 0""",
 }

@@ -63,7 +63,9 @@ def page_links(spark, d):
 
 
 def top_links_per_page(spark, d):
-    rows = extract.in_site(_links(spark, d)).groupBy("page_id", "link").agg(F.min("ord").alias("ord"))
+    """Links of pages whose paths from a to t are moved below /team, so that they are useful ones."""
+    pages = _t(spark, d, "pages").withColumn("html", F.regexp_replace("html", 'href="/([a-t])', 'href="/team/$1'))
+    rows = extract.in_site(extract.page_links(pages)).groupBy("page_id", "link").agg(F.min("ord").alias("ord"))
     rows = rows.withColumn("score", extract.link_score(F.col("link")))
     return dedup.top_k(rows, ["page_id"], [F.desc("score"), "ord"], 3, "rank").select("page_id", "link", "score", "rank")
 

@@ -29,18 +29,6 @@ def custom_fields(spark, d):
     return rows.select("c_custkey", records.website(F.col("f")).alias("website"), records.company_name(F.col("f"), 3).alias("company"), F.size(records.field_values(F.col("f"), lambda f: f["id"] > 0)).alias("n_values"))
 
 
-def cms_items(spark, d):
-    i = F.col("doc_id")
-    hit = F.struct(F.when(i % 3 == 0, F.concat(F.lit("https://a.example/"), i)).alias("link"), F.when(i % 3 == 1, F.concat(F.lit("b.example/"), i)).otherwise("").alias("url"), F.struct(F.left("text", F.lit(50)).alias("rendered")).alias("content"), F.col("lang").alias("caption"))
-    rows = _bodies(_t(spark, d, "documents").where("text is not null"), "doc_id", 10, "hits", hit)
-    return records.cms_items(rows.select(F.col("query").alias("site"), F.to_json("hits").alias("body")))
-
-
-def nested_sitemaps(spark, d):
-    rows = _t(spark, d, "pages").select(F.floor(F.col("page_id") / 100).alias("site"), (F.col("page_id") % 12).alias("sitemap"), F.col("page_id").alias("ord"), "url")
-    return records.expand_sitemaps(rows, 4)
-
-
 def profile_pages(spark, d):
     return records.profiles_to_read(social_profiles(spark, d), 6)
 
@@ -73,13 +61,6 @@ def distinct_evidence(spark, d):
     return ev.join(pages, "source")
 
 
-def second_round_people(spark, d):
-    docs = _t(spark, d, "documents")
-    found = research.people(docs, research.role_terms(ROLES, ()), NAME, 40).join(docs.select("doc_id", "source"), "doc_id")
-    firsts = found.groupBy("source", F.lower("full_name").alias("person")).agg(F.min("doc_id").alias("doc_id"))
-    return dedup.top_k(firsts, ["source"], ["doc_id", "person"], 3, "rank")
-
-
 def company_reports(spark, d):
     """One JSON line per company (source); a company without texts fails, but its row stays."""
     rows = _t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("results"), F.count_if(F.length(F.coalesce("text", F.lit(""))) < 40).alias("failures"), F.count_distinct("lang").alias("languages"), F.sum("n_chars").alias("chars"))
@@ -97,8 +78,8 @@ def markdown_report(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        custom_fields, cms_items, nested_sitemaps, profile_pages, validated_answers, provider_budgets, open_frontier, distinct_evidence,
-        second_round_people, company_reports, markdown_report,
+        custom_fields, profile_pages, validated_answers, provider_budgets, open_frontier, distinct_evidence,
+        company_reports, markdown_report,
     )
 }
 
@@ -117,10 +98,6 @@ _plain = "u0 AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM
 ORACLE = {
     "custom_fields": """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'https://' || lower(c_mktsegment) || '.example.org/x' WHEN 1 THEN 'http://home' || c_custkey || '.example.com/' END AS website, trim(c_name) AS company,
       CASE c_custkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS n_values FROM customer""",
-    "cms_items": """WITH a AS (SELECT doc_id, text, lang, 'q' || (doc_id // 10) AS site, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) - 1 AS ord FROM documents WHERE text IS NOT NULL)
-      SELECT site, ord, CASE doc_id % 3 WHEN 0 THEN 'https://a.example/' ELSE 'https://b.example/' END || doc_id AS url, trim(left(text, 50) || ' ' || coalesce(lang, '') || ' ', ' ') AS content FROM a WHERE doc_id % 3 < 2""",
-    "nested_sitemaps": f"""WITH {_plain}, p AS (SELECT page_id, {_normal} AS url FROM u0), f AS (SELECT page_id // 100 AS site, page_id % 12 AS sitemap, url, min(page_id) AS ord FROM p WHERE page_id % 12 < 10 GROUP BY ALL),
-      s AS (SELECT *, {_link_score()} AS score FROM f), r AS (SELECT site, sitemap, url, score, row_number() OVER (PARTITION BY site, sitemap ORDER BY score DESC, ord)::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 4""",
     "profile_pages": f"""WITH s AS ({RESEARCH['social_profiles']}), r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ord, lower(url)) AS n FROM s)
       SELECT entity_id, ord, CASE WHEN platform = 'telegram' THEN 'https://t.me/s/' || username ELSE url END AS page FROM r WHERE n <= 6""",
     "validated_answers": f"""WITH {_emails}, k AS (SELECT DISTINCT source, email FROM emails WHERE doc_id % 3 > 0), dd AS (SELECT DISTINCT doc_id, source FROM documents WHERE contains(text, '@')),
@@ -134,8 +111,6 @@ ORACLE = {
       r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY s, page_id) AS n FROM a) SELECT url, stage, page_id FROM r WHERE n = 1 AND url NOT IN (SELECT url FROM p WHERE page_id % 5 = 0)""",
     "distinct_evidence": """WITH d AS (SELECT doc_id, source, 'u' || (doc_id % 50) AS url, lang FROM documents), e AS (SELECT source, url, lang, min(doc_id) AS doc_id FROM d GROUP BY 1, 2, 3), p AS (SELECT source, url, min_by(lang, doc_id) AS lang FROM d GROUP BY 1, 2)
       SELECT source, evidence, ids, pages, titles FROM (SELECT source, count(*) AS evidence, sum(doc_id)::BIGINT AS ids FROM e GROUP BY 1) JOIN (SELECT source, count(*) AS pages, string_agg(DISTINCT lang, ',' ORDER BY lang) AS titles FROM p GROUP BY 1) USING (source)""",
-    "second_round_people": f"""WITH q AS ({RESEARCH['people_windows']}), f AS (SELECT source, lower(full_name) AS person, min(doc_id) AS doc_id FROM q JOIN documents USING (doc_id) GROUP BY 1, 2),
-      r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, person)::INTEGER AS rank FROM f) SELECT * FROM r WHERE rank <= 3""",
     "company_reports": """WITH r AS (SELECT source, count(*) AS n, count(*) FILTER (length(coalesce(text, '')) < 40) AS f, count(DISTINCT lang) AS l, sum(n_chars)::BIGINT AS c FROM documents GROUP BY 1)
       SELECT source, '{"source":"' || source || '","results":' || n || ',"failures":' || f || ',"languages":' || l || ',"chars":' || c || ',"status":"' || CASE WHEN f > 0 THEN 'partly' ELSE 'completed' END || '"}' AS report FROM r""",
     "markdown_report": "SELECT '| | ' || replace(source, '_', ' ') || ' | ' || count(*) FILTER (quality = 1) || ' | ' || greatest(0, count(quality) - count(*) FILTER (quality = 1)) || ' | |' AS line FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",

@@ -68,10 +68,6 @@ def document_candidates(spark, d):
     return got.select("url", "email.value", "email.status", "email.generic", "email.confidence")
 
 
-def people_windows(spark, d):
-    return research.people(_t(spark, d, "documents"), research.role_terms(ROLES, ()), NAME, 40).withColumnRenamed("at", "place")
-
-
 def inferred_emails(spark, d):
     people = _t(spark, d, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").cast("long").alias("entity_id"), F.regexp_replace("c_name", "#0*", " Жук").alias("full_name"))
     local = F.element_at(F.array(*map(F.lit, ("anna.smith", "a.smith", "asmithers", "info", "abc"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
@@ -114,12 +110,6 @@ def contact_rules(spark, d):
     return out.select("doc_id", "score", F.array_join("score_reasons", "|").alias("reasons"), score.usable(40).alias("usable"))
 
 
-def classify_documents(spark, d):
-    catalog = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(80)).alias("query"), (F.col("item_id") % 7).alias("priority"))
-    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("result_id"), F.left("text", F.lit(80)).alias("query"), "text")
-    return demand.classify(rows, catalog)
-
-
 def daily_query_sample(spark, d):
     days = _t(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
     return demand.daily_sample(demand.build_catalog(spark), days)
@@ -230,8 +220,8 @@ def upsert_runs(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        platform_counts, social_profiles, page_evidence, page_candidates, document_candidates, people_windows, inferred_emails, official_site,
-        generic_fallback, contact_rules, classify_documents, daily_query_sample, search_queries, robots_rules, parsed_dates, query_slugs, crm_match, action_plan,
+        platform_counts, social_profiles, page_evidence, page_candidates, document_candidates, inferred_emails, official_site,
+        generic_fallback, contact_rules, daily_query_sample, search_queries, robots_rules, parsed_dates, query_slugs, crm_match, action_plan,
         approved_by_lead, synced_after_run, review_list, run_reports, mail_domains, merged_results, provider_warnings, upsert_runs,
     )
 }
@@ -304,15 +294,6 @@ ORACLE = {
     "page_candidates": f"""WITH {_landed_sql} SELECT url, email, least(3, len(phones))::INTEGER AS n_phones, least(5, len(socials))::INTEGER AS n_socials, source, page_id + 1000000 AS evidence_ord
       FROM (SELECT *, unnest(CASE WHEN len(emails) > 0 THEN emails ELSE [NULL] END) AS email FROM landed WHERE page_id % 10 <> 7 AND len(emails) + len(phones) + len(socials) > 0)""",
     "document_candidates": f"WITH {_emails} SELECT 'doc:' || doc_id AS url, email AS value, CASE WHEN {_generic} THEN 'general' ELSE 'found' END AS status, {_generic} AS generic, CASE WHEN source IN ('website', 'pdf', 'rss') THEN 95 ELSE 75 END AS confidence FROM emails",
-    "people_windows": rf"""WITH f AS (SELECT doc_id, regexp_replace(text, '[ \t\r\n]+', ' ', 'g') AS t FROM documents),
-      x AS (SELECT doc_id, t, unnest({_list(_roles_in_order)}) AS position, unnest(range(1, {len(ROLES) + 1})) AS role_ord FROM f),
-      y AS (SELECT *, string_split(lower(t), position) AS parts FROM x WHERE contains(lower(t), position)),
-      z AS (SELECT *, unnest(range(1, len(parts))) AS n FROM y),
-      w AS (SELECT *, (list_sum(list_transform(parts[1:n], lambda s: length(s))) + (n - 1) * length(position))::BIGINT AS place FROM z),
-      v AS (SELECT *, regexp_extract_all(substring(t, greatest(0, place - 40) + 1, place + length(position) + 40 - greatest(0, place - 40)), '{NAME}')[1:3] AS names FROM w),
-      u AS (SELECT *, unnest(names) AS full_name, unnest(range(len(names))) AS nth FROM v),
-      r AS (SELECT *, row_number() OVER (PARTITION BY lower(full_name), position ORDER BY doc_id, role_ord, place, nth) AS k FROM u)
-      SELECT doc_id, full_name, position, place FROM r WHERE k = 1""",
     "inferred_emails": f"""WITH e AS (SELECT s_nationkey, min_by(s_suppkey, s_suppkey) AS k FROM supplier WHERE s_suppkey % 5 <> 3 GROUP BY 1),
       p AS (SELECT c_custkey AS person_id, 'customer' AS first, 'zhuk' || regexp_replace(c_name, '^Customer#0*', '') AS last, c_nationkey AS n, k % 5 AS form FROM customer JOIN e ON c_nationkey = s_nationkey)
       SELECT person_id, CASE form WHEN 0 THEN first || '.' || last WHEN 1 THEN 'c.' || last ELSE 'c' || last END || '@n' || n || '.example' AS value, 'inferred' AS status, 35 AS confidence FROM p WHERE form <> 4""",
@@ -325,11 +306,6 @@ ORACLE = {
       h AS (SELECT entity_id, bool_or(fit AND generic) AS has FROM a GROUP BY 1), b AS (SELECT entity_id, cand_id, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, cand_id) AS n FROM a WHERE ok),
       s AS (SELECT entity_id, cand_id, score, false AS fallback FROM a WHERE fit UNION ALL SELECT a.entity_id, a.cand_id, a.score, true FROM a JOIN h USING (entity_id) JOIN b ON b.entity_id = a.entity_id AND b.cand_id = a.cand_id AND b.n = 1 WHERE NOT has AND NOT fit),
       r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY fallback, score DESC, cand_id)::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
-    "classify_documents": f"""WITH c AS (SELECT item_id, left(text, 80) AS query, item_id % 7 AS priority FROM benchmark), w AS (SELECT doc_id, unnest({_tokens('text', '')}) AS word FROM documents),
-      k AS (SELECT item_id, priority, unnest({_tokens('query', _stop)}) AS word FROM c), s AS (SELECT doc_id, item_id, priority, count(*) AS matches FROM w JOIN k USING (word) GROUP BY ALL),
-      t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY matches DESC, priority DESC, item_id) AS n FROM s), x AS (SELECT query, min(item_id) AS exact FROM c GROUP BY 1)
-      SELECT d.doc_id AS result_id, coalesce(x.exact, t.item_id, (SELECT item_id FROM c ORDER BY priority DESC, item_id LIMIT 1)) AS query_id, CASE WHEN x.exact IS NULL THEN coalesce(t.matches, 0) END AS matches
-      FROM documents d LEFT JOIN x ON x.query = left(d.text, 80) LEFT JOIN t ON t.doc_id = d.doc_id AND t.n = 1""",
     "daily_query_sample": f"""WITH {_catalog}, d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events), r AS (SELECT d.day, c.*, {_strata} AS stratum FROM d, catalog c),
       a AS (SELECT *, row_number() OVER (PARTITION BY day, stratum ORDER BY {_fnv("day || ':' || stratum || ':' || id")}, service, nth, step) AS k FROM r),
       b AS (SELECT *, k <= CASE stratum WHEN 'core' THEN 8 WHEN 'social' THEN 8 WHEN 'forum-ru' THEN 6 WHEN 'english' THEN 4 ELSE 0 END AS taken FROM a),

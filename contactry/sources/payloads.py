@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactry.functions import normalize as norm
+from contactry.operators import extract
 
 # Fixed values.
 SEARCH_FIRST = 8
@@ -20,7 +21,7 @@ FEED_FIRST = 30
 ARCHIVE_URLS = 80
 CONTACT_SOURCES = 5
 DAYS = 14
-ARCHIVE_PATH = "(?i)contact|team|management|people|staff|about|press|news|blog|author|speaker|expert|career|vacanc|event|conference|webinar|document|file|upload|\\.pdf"
+ARCHIVE_PATH = "(?i)contact|team|management|people|staff|about|press|news|blog|author|speaker|expert|career|vacanc|event|conference|webinar|document|file|upload|\\.pdf$"
 VERIFIER_STATUS = (
     ("valid", "deliverable"),
     ("accept_all", "risky"),
@@ -45,11 +46,11 @@ def _hits(payloads: DataFrame, field: str, shape: str, first: int | None = None)
     return payloads.select("query", F.posexplode(hits).alias("ord", "hit")).select("query", F.col("ord").cast("long").alias("ord"), "hit.*")
 
 
-def _result(hits: DataFrame, title: Column, url: Column, content: Column, published: Column | None = None, author: Column | None = None, longest: int = 2000) -> DataFrame:
+def _result(hits: DataFrame, title: Column, url: Column, content: Column, published: Column | None = None, author: Column | None = None, longest: int = 2000, more: list[Column] | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
     return hits.select(
         "query", "ord", title.alias("title"), url.alias("url"), norm.truncate(F.coalesce(content, F.lit("")), longest).alias("content"),
-        (none if published is None else published).alias("published_at"), (none if author is None else author).alias("author"),
+        (none if published is None else published).alias("published_at"), (none if author is None else author).alias("author"), *(more or []),
     ).where("url is not null")
 
 
@@ -64,8 +65,7 @@ def paid_search(payloads: DataFrame) -> DataFrame:
     """``results`` of a paid search service, with the service's own score."""
     hits = _hits(payloads, "results", "title string, url string, content string, score double")
     link = norm.url(F.col("url"))
-    scored = hits.select("query", "ord", F.coalesce("score", F.lit(0.0)).alias("score"))
-    return _result(hits, F.coalesce(_filled("title"), link), link, F.col("content")).join(scored, ["query", "ord"])
+    return _result(hits, F.coalesce(_filled("title"), link), link, F.col("content"), more=[F.coalesce("score", F.lit(0.0)).alias("score")])
 
 
 def articles(payloads: DataFrame) -> DataFrame:
@@ -196,35 +196,62 @@ def archived_urls(rows: DataFrame, limit: int = ARCHIVE_URLS) -> DataFrame:
     return firsts.select("query", "url", rank.alias("rank")).where(F.col("rank") <= limit)
 
 
+#: An item or entry of a feed. Attributes have a leading underscore, an element's own text beside them is ``_VALUE``.
+_ITEM = (
+    "struct<title:string,link:array<struct<_href:string,_VALUE:string>>,description:string,summary:string,`content:encoded`:string,content:string,"
+    "source:string,pubDate:string,published:string,updated:string>"
+)
+_FEED = f"channel struct<item:array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ITEM}>"
+
+
+def _items(body: Column, first: int) -> Column:
+    """The first items and entries of an RSS or Atom body, entities and CDATA decoded; null or broken XML has none."""
+    none = F.array().cast(f"array<{_ITEM}>")
+    told = F.from_xml(body, _FEED)
+    parts = (told["channel"]["item"], told["item"], told["entry"])
+    return F.slice(F.filter(F.concat(*(F.coalesce(p, none) for p in parts)), lambda x: x.isNotNull()), 1, first)
+
+
 def feed_items(feeds: DataFrame) -> DataFrame:
-    """``feeds`` (feed_url, body as XML text), the first FEED_FIRST items or entries of each: feed_url, ord, title, url, content, published_at."""
-    part = lambda tag: F.regexp_extract("x", f"(?s)<{tag}(?:\\s[^>]*)?>(?:<!\\[CDATA\\[)?(.*?)(?:\\]\\]>)?</{tag}>", 1)
-    items = F.slice(F.regexp_extract_all("body", F.lit("(?s)(<(?:item|entry)(?:\\s[^>]*)?>.*?</(?:item|entry)>)"), F.lit(1)), 1, FEED_FIRST)
-    rows = feeds.select("feed_url", F.posexplode(items).alias("ord", "x"))
-    link = F.coalesce(_filled(F.regexp_extract("x", "<link[^>]*?\\shref=[\"']([^\"']*)", 1)), _filled(part("link")), F.col("feed_url"))
-    text = F.concat_ws(" ", *(_filled(part(tag)) for tag in ("description", "summary", "content:encoded", "content")))
-    when = F.coalesce(*(_filled(part(tag)) for tag in ("pubDate", "published", "updated")))
-    out = rows.select("feed_url", F.col("ord").cast("long").alias("ord"), _filled(part("title")).alias("title"), norm.url(link).alias("url"), text.alias("content"), when.alias("published_at"))
-    return out.where("url is not null").withColumn("title", F.coalesce("title", "url"))
+    """``feeds`` (feed_url, body as XML text), the first FEED_FIRST items or entries of each.
+
+    feed_url, ord, title, url, text, published_at and the item's emails, phones and social_urls; an item without a link
+    has the feed's address.
+    """
+    rows = feeds.select("feed_url", F.posexplode(_items(F.col("body"), FEED_FIRST)).alias("ord", "x"))
+    part = lambda name: _filled(F.col("x")[name])
+    place = F.try_element_at(F.col("x.link"), F.lit(1))
+    link = norm.url(F.coalesce(_filled(place["_href"]), _filled(place["_VALUE"]), F.col("feed_url")))
+    text = F.concat_ws(" ", *(part(name) for name in ("description", "summary", "content:encoded", "content")))
+    rows = rows.select(
+        "feed_url", F.col("ord").cast("long").alias("ord"), part("title").alias("title"), link.alias("url"), text.alias("text"),
+        F.coalesce(*(part(name) for name in ("pubDate", "published", "updated"))).alias("published_at"),
+    ).where("url is not null")
+    hrefs = F.regexp_extract_all("text", F.lit("(?i)https?://[^\\s<>\"']+"), F.lit(0))
+    found = extract.page_channels(F.col("text"), hrefs, F.col("url"))
+    return rows.select("feed_url", "ord", norm.truncate(F.coalesce("title", "url"), 180).alias("title"), "url", norm.truncate(F.col("text"), 40_000).alias("text"), "published_at", *found)
 
 
 def feed_results(feeds: DataFrame) -> DataFrame:
     """Feed items as results of the query ``feed:`` and the feed's URL, each URL once."""
-    rows = feed_items(feeds).withColumn("query", F.concat(F.lit("feed:"), "feed_url"))
+    rows = feed_items(feeds).withColumns({"content": norm.truncate(F.col("text"), 3000), "query": F.concat(F.lit("feed:"), "feed_url")}).drop("text")
     nth = F.row_number().over(W.partitionBy("url").orderBy("feed_url", "ord"))
-    return rows.withColumn("__nth", nth).where("__nth = 1").select("query", "ord", "title", "url", "content", "published_at")
+    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth", "feed_url")
 
 
 def news_feed(feeds: DataFrame) -> DataFrame:
-    """Answers of a news search (query, body as XML text), the first SEARCH_FIRST items; content is publication · description."""
-    part = lambda tag: _filled(F.regexp_extract("x", f"(?s)<{tag}(?:\\s[^>]*)?>(?:<!\\[CDATA\\[)?(.*?)(?:\\]\\]>)?</{tag}>", 1))
-    items = F.slice(F.regexp_extract_all("body", F.lit("(?s)(<item(?:\\s[^>]*)?>.*?</item>)"), F.lit(1)), 1, SEARCH_FIRST)
-    rows = feeds.select("query", F.posexplode(items).alias("ord", "x")).withColumn("ord", F.col("ord").cast("long"))
-    return _result(rows, F.coalesce(part("title"), part("link")), part("link"), F.concat_ws(" · ", part("source"), part("description")), part("pubDate"))
+    """News search (query, body as XML text), the first SEARCH_FIRST items; content is publication · description."""
+    rows = feeds.select("query", F.posexplode(_items(F.col("body"), SEARCH_FIRST)).alias("ord", "x")).withColumn("ord", F.col("ord").cast("long"))
+    part = lambda name: _filled(F.col("x")[name])
+    link = _filled(F.try_element_at(F.col("x.link"), F.lit(1))["_VALUE"])
+    return _result(rows, F.coalesce(part("title"), link), link, F.concat_ws(" · ", part("source"), part("description")), part("pubDate"))
 
 
 def sitemap(files: DataFrame) -> DataFrame:
-    """``files`` (site, body as XML text): site, nested (whether the place is a further sitemap), url."""
-    found = lambda tag: F.regexp_extract_all("body", F.lit(f"(?s)<{tag}(?:\\s[^>]*)?>\\s*<loc>\\s*([^<]*?)\\s*</loc>"), F.lit(1))
-    kinds = [files.select("site", F.lit(nested).alias("nested"), F.explode(found(tag)).alias("url")) for tag, nested in (("url", False), ("sitemap", True))]
-    return kinds[0].unionByName(kinds[1]).where("url <> ''")
+    """The other columns of ``files`` (with body as XML text), and ord, nested (whether the place is a further sitemap), url."""
+    rest = [c for c in files.columns if c != "body"]
+    told = F.from_xml("body", "url array<struct<loc:string>>, sitemap array<struct<loc:string>>")
+    rows = files.select(*rest, told.alias("x"))
+    places = lambda name, nested: rows.select(*rest, F.posexplode(F.transform(F.col("x")[name], lambda p: _filled(p["loc"]))).alias("ord", "url"), F.lit(nested).alias("nested"))
+    both = places("url", False).unionByName(places("sitemap", True))
+    return both.where("url is not null").select(*rest, F.col("ord").cast("long").alias("ord"), "nested", "url")

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contactry.functions import lexicons as lex
 from contactry.functions import normalize as norm
 from contactry.operators import extract
+from contactry.sources.html import read_pages
+from contactry.storage import store
 
 NESTED = 10
 URLS_PER_SITEMAP = 150
@@ -33,24 +36,69 @@ def company_name(fields: Column, field_id: int) -> Column:
     return F.try_element_at(field_values(fields, lambda f: f["id"] == field_id), F.lit(1))
 
 
+def _rendered(c: str) -> Column:
+    """Text that is given plainly or as {rendered: text}; the JSON type decides, not what the text looks like."""
+    v = F.col(c)
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.try_variant_get(v, "$.rendered", "string"))
+
+
 def cms_items(bodies: DataFrame) -> DataFrame:
-    """site, ord, url, content of CMS answers (site, body: JSON array); content is text or {rendered: text}."""
-    item = "array<struct<link:string,url:string,source_url:string,content:string,caption:string,description:string>>"
+    """site, ord, url, title, html, pdf of CMS answers (site, body: JSON array of posts, pages, users or media).
+
+    title, content, caption and description are text or {rendered: text}; ``pdf`` is the address of a PDF, for the frontier.
+    Bodies that are no JSON array give no rows, and items without an address are dropped.
+    """
+    item = "array<struct<link:string,url:string,source_url:string,name:string,title:variant,content:variant,caption:variant,description:variant>>"
     rows = bodies.select("site", F.posexplode(F.from_json("body", item)).alias("ord", "i")).select("site", "ord", "i.*")
-    text = lambda c: F.coalesce(F.get_json_object(c, "$.rendered"), F.col(c), F.lit(""))
     url = norm.url(F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("link", "url", "source_url"))))
-    return rows.select("site", F.col("ord").cast("long").alias("ord"), url.alias("url"), F.trim(F.concat_ws(" ", text("content"), text("caption"), text("description"))).alias("content")).where("url is not null")
+    parts = (F.nullif(_rendered(c), F.lit("")) for c in ("content", "caption", "description"))
+    pdf = F.when(F.col("source_url").rlike("(?i)[.]pdf($|[?])"), F.col("source_url"))
+    return rows.select(
+        "site", F.col("ord").cast("long").alias("ord"), url.alias("url"), F.coalesce(_rendered("title"), F.col("name")).alias("name"),
+        F.concat_ws(" ", *parts).alias("html"), pdf.alias("pdf"),
+    ).where("url is not null")
+
+
+def cms_pages(bodies: DataFrame) -> DataFrame:
+    """The items of ``cms_items`` read as pages: site, ord, url, pdf, title, text, emails, phones, social_urls, source."""
+    pages = read_pages(cms_items(bodies))
+    title = F.coalesce("name", "title")
+    return pages.select("site", "ord", "url", "pdf", title.alias("title"), "text", "emails", "phones", "social_urls", F.lit("wordpress").alias("source"))
 
 
-def expand_sitemaps(entries: DataFrame, per_sitemap: int = URLS_PER_SITEMAP) -> DataFrame:
-    """site, sitemap, url, score, rank: the best pages of the first NESTED nested sitemaps of a site.
+def sitemap_order(roots: DataFrame, entries: DataFrame, most: int = NESTED) -> DataFrame:
+    """site, place, sitemap: the sitemaps of a site in the order in which they are read, each once.
 
-    entries (site, sitemap: its place among the site's, ord, url); blocked paths go, the rest by link score.
+    roots (site, ord, sitemap): those a site names itself. entries (site, sitemap, ord, nested, url): what each sitemap
+    lists. The first ``most`` nested ones of a sitemap queue up behind those known before; the queue ends after ``most``
+    places, and a sitemap that comes again (a cycle) takes a place but is not read again. Every round follows one level of all
+    sites at once, so there are at most ``most`` rounds, on at most ``most`` rows a site.
     """
-    rows = entries.where(F.col("sitemap") < NESTED).withColumn("url", norm.url(F.col("url"))).where("url is not null")
-    first = rows.groupBy("site", "sitemap", "url").agg(F.min("ord").alias("ord")).withColumn("score", extract.link_score(F.col("url")))
-    rank = F.row_number().over(W.partitionBy("site", "sitemap").orderBy(F.desc("score"), "ord"))
-    return first.withColumn("rank", rank).where(F.col("rank") <= per_sitemap).drop("ord")
+    by_site = lambda *order: F.row_number().over(W.partitionBy("site").orderBy(*order)) - 1
+    nested = entries.where("nested").select("site", "sitemap", "ord", "url")
+    nth = F.row_number().over(W.partitionBy("site", "sitemap").orderBy("ord"))
+    nested = store(nested.withColumn("nth", nth).where(F.col("nth") <= most), "nested")
+    level = store(roots.withColumn("place", by_site("ord")).where(F.col("place") < most).select("site", "place", "sitemap"), "level")
+    queue = level
+    for _ in range(most):
+        known = queue.groupBy("site", "sitemap").agg(F.min("place").alias("place"))
+        children = level.join(known, ["site", "place", "sitemap"], "left_semi").join(nested, ["site", "sitemap"])
+        taken = queue.groupBy("site").agg(F.count("*").alias("taken"))
+        children = children.withColumn("behind", by_site("place", "ord")).join(taken, "site")
+        place = (F.col("behind") + F.col("taken")).cast("int")
+        level = store(children.select("site", place.alias("place"), F.col("url").alias("sitemap")).where(F.col("place") < most), "level")
+        if level.isEmpty():
+            break
+        queue = queue.unionByName(level)
+    return queue.groupBy("site", "sitemap").agg(F.min("place").alias("place")).select("site", "place", "sitemap")
+
+
+def expand_sitemaps(roots: DataFrame, entries: DataFrame, per_sitemap: int = URLS_PER_SITEMAP, most: int = NESTED) -> DataFrame:
+    """site, place, sitemap, url, score, rank: the useful pages of the sitemaps of ``sitemap_order``, the best of each by link score."""
+    pages = sitemap_order(roots, entries, most).join(entries.where("not nested").select("site", "sitemap", "ord", "url"), ["site", "sitemap"])
+    pages = pages.where(extract.fits(F.col("url"), lex.USEFUL_PATH)).withColumn("url", norm.url(F.col("url"))).where("url is not null")
+    rank = F.row_number().over(W.partitionBy("site", "place").orderBy(F.desc("score"), "ord"))
+    return pages.withColumn("score", extract.link_score(F.col("url"))).withColumn("rank", rank).where(F.col("rank") <= per_sitemap).drop("ord")
 
 
 def public_page(platform: Column, url: Column) -> Column:

@@ -50,7 +50,7 @@ def test_news_and_atom_feeds(spark):
     rss = "<rss><item><title>T</title><link>a.org</link><source url='x'>P</source><description><![CDATA[D]]></description></item><item><title>no link</title></item></rss>"
     assert [(r.title, r.url, r.content) for r in payloads.news_feed(bodies(spark, rss)).collect()] == [("T", "a.org", "P · D")]
     atom = spark.createDataFrame([("f.org", "<feed><entry><link rel='x' href='b.org/1'/><summary>S</summary><updated>2024</updated></entry></feed>")], "feed_url string, body string")
-    assert [(r.title, r.url, r.content, r.published_at) for r in payloads.feed_items(atom).collect()] == [("https://b.org/1", "https://b.org/1", "S", "2024")]
+    assert [(r.title, r.url, r.text, r.published_at) for r in payloads.feed_items(atom).collect()] == [("https://b.org/1", "https://b.org/1", "S", "2024")]
 
 
 def test_crawl_index_forms(spark):
