@@ -33,6 +33,12 @@ FIRST = 6
 _ROWS = 1024
 
 
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances row by row, exact in integers."""
+    x = x - y
+    return np.einsum("ij,ij->i", x, x).astype(np.int64)
+
+
 @dataclass
 class Codebooks:
     """entries: part position, entry, component; pivots: part position, pivot, component."""
@@ -64,22 +70,22 @@ class Codebooks:
 
     def nearest(self, j: int, x: np.ndarray, to_pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Nearest entry of each part at position ``j``, ties to the lower index, its squared distance, and how many were evaluated."""
-        book = self.entries[j]
-        from_pivots = np.sqrt(((book[:, None] - self.pivots[j][None]) ** 2).sum(2)).astype(np.float32)
+        book = self.entries[j].astype(x.dtype)
+        from_pivots = np.sqrt(((self.entries[j][:, None] - self.pivots[j][None]) ** 2).sum(2)).astype(np.float32)
         bound = np.zeros((len(x), len(book)), np.float32)
         for p in range(from_pivots.shape[1]):
             np.maximum(bound, np.abs(to_pivots[:, p, None] - from_pivots[None, :, p]), out=bound)
         bound -= bound * np.float32(1e-5) + np.float32(1e-6) * np.float32(max(to_pivots.max(initial=0), from_pivots.max(initial=0)) + 1)  # rounding never lifts it above the distance
         first = min(FIRST, len(book))
         order = np.argpartition(bound, first - 1, axis=1)[:, :first]
-        d = ((x[:, None] - book[order]) ** 2).sum(2)
+        d = _squares(np.repeat(x, first, 0), book[order.reshape(-1)]).reshape(len(x), first)
         best = d.min(1)
         entry = np.where(d == best[:, None], order, len(book)).min(1)
         np.put_along_axis(bound, order, np.inf, 1)
         np.maximum(bound, 0, out=bound)
         row, other = np.nonzero(bound.astype(np.float64) ** 2 <= best[:, None])
         if len(row):
-            d = ((x[row] - book[other]) ** 2).sum(1)
+            d = _squares(x[row], book[other])
             change = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
             at, low = row[change], np.minimum.reduceat(d, change)
             least = np.full(len(x), np.iinfo(np.int64).max)
@@ -92,6 +98,8 @@ class Codebooks:
 
     def assign(self, parts: np.ndarray, to_pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Entry and squared distance of each part of each vector, and the number of exact evaluations."""
+        most = max(int(np.abs(a).max(initial=0)) for a in (parts, self.entries))
+        parts = parts.astype(np.int32 if 4 * most * most * parts.shape[2] < 1 << 31 else np.int64)  # as narrow as is exact
         code, error, evaluated = np.empty(parts.shape[:2], np.int64), np.empty(parts.shape[:2], np.int64), 0
         for low in range(0, len(parts), _ROWS):
             at = slice(low, low + _ROWS)

@@ -12,6 +12,8 @@ import numpy as np
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 1 << 16
+#: Bits of a position in a block and the windows that reach beyond it.
+_PLACE_BITS = 17
 #: Windows in one segment at most: their verdicts fit the bits of a long.
 RUN = 32
 
@@ -65,17 +67,12 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost least value in every window of ``w`` values."""
-    done, m, at = 1, h, np.arange(len(h), dtype=np.int32)
+    """Position of the least value in every window of ``w`` values, by their high bits; of equal ones the leftmost.
 
-    def merge(step: int) -> tuple[np.ndarray, np.ndarray]:
-        left = m[:-step] <= m[step:]
-        return np.where(left, m[:-step], m[step:]), np.where(left, at[:-step], at[step:])
-
-    while done * 2 <= w:
-        m, at = merge(done)
-        done *= 2
-    return merge(w - done)[1] if done < w else at
+    The low bits give way to the position, so one minimum tells both. In equal windows the same place is taken.
+    """
+    low = _U((1 << _PLACE_BITS) - 1)
+    return (sliding_min((h & ~low) | np.arange(len(h), dtype=_U), w) & low).astype(np.int64)
 
 
 def runs(units: np.ndarray, window: int, k: int, by_place: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
