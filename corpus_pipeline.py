@@ -13,6 +13,8 @@ from contactry.llm.packing import pack
 from contactry.llm.pii import redact_documents
 
 
+#: Rows that go to Python at a time in stages that store their result; their bytes are bounded too.
+BATCH_ROWS = 1000
 #: Keys up to which the rows that go are broadcast: some 10 MB.
 SMALL = 100_000
 
@@ -22,13 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id and repeated rows are judged like others.
     """
-    _small_batches(spark)
-    return keep_identified(docs)
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """Rows hold whole texts, some very long: fewer of them go to Python at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return store(keep_identified(docs), "language_id", BATCH_ROWS)
 
 
 def _only(docs: DataFrame, result: DataFrame, name: str, mark) -> DataFrame:
@@ -67,14 +63,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind in brackets; no row goes, null texts stay null."""
-    _small_batches(spark)
-    return redact_documents(docs)
+    return store(redact_documents(docs), "pii", BATCH_ROWS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    _small_batches(spark)
-    return pack(docs)
+    return store(pack(docs), "packed", BATCH_ROWS)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
@@ -85,6 +79,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if stage in (exact_dedup, near_dedup):  # the others give a stored table
+            docs = store(docs, name)
+    return docs
