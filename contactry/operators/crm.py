@@ -82,6 +82,33 @@ def by_lead(actions: DataFrame) -> DataFrame:
     return actions.groupBy("lead_id").agg(F.count("*").alias("actions"), F.bool_or(F.col("status") == "failed").alias("failed"))
 
 
+#: What the review views show: their order, and how many rows.
+REVIEW = {
+    "runs": (("started_at",), 50), "companies": (("created_at",), 500), "candidates": (("created_at",), 200), "demand_runs": (("started_at",), 30), "signals": (("score", "last_seen_at"), 300),
+}
+
+
+def review(rows: DataFrame, view: str, key: str) -> DataFrame:
+    """The latest rows of a view, or its best; ties by the larger key."""
+    order, limit = REVIEW[view]
+    return review_lists(rows, [F.desc(c) for c in (*order, key)], limit)
+
+
+def asked(*streams: DataFrame) -> DataFrame:
+    """query: what several providers were asked, each once."""
+    out = streams[0].select("query")
+    for s in streams[1:]:
+        out = out.union(s.select("query"))
+    return out.distinct()
+
+
+def enrichment_counts(pages: DataFrame, steps: DataFrame) -> DataFrame:
+    """entity_id, attempted, succeeded, failed: profiles that were tried, those that gave a page, and the others, never below none."""
+    done = pages.groupBy("entity_id").agg(F.count("*").alias("succeeded"))
+    rows = steps.groupBy("entity_id").agg(F.sum("attempted").alias("attempted")).join(done, "entity_id", "left").fillna(0, ["succeeded"])
+    return rows.withColumn("failed", F.greatest(F.lit(0).cast("long"), F.col("attempted") - F.col("succeeded")))
+
+
 def review_lists(rows: DataFrame, order: list, limit: int) -> DataFrame:
     return rows.orderBy(*order).limit(limit)
 
@@ -92,5 +119,23 @@ def set_status(rows: DataFrame, told: DataFrame, allowed: tuple[str, ...] = ("ne
     return rows.join(fit, "id", "left").withColumn("status", F.coalesce("wanted", "status")).drop("wanted")
 
 
+def safe_file_date(c):
+    """A time as part of a file's name."""
+    return F.regexp_replace(c, "[:.]", "-")
+
+
+def note_rows(contacts: DataFrame, run_id: str) -> DataFrame:
+    """entity_id, group_id, note of contacts (company, full_name, position, score, score_reasons and lists): inferred addresses never leave."""
+    safe = exportable(F.col("emails"), lambda e: e["status"])
+    status = lambda e: F.coalesce(e["status"], F.when(e["generic"], "general").otherwise("found"))
+    sure = lambda e: F.when(e["confidence"] > 0, F.concat(F.lit(", "), e["confidence"].cast("string"), F.lit("%"))).otherwise("")
+    told = F.transform("safe", lambda e: F.concat(e["value"], F.lit(" ("), status(e), F.lit(", "), e["deliverability"], sure(e), F.lit(")")))
+    rows = contacts.withColumn("safe", safe)
+    filled = lambda c: F.nullif(c, F.lit(""))
+    label = F.coalesce(filled(F.col("full_name")), F.try_element_at("safe", F.lit(1))["value"], F.try_element_at("phones", F.lit(1)), F.try_element_at("social_urls", F.lit(1)), F.lit("nameless contact"))
+    rows = rows.withColumns({"label": label, "channels": F.concat(told, "phones", "social_urls"), "reasons": F.col("score_reasons"), "sources": F.transform("evidence", lambda e: e["url"])})
+    return rows.select("entity_id", "group_id", note_text(run_id).alias("note"))
+
+
 def escape_markdown(c):
     return F.trim(F.regexp_replace(c, "[|\\r\\n]+", " "))

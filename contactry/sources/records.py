@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,6 +36,27 @@ def company_name(fields: Column, field_id: int) -> Column:
     return F.try_element_at(field_values(fields, lambda f: f["id"] == field_id), F.lit(1))
 
 
+def lead_queue(leads: DataFrame, companies: DataFrame, pipeline: int, status: str, limit: int, name_field: int | None = None) -> DataFrame:
+    """The oldest leads of a pipeline and status with their company: lead_id, lead_name, company_id, company, website, contact_ids.
+
+    leads (id, pipeline_id, status_id, name, company_id, company_name: the link's, fields, contact_ids), companies (id, name,
+    fields). The company's name is the company's own, else the link's, the lead's field, the lead's; blank ones do not count.
+    """
+    queue = leads.where((F.col("pipeline_id") == pipeline) & (F.col("status_id") == status)).orderBy("id").limit(limit)
+    known = companies.select(F.col("id").alias("company_id"), F.col("name").alias("own_name"), F.col("fields").alias("own_fields"))
+    rows = queue.join(known, "company_id", "left")
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    given = [company_name(F.col("fields"), name_field)] if name_field is not None else []
+    names = F.coalesce(filled("own_name"), filled("company_name"), *given, filled("name"))
+    return rows.select(F.col("id").alias("lead_id"), F.col("name").alias("lead_name"), "company_id", names.alias("company"), website(F.col("own_fields")).alias("website"), F.coalesce("contact_ids", F.array().cast("array<long>")).alias("contact_ids"))
+
+
+def manual_company(spark: SparkSession, name: str, site: str | None = None) -> DataFrame:
+    """The one row of a company that is named by hand instead of by a lead."""
+    row = spark.range(1).select(F.lit(None).cast("long").alias("lead_id"), F.lit(name).alias("lead_name"), F.lit(None).cast("long").alias("company_id"), F.lit(name).alias("company"), norm.url(F.lit(site)).alias("website"))
+    return row.withColumns({"contact_ids": F.array().cast("array<long>"), "source": F.lit("manual")})
+
+
 def _rendered(c: str) -> Column:
     """Text that is given plainly or as {rendered: text}; the JSON type decides, not what the text looks like."""
     v = F.col(c)

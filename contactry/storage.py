@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes that go to Python at a time while a step is stored, however long single texts are.
+BATCH_BYTES = 8 << 20
 _own_folder: dict[str, str] = {}
 
 
@@ -29,11 +32,12 @@ def store(df: DataFrame, name: str = "step", batch_rows: int | None = None) -> D
     """Write ``df`` to the shared folder and return a reader of it.
 
     A lost executor then costs the tasks it ran, not the stages before the table. Shuffle files of the finished
-    write go at once. ``batch_rows``: rows that go to Python at a time during the write, fewer where they hold whole texts.
+    write go at once. What goes to Python at a time during the write is bounded in bytes, and by ``batch_rows`` where given.
+    The session's own settings are put back after the write.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    wanted = {_CLEAN: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    wanted = {_CLEAN: "true", _BYTES: str(BATCH_BYTES)} | ({_BATCH: str(batch_rows)} if batch_rows else {})
     before = {conf: spark.conf.get(conf, None) for conf in wanted}
     for conf, value in wanted.items():
         spark.conf.set(conf, value)
