@@ -25,11 +25,11 @@ SCALE = 1024
 PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
-PIVOTS = 8
+PIVOTS = 16
 #: Components beyond so much are cut to it, so squared distances are exact in 64 bits.
 LIMIT = 1 << 24
 #: Entries that are evaluated before the bounds are compared with the best distance.
-FIRST = 6
+FIRST = 16
 _ROWS = 1024
 
 

@@ -71,7 +71,7 @@ class Bins:
 
     def __init__(self, capacity: int):
         self.capacity, self.opened, self.root = capacity, 0, None
-        self.rank = random.Random(capacity).random
+        self.rank = random.Random(int(capacity)).random
 
     def put(self, size: int) -> int:
         """The open bin with the least remaining capacity that holds ``size``, or a new one; its number."""
