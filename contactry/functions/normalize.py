@@ -160,6 +160,11 @@ def timestamp(c: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(c), *(F.try_to_timestamp(plain, F.lit(f)) for f in forms))
 
 
+def compact_date(c: Column) -> Column:
+    """yyyyMMddTHHmmssZ as an ISO date; anything else as it is."""
+    return F.regexp_replace(c, "^(\\d{4})(\\d{2})(\\d{2})T(\\d{2})(\\d{2})(\\d{2})Z$", "$1-$2-$3T$4:$5:$6Z")
+
+
 def slug(*parts: Column) -> Column:
     """Query id: parts joined by '-', other characters than letters and digits become '-'."""
     joined = F.lower(F.concat_ws("-", *parts))

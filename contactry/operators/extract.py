@@ -100,6 +100,15 @@ def robots_rules(lines: DataFrame) -> DataFrame:
     return clean.withColumns({"key": key, "value": value, "agent": agent}).where("agent = '*' and key = 'disallow' and value <> ''").select(F.col("host").alias("rule_host"), F.col("value").alias("prefix"))
 
 
+def robots_sitemaps(lines: DataFrame) -> DataFrame:
+    """host, line_no, line of robots files -> host, ord, sitemap: the sitemaps that a host names, in any group, each once and in order."""
+    clean = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).where(F.lower(F.trim(F.substring_index("line", ":", 1))) == "sitemap")
+    value = F.trim(F.regexp_replace("line", "^[^:]*:", ""))
+    place = norm.resolve(value, F.concat(F.lit("https://"), F.col("host"), F.lit("/")))
+    rows = clean.where(value != "").select("host", "line_no", place.alias("sitemap")).where("sitemap is not null")
+    return rows.groupBy("host", "sitemap").agg(F.min("line_no").alias("ord")).select("host", "ord", "sitemap")
+
+
 def windows_around(docs: DataFrame, terms: list[str], reach: int = 140) -> DataFrame:
     """The other columns of ``docs``, and term, at, window: each non-overlapping occurrence of a term with ``reach`` characters on each side.
 

@@ -26,9 +26,10 @@ def candidate_keys(candidates: DataFrame, with_phones: bool = False) -> DataFram
 def resolve(keys: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """cand_id, group_id: the smallest candidate that is tied to this one by shared keys within its entity.
 
-    Every key ties its candidates to its smallest one: as many edges as there are keys, also for a hub key.
+    Every key ties its candidates to its smallest one: as many edges as there are keys, also for a hub key. Shared keys
+    are stored, so that the join shuffles both sides and a hub key's rows can be split.
     """
-    hubs = keys.groupBy("entity_id", "key").agg(F.min("cand_id").alias("src"), F.count("*").alias("of")).where("of > 1")
+    hubs = save(keys.groupBy("entity_id", "key").agg(F.min("cand_id").alias("src"), F.count("*").alias("of")).where("of > 1"))
     edges = keys.join(hubs, ["entity_id", "key"]).where("cand_id <> src").select("src", F.col("cand_id").alias("dst")).distinct()
     labels = connected_components(edges, save)
     everyone = keys.select("cand_id").distinct()

@@ -119,6 +119,48 @@ def domain_contact_candidates(spark: SparkSession, d: str) -> DataFrame:
     return payloads.domain_contacts(rows, told).select("domain", "email", "full_name", "position", "deliverability", "confidence", F.element_at("evidence_urls", 1).alias("evidence_url"))
 
 
+def article_results(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    seen = F.concat(F.lit("2024"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.when(i % 2 == 0, "T101112Z").otherwise(""))
+    hit = F.struct(F.when(i % 3 > 0, F.col("source")).alias("title"), _address("a/").alias("url"), F.when(i % 4 > 0, "d.example").otherwise("").alias("domain"), F.col("lang").alias("language"), seen.alias("seendate"))
+    return payloads.articles(_bodies(_t(spark, d, "documents"), "doc_id", 10, "articles", hit)).drop("author")
+
+
+def paid_results(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    hit = F.struct(F.when(i % 2 == 0, F.col("source")).alias("title"), F.when(i % 5 == 0, " ").otherwise(_address()).alias("url"), F.col("text").alias("content"), F.when(i % 3 > 0, i / 4).alias("score"))
+    return payloads.paid_search(_bodies(_t(spark, d, "documents"), "doc_id", 10, "results", hit)).drop("published_at", "author")
+
+
+def video_results(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    shown = F.date_format(F.lit(RUN_TS).cast("timestamp") - F.make_dt_interval((i % 30).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    hit = F.struct(F.struct(F.when(i % 3 > 0, F.concat(F.lit("v"), i)).alias("videoId")).alias("id"), F.struct(F.when(i % 2 == 0, F.col("lang")).alias("title"), F.col("text").alias("description"), shown.alias("publishedAt"), F.col("source").alias("channelTitle")).alias("snippet"))
+    return payloads.videos(_bodies(_t(spark, d, "documents"), "doc_id", 10, "items", hit), F.lit(RUN_TS).cast("timestamp")).drop("published_at")
+
+
+def account_results(spark: SparkSession, d: str) -> DataFrame:
+    """The first two accounts of each search, with what is known of them."""
+    hit = F.struct(F.concat(F.lit("u"), F.col("doc_id") % 2000).alias("login"))
+    k = F.col("c_custkey")
+    people = _t(spark, d, "customer").select(
+        F.concat(F.lit("u"), k).alias("login"), F.when(k % 2 == 0, F.col("c_name")).alias("name"), F.when(k % 3 == 0, F.col("c_mktsegment")).otherwise(" ").alias("company"), F.lit("bio").alias("bio"),
+        F.when(k % 5 == 0, F.concat(F.lit("c"), k, F.lit("@example.org"))).alias("email"), F.lit("").alias("blog"), F.concat(F.lit("Example.org/u/"), k).alias("url"),
+    )
+    return payloads.profiles(_bodies(_t(spark, d, "documents"), "doc_id", 10, "items", hit), people).drop("published_at", "author")
+
+
+def healthy_instances(spark: SparkSession, d: str) -> DataFrame:
+    """Instances of a hundred pages an answer, each with its own health: the fastest eight."""
+    i = F.col("page_id")
+    health = F.struct(
+        (i % 7 == 0).alias("analytics"), F.when(i % 5 == 0, "tor").otherwise("normal").alias("network_type"), F.struct(F.when(i % 11 == 0, 500).otherwise(200).alias("status_code")).alias("http"),
+        F.struct(F.struct((i % 20 + 81).cast("double").alias("success_percentage"), F.struct(F.when(i % 3 > 0, i * 37 % 1000 / 100).alias("median")).alias("all")).alias("search")).alias("timing"), F.struct((i % 10 + 90).cast("double").alias("uptimeDay")).alias("uptime"),
+    )
+    rows = _t(spark, d, "pages").groupBy(F.floor(i / 100).alias("bucket")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("i"), F.lpad(i.cast("string"), 9, "0")), health)))).alias("instances"))
+    return payloads.healthy_instances(rows.select(F.to_json(F.struct("instances")).alias("body")))
+
+
 def _cut(n: int) -> str:
     flat = f"coalesce({_flat}, '')"
     return f"CASE WHEN length({flat}) > {n} THEN left({flat}, {n - 1}) || '…' ELSE {flat} END"
@@ -151,6 +193,7 @@ QUERIES = {
     for f in (
         meta_search_results, discussion_results, recent_questions, grounded_sources,
         archived_page_urls, feed_signals, news_results, sitemap_urls, domain_contact_candidates,
+        article_results, paid_results, video_results, account_results, healthy_instances,
     )
 }
 ORACLE = {
@@ -169,6 +212,15 @@ ORACLE = {
     "news_results": rf"""WITH {_places(10)}, c AS (SELECT *, replace({_clean('text')}, ']]>', ']] >') AS t FROM d), n AS (SELECT *, concat_ws(' · ', nullif(trim(source), ''), nullif(trim(t), '')) AS said FROM c)
       SELECT query, ord, coalesce(nullif(trim(lang), ''), '{SITE}' || doc_id) AS title, '{SITE}' || doc_id AS url, {_cut(2000).replace('text', 'said')} AS content FROM n WHERE ord < 8 AND doc_id % 9 > 0""",
     "sitemap_urls": "SELECT 'q' || (page_id // 20) AS site, (page_id // 20) % 3 = 0 AS nested, trim(url) AS url FROM pages WHERE trim(url) <> ''",
+    "article_results": f"""WITH {_places(10)} SELECT query, ord, coalesce(CASE WHEN doc_id % 3 > 0 THEN {_source} END, CASE WHEN doc_id % 4 > 0 THEN 'd.example' END, '{SITE}a/' || doc_id) AS title, '{SITE}a/' || doc_id AS url,
+      concat_ws(' · ', CASE WHEN doc_id % 4 > 0 THEN 'd.example' END, nullif(trim(lang), '')) AS content, CASE WHEN doc_id % 2 = 0 THEN '2024-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || 'T10:11:12Z'
+        ELSE '2024' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') END AS published_at FROM d""",
+    "paid_results": f"WITH {_places(10)} SELECT query, ord, coalesce(CASE WHEN doc_id % 2 = 0 THEN {_source} END, '{SITE}' || doc_id) AS title, '{SITE}' || doc_id AS url, {_cut(2000)} AS content, CASE WHEN doc_id % 3 > 0 THEN doc_id / 4 ELSE 0 END::DOUBLE AS score FROM d WHERE doc_id % 5 > 0",
+    "video_results": f"WITH {_places(10)} SELECT query, ord, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, 'v' || doc_id) AS title, '{payloads.VIDEO_URL}v' || doc_id AS url, {_cut(3000)} AS content, source AS author FROM d WHERE doc_id % 3 > 0 AND doc_id % 30 <= 14",
+    "account_results": f"""WITH {_places(10)} SELECT query, ord, concat_ws(' · ', coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_name END, 'u' || c_custkey), CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END) AS title, 'https://example.org/u/' || c_custkey AS url,
+      concat_ws(' · ', 'bio', CASE WHEN c_custkey % 5 = 0 THEN 'c' || c_custkey || '@example.org' END, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END) AS content FROM d JOIN customer ON c_custkey = doc_id % 2000 WHERE ord < 2""",
+    "healthy_instances": """WITH h AS (SELECT page_id, coalesce(CASE WHEN page_id % 3 > 0 THEN page_id * 37 % 1000 / 100 END, 99) AS median FROM pages WHERE page_id % 7 > 0 AND page_id % 5 > 0 AND page_id % 11 > 0 AND page_id % 20 + 81 >= 90 AND page_id % 10 + 90 >= 95),
+      r AS (SELECT 'i' || lpad(page_id::VARCHAR, 9, '0') AS instance, row_number() OVER (ORDER BY median, page_id % 100)::INTEGER AS rank FROM h) SELECT rank, instance FROM r WHERE rank <= 8""",
     "domain_contact_candidates": """SELECT 'q' || (c_custkey // 10) AS domain, 'c' || c_custkey || '@example.org' AS email, c_name AS full_name, c_mktsegment AS position,
       CASE WHEN c_custkey % 3 = 0 THEN 'risky' ELSE 'unknown' END AS deliverability, CASE WHEN c_custkey % 3 = 0 THEN 50 ELSE 80 END AS confidence, 'https://q' || (c_custkey // 10) AS evidence_url FROM customer WHERE c_custkey % 9 <> 0""",
 }

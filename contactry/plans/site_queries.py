@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from contactry.functions import catalog as cat
 from contactry.functions import lexicons as lex
 from contactry.functions import normalize as norm
-from contactry.operators import demand, research
+from contactry.operators import demand, extract, research
 from contactry.sources import html, payloads, records
 
 from .oracle import _domain, _normal, _path
@@ -188,9 +188,32 @@ def scored_results(spark, d):
     return got.select("event_id", "score", F.array_join("score_reasons", "|").alias("reasons"), F.array_join("emails", " ").alias("emails"), F.size("phones").alias("n_phones"), F.size("social_urls").alias("n_social"))
 
 
+def robots_sitemaps(spark, d):
+    """Sitemaps that robots files name: whole addresses and paths, repeated, in comments and empty."""
+    i = F.col("page_id")
+    line = F.when(i % 5 == 0, "User-agent: *").when(i % 5 == 1, F.concat(F.lit("SITEMAP : /Maps/../m"), i % 20, F.lit(".xml # main"))).when(i % 5 == 2, F.concat(F.lit("Sitemap: https://Other.example/"), i % 30)).when(i % 5 == 3, "# Sitemap: /no.xml").otherwise("Sitemap:")
+    return extract.robots_sitemaps(_t(spark, d, "pages").select(F.concat(F.lit("h"), i % 3, F.lit(".example")).alias("host"), i.alias("line_no"), line.alias("line")))
+
+
+def model_contacts(spark, d):
+    """A model's contacts about nations: what their sources, the customers' pages, do not hold is taken out."""
+    k = F.col("c_custkey")
+    c = _t(spark, d, "customer")
+    place = F.concat(F.lit("https://example.org/c"), k.cast("string"))
+    evidence = c.where("c_custkey % 4 > 0").select(F.col("c_nationkey").alias("entity_id"), place.alias("url"), F.lit("Team").alias("title"), F.concat(F.lit("Mail C"), k, F.lit("@Example.org or https://t.me/c"), k, F.lit(" and https://other.example/c"), k).alias("snippet"))
+    own, far = F.concat(F.lit("c"), k.cast("string"), F.lit("@example.org")), F.concat(F.lit("c"), (k + 1).cast("string"), F.lit("@example.org"))
+    answers = c.select(
+        F.col("c_nationkey").alias("entity_id"), k.alias("answer_id"), F.when(k % 3 > 0, F.concat(F.lit(" "), "c_name")).otherwise(" ").alias("full_name"), F.lit(None).cast("string").alias("position"), F.array(far, F.upper(own), own).alias("emails"),
+        F.when(k % 5 == 0, F.array(F.concat(F.lit("+7 "), k), F.lit("-"))).alias("phones"), F.array(F.concat(F.lit("https://other.example/c"), k), F.concat(F.lit("https://t.me/c"), k)).alias("social_urls"), F.array(F.lit("https://made.example/"), place, place).alias("urls"),
+    )
+    got = records.model_contacts(answers, evidence)
+    line = lambda c: F.array_join(c, " ").alias(c)
+    return got.select("entity_id", "answer_id", "full_name", line("emails"), line("phones"), line("social_urls"), line("urls"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (html_pages, channel_pages, public_profiles, browser_urls, nested_sitemaps, cms_items, cms_pages, company_people, second_round_people, people_windows, classify_documents, scored_results)
+    for f in (html_pages, channel_pages, public_profiles, browser_urls, nested_sitemaps, cms_items, cms_pages, company_people, second_round_people, people_windows, classify_documents, scored_results, robots_sitemaps, model_contacts)
 }
 
 _flat = lambda c: rf"trim(regexp_replace({c}, '[ \t\r\n\f]+', ' ', 'g'))"
@@ -223,6 +246,11 @@ _staff_sql = f"""
 _flat_text = r"regexp_replace(text, '[ \t\r\n]+', ' ', 'g')"
 
 ORACLE = {
+    "robots_sitemaps": """WITH l AS (SELECT page_id, 'h' || (page_id % 3) || '.example' AS host FROM pages),
+      s AS (SELECT host, page_id, CASE page_id % 5 WHEN 1 THEN 'https://' || host || '/m' || (page_id % 20) || '.xml' ELSE 'https://other.example/' || (page_id % 30) END AS sitemap FROM l WHERE page_id % 5 IN (1, 2)) SELECT host, min(page_id) AS ord, sitemap FROM s GROUP BY host, sitemap""",
+    "model_contacts": """WITH k AS (SELECT c_custkey AS k, c_nationkey AS n, c_name FROM customer), e AS (SELECT k, n FROM k WHERE k % 4 > 0)
+      SELECT n AS entity_id, k AS answer_id, CASE WHEN k % 3 > 0 THEN trim(c_name) END AS full_name, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.k = k.k + 1 AND e.n = k.n) THEN 'c' || (k + 1) || '@example.org ' ELSE '' END || 'c' || k || '@example.org' AS emails,
+        CASE WHEN k % 5 = 0 THEN '+7' || k ELSE '' END AS phones, 'https://t.me/c' || k AS social_urls, 'https://example.org/c' || k AS urls FROM k WHERE k % 4 > 0""",
     "html_pages": rf"""WITH b AS (SELECT page_id, url, html, regexp_replace(regexp_replace(html, '(?is)<({"|".join(html.HIDDEN)})[^>]*>.*?</({"|".join(html.HIDDEN)})>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
       p AS (SELECT page_id, url, {_plain(_stripped.format(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS t, {_plain(_stripped.format(r"regexp_replace(regexp_replace(h, '(?is)<title[^>]*>.*?</title>', '', 'g'), '(?i)<!DOCTYPE[^>]*>', '', 'g')"))} AS body,
         list_transform(regexp_extract_all(h, '(?s)<a href="([^"]*)">', 1), lambda x: {_plain('x')}) AS hrefs, list_transform(regexp_extract_all(h, '(?s)<a href="[^"]*">(.*?)</a>', 1), lambda x: trim({_plain(_stripped.format('x'))})) AS said,

@@ -72,7 +72,7 @@ def articles(payloads: DataFrame) -> DataFrame:
     """``articles`` of a news index; content is domain · language."""
     hits = _hits(payloads, "articles", "title string, url string, domain string, language string, seendate string")
     title = F.coalesce(_filled("title"), _filled("domain"), F.col("url"))
-    return _result(hits, title, norm.url(F.col("url")), F.concat_ws(" · ", _filled("domain"), _filled("language")), F.col("seendate"), longest=500)
+    return _result(hits, title, norm.url(F.col("url")), F.concat_ws(" · ", _filled("domain"), _filled("language")), norm.compact_date(F.col("seendate")), longest=500)
 
 
 def discussions(payloads: DataFrame) -> DataFrame:

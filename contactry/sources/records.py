@@ -148,6 +148,35 @@ def validated_answers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     return held.join(mails.groupBy("answer_id").agg(F.array_sort(F.collect_list("email")).alias("emails")), "answer_id")
 
 
+ANSWER_SOCIAL = "(?i)t\\.me|telegram|vk\\.com|linkedin|threads\\.net|tenchat"
+
+
+def model_contacts(answers: DataFrame, evidence: DataFrame, snippet: int = 2000) -> DataFrame:
+    """entity_id, answer_id, full_name, position, emails, phones, social_urls, urls of a model's contacts, as far as the sources bear them out.
+
+    answers (entity_id, answer_id, full_name, position, emails, phones, social_urls, urls), evidence (entity_id, url, title,
+    snippet). Addresses of sources must be given ones; emails and profiles must stand in the sources' texts, as they were
+    shown (cut to ``snippet``). Contacts without a source, or without any channel left, go.
+    """
+    shown = evidence.select("entity_id", "url", F.concat_ws("\n", "url", "title", norm.truncate(F.coalesce("snippet", F.lit("")), snippet)).alias("text"))
+    links = F.filter(F.regexp_extract_all("text", F.lit("(?i)https?://[^\\s)\\]>'\"]+"), F.lit(0)), lambda u: u.rlike(ANSWER_SOCIAL))
+    known = {
+        "urls": shown.select("entity_id", F.col("url").alias("x")), "emails": shown.select("entity_id", F.explode(extract.emails(F.col("text"))).alias("x")), "social_urls": shown.select("entity_id", F.explode(links).alias("x")),
+    }
+    wanted = {"urls": F.col("urls"), "emails": F.transform("emails", norm.email), "social_urls": F.col("social_urls")}
+    held = None
+    for name, allowed in known.items():
+        rows = answers.select("entity_id", "answer_id", F.lit(name).alias("list"), F.posexplode(F.array_distinct(wanted[name])).alias("nth", "x"))
+        rows = rows.join(allowed.distinct(), ["entity_id", "x"], "left_semi")
+        held = rows if held is None else held.unionByName(rows)
+    part = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("nth", "x")))), lambda s: s["x"]).alias(name)
+    lists = held.groupBy("entity_id", "answer_id").agg(*(part(name) for name in known))
+    phones = F.filter(F.array_distinct(F.transform(F.coalesce("phones", F.array().cast("array<string>")), norm.phone)), lambda x: x != "")
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    out = answers.select("entity_id", "answer_id", filled("full_name").alias("full_name"), filled("position").alias("position"), phones.alias("phones")).join(lists, ["entity_id", "answer_id"])
+    return out.where((F.size("urls") > 0) & (F.size("emails") + F.size("phones") + F.size("social_urls") > 0))
+
+
 def within_budgets(queries: DataFrame, budgets: tuple[tuple[str, int], ...], order: str = "ord") -> DataFrame:
     """The first queries of every provider and run, as many as its budget."""
     most = F.coalesce(*(F.when(F.col("provider") == name, n) for name, n in budgets), F.lit(0))

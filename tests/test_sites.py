@@ -163,3 +163,37 @@ def test_demand_scores(spark):
     brief, job, none = got
     assert brief.score >= 75 and "producer@example.ru" in brief.emails and "https://t.me/example/42" in brief.social_urls and brief.score_reasons[0].startswith("+ намерение: ищем")
     assert job.score < 25 and none.score == 0
+
+
+def test_sitemaps_of_robots_files(spark):
+    lines = ["User-agent: bad", "Disallow: /x", "Sitemap: /a.xml # main", "sitemap:https://b.example/s", "Sitemap: /a.xml", "Sitemap:", "# Sitemap: /no"]
+    rows = spark.createDataFrame([("h.example", i, x) for i, x in enumerate(lines)] + [("h.example", 9, None)], "host string, line_no int, line string")
+    assert [(r.ord, r.sitemap) for r in extract.robots_sitemaps(rows).orderBy("ord").collect()] == [(2, "https://h.example/a.xml"), (3, "https://b.example/s")]
+
+
+def test_dates_of_articles(spark):
+    assert spark.range(1).select(norm.compact_date(F.lit("20260817T102030Z")), norm.compact_date(F.lit("yesterday")), norm.compact_date(F.lit(None))).first() == ("2026-08-17T10:20:30Z", "yesterday", None)
+
+
+def test_contacts_that_a_model_made_up_go(spark):
+    shape = "entity_id int, answer_id int, full_name string, position string, emails array<string>, phones array<string>, social_urls array<string>, urls array<string>"
+    rows = [
+        (1, 1, " Анна ", "CEO", ["ANNA@a.ru", "made@up.ru"], None, ["https://t.me/anna", "https://t.me/other"], ["https://a.ru/1", "https://no.ru"]), (1, 2, None, None, ["made@up.ru"], [], [], ["https://a.ru/1"]),
+        (1, 3, None, None, [], ["+7 1"], [], ["https://a.ru/1"]), (1, 4, None, None, ["anna@a.ru"], [], [], ["https://no.ru"]), (2, 5, None, None, ["anna@a.ru"], [], [], ["https://a.ru/1"]), (1, 6, None, None, None, None, None, None),
+    ]
+    evidence = spark.createDataFrame([(1, "https://a.ru/1", "T", "Anna@A.ru https://t.me/anna")], "entity_id int, url string, title string, snippet string")
+    got = {r.answer_id: r for r in records.model_contacts(spark.createDataFrame(rows, shape), evidence).collect()}
+    assert set(got) == {1, 3}
+    assert (got[1].full_name, got[1].emails, got[1].social_urls, got[1].urls) == ("Анна", ["anna@a.ru"], ["https://t.me/anna"], ["https://a.ru/1"]) and got[3].phones == ["+71"]
+
+
+def test_companies_by_hand_and_from_leads(spark):
+    assert records.manual_company(spark, "Firm", "Firm.example").first()[:5] == (None, "Firm", None, "Firm", "https://firm.example/")
+    field = "array<struct<id:int,code:string,type:string,name:string,values:array<struct<value:string>>>>"
+    leads = spark.createDataFrame(
+        [(i, 1, "open", f"L{i}", c, link, None, None) for i, c, link in ((3, 9, "link"), (1, None, "link"), (2, 8, " "), (4, 8, "x"))] + [(0, 2, "open", "other", 9, "x", None, None)],
+        f"id long, pipeline_id int, status_id string, name string, company_id long, company_name string, fields {field}, contact_ids array<long>",
+    )
+    companies = spark.createDataFrame([(9, "Own", None), (8, "", None)], f"id long, name string, fields {field}")
+    got = records.lead_queue(leads, companies, 1, "open", 3).orderBy("lead_id").collect()
+    assert [(r.lead_id, r.company) for r in got] == [(1, "link"), (2, "L2"), (3, "Own")]
