@@ -3,7 +3,7 @@
 A candidate has entity_id, cand_id, ord, full_name, position, emails (value, generic, deliverability, confidence, status,
 domain_has_mx), phones, social_urls, social_profiles (platform, kind, url) and evidence (source, url, published_at).
 A key that ties a third of all candidates together makes a large group: facts of a group are aggregates, and what is listed
-of it is cut to its first entries by a window, so no row holds a whole group.
+of it is whole or, if asked for, cut to its first entries by a window.
 """
 
 from __future__ import annotations
@@ -12,20 +12,19 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactry.functions import lexicons as lex
 from contactry.functions import normalize as norm
 
-from . import research, resolve, score
+from . import dedup, research, resolve, score
 
 MAIL = "struct<value:string,generic:boolean,deliverability:string,confidence:int,status:string,domain_has_mx:boolean>"
 PROFILE = "struct<platform:string,kind:string,url:string>"
 EVIDENCE = "struct<source:string,url:string,published_at:timestamp>"
 LISTS = {"emails": MAIL, "phones": "string", "social_urls": "string", "social_profiles": PROFILE, "evidence": EVIDENCE}
 CANDIDATE = "entity_id string, cand_id long, ord long, full_name string, position string, " + ", ".join(f"{k} array<{v}>" for k, v in LISTS.items())
-#: Entries of a contact's list that are shown; their numbers count all of them.
+#: Entries of a contact's list that are shown where it need not be whole; their numbers count all of them.
 SHOWN = 50
 Save = Callable[[DataFrame], DataFrame]
 
@@ -63,8 +62,8 @@ def _items(rows: DataFrame, name: str) -> DataFrame:
     return told.where("key is not null and key <> ''")
 
 
-def listed(candidates: DataFrame, groups: DataFrame, shown: int = SHOWN) -> DataFrame:
-    """group_id, the first ``shown`` entries of every list of a group, each entry once, and n_<list>: how many there are.
+def listed(candidates: DataFrame, groups: DataFrame, shown: int | None = SHOWN) -> DataFrame:
+    """group_id, the first ``shown`` entries (None: all) of every list of a group, each entry once, and n_<list>: how many there are.
 
     Of equal addresses the better one stays, at the place of the first, with the largest confidence; of other equal entries
     the first. All lists take the same two shuffles.
@@ -74,10 +73,9 @@ def listed(candidates: DataFrame, groups: DataFrame, shown: int = SHOWN) -> Data
     best = F.struct((-F.col("rank")).alias("rank"), "place")
     once = items.groupBy("group_id", "list", "key").agg(*(F.min_by(c, best).alias(c) for c in LISTS), F.min("place").alias("place"), F.max("emails.confidence").alias("most"))
     once = once.withColumn("emails", F.when(F.col("emails").isNotNull(), F.col("emails").withField("confidence", F.col("most"))))
-    per = W.partitionBy("group_id", "list")
     told = once.groupBy("group_id").agg(*(F.count_if(F.col("list") == name).alias(f"n_{name}") for name in LISTS))
-    first = once.withColumn("nth", F.row_number().over(per.orderBy("place", "key"))).where(F.col("nth") <= shown)
-    sort = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("nth", name)))), lambda s: s[name])
+    first = once if shown is None else dedup.top_k(once, ["group_id", "list"], ["place", "key"], shown)
+    sort = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("place", "key", name)))), lambda s: s[name])
     return first.groupBy("group_id").agg(*(sort(name).alias(name) for name in LISTS)).join(told, "group_id")
 
 
@@ -133,7 +131,7 @@ def merge_twice(candidates: DataFrame, save: Save) -> tuple[DataFrame, DataFrame
     return candidates.unionByName(more), save(after)
 
 
-def contacts(candidates: DataFrame, run_ts: Column, target_roles: Sequence[str], save: Save, domains: DataFrame | None = None, least: int = 35, most: int = 5, shown: int = SHOWN) -> DataFrame:
+def contacts(candidates: DataFrame, run_ts: Column, target_roles: Sequence[str], save: Save, domains: DataFrame | None = None, least: int = 35, most: int = 5, shown: int | None = SHOWN) -> DataFrame:
     """entity_id, group_id, full_name, position, the lists of ``listed``, score, score_reasons, usable, rank.
 
     ``rank`` is the contact's place among the selected ones of its entity; null where it is not selected.
@@ -169,7 +167,7 @@ def rejected(found: DataFrame) -> DataFrame:
 def totals(found: DataFrame) -> DataFrame:
     """One row of a run's totals over its contacts: distinct people, positions and channels, confidence, profiles by platform.
 
-    Listed channels are counted, so ``found`` should list enough of them; nothing is counted approximately.
+    Listed channels are counted, so ``found`` must list all of them; nothing is counted approximately.
     """
     person = F.when(F.col("full_name").isNotNull(), F.concat_ws(":", "entity_id", F.lower("full_name")))
     place = F.when(F.col("full_name").isNotNull() & F.col("position").isNotNull(), F.concat_ws(":", "entity_id", F.lower("full_name"), F.lower("position")))

@@ -47,3 +47,9 @@ def store(df: DataFrame, name: str = "step", batch_rows: int | None = None) -> D
         for conf, value in before.items():
             spark.conf.unset(conf) if value is None else spark.conf.set(conf, value)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` dealt to tasks for all cores: a small file is one task, however much is then made of each row."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

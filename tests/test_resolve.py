@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from contactry.operators import merge, resolve, score
+from contactry.plans import contact_queries
 from contactry.storage import store
 
 MAIL = "array<struct<value:string,generic:boolean,deliverability:string,confidence:int,status:string,domain_has_mx:boolean>>"
@@ -104,3 +105,19 @@ def test_domains_that_take_no_mail(spark):
 
 def test_contacts_of_no_candidates(spark):
     assert contacts(spark) == []
+
+
+def test_whole_lists(spark):
+    rows = [candidate(i, social=["hub"], phones=[str(10_000 + i)], profiles=[("vk", "person", f"s{i}")]) for i in range(120)]
+    found = merge.contacts(spark.createDataFrame(rows, merge.CANDIDATE), F.lit("2024-02-01").cast("timestamp"), (), store, shown=None)
+    assert found.first().phones == [str(10_000 + i) for i in range(120)]
+    assert merge.totals(found).select("phones", "profiles").first() == (120, 120)
+
+
+def test_contact_queries_list_whole_groups(spark, tmp_path):
+    """70 people of one name and company without an address are one contact with 70 phones."""
+    people = spark.range(70).selectExpr("id * 420 AS p").selectExpr("explode(array(3 * p, 3 * p + 1, 3 * p + 2)) AS c_custkey")
+    known = spark.range(3).selectExpr("id + 63 AS c_custkey")
+    people.unionByName(known).write.parquet(f"{tmp_path}/customer.parquet")
+    found = {r.group_id: r for r in contact_queries.merged_contacts(spark, str(tmp_path)).collect()}
+    assert len(found) == 2 and len(found[0].phones.split()) == 70 and len(found[0].social_urls.split()) == 140
