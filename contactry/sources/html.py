@@ -5,7 +5,8 @@ Broken markup never fails: what is left open ends with the page, and a null page
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -120,18 +121,32 @@ _NAMES = ("title", "heading", "body", "anchors", "meta", "data", "feeds", "scrip
 _FIELDS = {"anchors": ("text", "href", "shown"), "meta": ("name", "content"), "feeds": ("type", "href")}
 
 
-def _parts(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for html in pages:
-        rows = [PageParts.of(x or "") for x in html]
-        columns = {name: [r[i] for r in rows] for i, name in enumerate(_NAMES)}
-        for name, fields in _FIELDS.items():
-            columns[name] = [[dict(zip(fields, x, strict=True)) for x in cell] for cell in columns[name]]
-        yield pd.DataFrame(columns)
+#: A script, whose text is no markup; or an ampersand of a reference that lacks its ";".
+_BARE = re.compile(r"<script\b.*?(?:</script|\Z)|&(?=#?[0-9a-z]++(?!;))", re.I | re.S)
 
 
-def page_parts(html: Column) -> Column:
-    """A struct of title, heading, body, anchors, meta, data, feeds and scripts of a page."""
-    return F.pandas_udf(_parts, PARTS)(html)
+def _keep_bare(html: str) -> str:
+    return _BARE.sub(lambda m: "&amp;" if m[0] == "&" else m[0], html)
+
+
+def _parts(bare: bool) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
+    def parts(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for html in pages:
+            rows = [PageParts.of((x or "") if bare else _keep_bare(x or "")) for x in html]
+            columns = {name: [r[i] for r in rows] for i, name in enumerate(_NAMES)}
+            for name, fields in _FIELDS.items():
+                columns[name] = [[dict(zip(fields, x, strict=True)) for x in cell] for cell in columns[name]]
+            yield pd.DataFrame(columns)
+
+    return parts
+
+
+def page_parts(html: Column, bare: bool = True) -> Column:
+    """A struct of title, heading, body, anchors, meta, data, feeds and scripts of a page.
+
+    ``bare``: references that lack their ";" are decoded as a browser does; otherwise they stay as they are.
+    """
+    return F.pandas_udf(_parts(bare), PARTS)(html)
 
 
 def _texts(parts: Column, name: str, field: str) -> Column:
@@ -142,16 +157,16 @@ def _filled(*choices: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in choices))
 
 
-def read_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+def read_pages(pages: DataFrame, html: str = "html", url: str = "url", bare: bool = True) -> DataFrame:
     """The other columns, and title, text, emails, phones, social_urls, links, feeds, likely_spa of each page.
 
     Text is the body's, then anchors with their addresses, meta contents and structured data. Addresses in meta contents and
     structured data count as links for social_urls. ``links`` are as written, ``feeds`` are resolved. A page is likely made
-    by scripts if it has hardly any text and loads several.
+    by scripts if it has hardly any text and loads several. ``bare`` as in ``page_parts``.
     """
     p = F.col("parts")
     rest = [c for c in pages.columns if c not in (html, url)]
-    rows = pages.select(*rest, url, page_parts(F.col(html)).alias("parts"))
+    rows = pages.select(*rest, url, page_parts(F.col(html), bare).alias("parts"))
     spoken = F.array_join(F.transform(p["anchors"], lambda a: F.concat(a["text"], F.lit(" "), a["href"])), " ")
     extra = F.concat_ws(" ", F.array_join(_texts(p, "meta", "content"), " "), F.array_join(p["data"], " "))
     feeds = F.filter(p["feeds"], lambda f: f["type"].rlike("rss|atom|xml"))

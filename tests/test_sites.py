@@ -60,6 +60,14 @@ def test_html_with_entities_and_broken_markup(spark):
     assert r.title == "t" and len(r.text) == 40_000 and r.text.endswith("…")
 
 
+def test_references_without_their_end(spark):
+    text = "<title>a&amp;&amp</title><script type='application/ld+json'>{\"q\": \"x&lt y\"}</script><p>&lt;b &lt b &copy=1 &#65 &#65; AT&T <a href='/?a&amp;b&amp'>x"
+    rows = spark.createDataFrame([(1, SITE, text)], "page_id int, url string, html string")
+    kept, read = html.read_pages(rows, bare=False).first(), html.read_pages(rows).first()
+    assert kept.title == "a&&amp" and kept.links == ["/?a&b&amp"] and kept.text.startswith("<b &lt b &copy=1 &#65 A AT&T x") and '"x&lt y"' in kept.text
+    assert read.title == "a&&" and read.text.startswith("<b < b ©=1 A A AT&T x")
+
+
 def test_titles_fall_back(spark):
     assert page(spark, "<h1>Head <b>line</b></h1><h1>two</h1>").title == "Head line"
     assert page(spark, "<p>none").title == SITE
