@@ -129,7 +129,7 @@ def grounded_answer(payloads: DataFrame) -> DataFrame:
 
 
 def healthy_instances(payloads: DataFrame, limit: int = 8) -> DataFrame:
-    """rank, instance: the fastest search instances that are up, without analytics, on the normal network."""
+    """rank, instance: the fastest search instances that are up, without analytics, on the normal network; of equal ones the first of their answer, then by name."""
     shape = (
         "instances map<string, struct<analytics:boolean,network_type:string,http:struct<status_code:int>,"
         "timing:struct<search:struct<success_percentage:double,all:struct<median:double>>>,uptime:struct<uptimeDay:double>>>"
@@ -137,8 +137,8 @@ def healthy_instances(payloads: DataFrame, limit: int = 8) -> DataFrame:
     rows = payloads.select(F.posexplode(F.from_json("body", shape)["instances"]).alias("ord", "instance", "i"))
     good = rows.where("not i.analytics and i.network_type = 'normal' and i.http.status_code = 200 and i.timing.search.success_percentage >= 90 and i.uptime.uptimeDay >= 95")
     ranked = good.select("instance", F.coalesce("i.timing.search.all.median", F.lit(99.0)).alias("median"), "ord")
-    best = ranked.orderBy("median", "ord").limit(limit)
-    return best.select(F.row_number().over(W.orderBy("median", "ord")).alias("rank"), "instance")
+    order = ("median", "ord", "instance")
+    return ranked.orderBy(*order).limit(limit).select(F.row_number().over(W.orderBy(*order)).alias("rank"), "instance")
 
 
 def verifier_status(status: Column) -> Column:

@@ -29,6 +29,14 @@ def test_instances_by_median(spark):
     assert [r.instance for r in payloads.healthy_instances(bodies(spark, answer)).orderBy("rank").collect()] == ["fast", "slow", "unknown"]
 
 
+def test_equal_instances_by_name(spark):
+    """Equal medians at equal places of several answers: the rank does not depend on how the answers are dealt."""
+    good = {"analytics": False, "network_type": "normal", "http": {"status_code": 200}, "timing": {"search": {"success_percentage": 95, "all": {"median": 1.0}}}, "uptime": {"uptimeDay": 99}}
+    rows = bodies(spark, *({"instances": {name: good}} for name in "hcagfbed"))
+    for parts in (1, 5):
+        assert [r.instance for r in payloads.healthy_instances(rows.repartition(parts), 4).orderBy("rank").collect()] == ["a", "b", "c", "d"]
+
+
 def test_videos_of_the_last_days(spark):
     item = lambda v, day: {"id": {"videoId": v}, "snippet": {"publishedAt": f"2024-01-{day}T00:00:00Z"}}
     found = payloads.videos(bodies(spark, {"items": [item("new", 30), item("old", 10), {"id": {}}]}), F.lit("2024-02-01").cast("timestamp")).collect()
