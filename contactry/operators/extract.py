@@ -117,8 +117,9 @@ def windows_around(docs: DataFrame, terms: list[str], reach: int = 140) -> DataF
     """
     rest = [c for c in docs.columns if c != "text"]
     flat = F.regexp_replace("text", "[ \\t\\r\\n]+", " ")
-    rows = docs.select(*rest, flat.alias("flat"), F.explode(F.array(*map(F.lit, terms))).alias("term"))
-    rows = rows.where(F.contains(F.lower("flat"), F.lower("term")))
+    every = F.array(*map(F.lit, terms))
+    met = norm.let(F.lower("flat"), lambda low: F.filter(every, lambda term: F.contains(low, F.lower(term))))
+    rows = docs.select(*rest, flat.alias("flat")).select(*rest, "flat", F.explode(met).alias("term"))
     gaps = F.transform(F.expr("split(lower(flat), concat('\\\\Q', lower(term), '\\\\E'))"), lambda x: F.length(x))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
 

@@ -10,7 +10,7 @@ from contactry.functions import catalog as cat
 from contactry.functions import lexicons as lex
 from contactry.functions import normalize as norm
 
-from . import extract
+from . import dedup, extract
 
 SNIPPET = 4000
 URL_IN_TEXT = "(?i)https?://[^\\s<>\"')\\]]+"
@@ -73,17 +73,16 @@ def people(texts: DataFrame, roles: list[str], name_pattern: str = lex.PERSON, r
 
     texts (entity_id, ord, url, text), ``roles`` in the order in which they are tried. Of a window the first ``names`` names
     count; each has all addresses and all social profiles of the window, and the profile that the text's url is. Of equal
-    name and role (in lower case) the first of an entity stays.
+    name and role (in lower case) the first of an entity stays; only then its window is searched for channels.
     """
     order = F.array_position(F.array(*map(F.lit, roles)), F.col("term"))
     social = F.concat(F.array("url"), F.regexp_extract_all("window", F.lit(URL_IN_TEXT), F.lit(0)))
     social = F.array_distinct(F.filter(F.transform(social, norm.social_url), lambda u: u.isNotNull()))
     found = extract.windows_around(texts, roles, reach)
     found = found.withColumn("names", F.slice(F.regexp_extract_all("window", F.lit(name_pattern), F.lit(0)), 1, names)).where("size(names) > 0")
-    found = found.select("entity_id", "ord", F.col("term").alias("position"), "at", order.alias("role_ord"), "names", extract.emails(F.col("window")).alias("emails"), social.alias("profiles"))
-    rows = found.select("entity_id", "ord", "position", "at", "role_ord", "emails", "profiles", F.posexplode("names").alias("nth", "full_name"))
-    first = W.partitionBy("entity_id", F.lower("full_name"), F.lower("position")).orderBy("ord", "role_ord", "at", "nth")
-    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("entity_id", "ord", "full_name", "position", "at", "emails", "profiles")
+    found = found.select("entity_id", "ord", F.col("term").alias("position"), "at", order.alias("role_ord"), "url", "window", F.posexplode("names").alias("nth", "full_name"))
+    rows = dedup.first_wins(found, ["entity_id", F.lower("full_name"), F.lower("position")], ["ord", "role_ord", "at", "nth"])
+    return rows.select("entity_id", "ord", "full_name", "position", "at", extract.emails(F.col("window")).alias("emails"), social.alias("profiles"))
 
 
 def people_to_search(found: DataFrame, most: int = 3) -> DataFrame:

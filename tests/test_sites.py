@@ -124,6 +124,15 @@ def test_people_once_a_company(spark):
     assert far.count() == 0 and research.people(texts(spark, ("a", None), ("a", "")), ["CEO"]).count() == 0
 
 
+def test_channels_are_read_for_the_first_only(spark):
+    """The windows of people who are met again are not searched: the addresses stand above the limit to the first."""
+    rows = texts(spark, *(("a", f"Анна Смирнова, CEO, anna{i}@a.ru") for i in range(50)))
+    found = research.people(rows.repartition(4), ["CEO"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.ord, r.emails) for r in found.collect()] == [(0, ["anna0@a.ru"])]
+    assert plan.index(" AS emails#") < plan.index("Window")
+
+
 def test_windows_of_a_text_full_of_a_term(spark):
     rows = spark.createDataFrame([(1, "ab " * 5000)], "doc_id int, text string")
     got = extract.windows_around(rows, ["AB"], 4).orderBy("at").collect()
