@@ -20,6 +20,8 @@ from contactry.operators import extract
 HIDDEN = ("script", "style", "noscript", "svg", "iframe", "template")
 TITLE, PAGE_TEXT, SOCIAL_TEXT = 180, 40_000, 50_000
 SPA_TEXT, SPA_SCRIPTS = 250, 2
+#: Characters of pages whose parts a task's Python holds at a time.
+PIECE = 1 << 20
 LINK_IN_TEXT = "(?i)https?://[^\\s<>\"']+"
 
 #: Elements whose anchors belong to the page although their text does not.
@@ -129,9 +131,15 @@ def _keep_bare(html: str) -> str:
     return _BARE.sub(lambda m: "&amp;" if m[0] == "&" else m[0], html)
 
 
+def _pieces(batch: pd.Series) -> Iterator[pd.Series]:
+    """A batch in pieces of at most ``PIECE`` characters, or one page: their parts go back before the next are made."""
+    filled = batch.fillna("").str.len().cumsum() // PIECE if len(batch) else batch
+    yield from (piece for _, piece in batch.groupby(filled, sort=False))
+
+
 def _parts(bare: bool) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
     def parts(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for html in pages:
+        for html in (piece for batch in pages for piece in _pieces(batch)):
             rows = [PageParts.of((x or "") if bare else _keep_bare(x or "")) for x in html]
             columns = {name: [r[i] for r in rows] for i, name in enumerate(_NAMES)}
             for name, fields in _FIELDS.items():

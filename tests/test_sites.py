@@ -1,5 +1,6 @@
 """Pages, feeds, sitemaps, addresses and people: the cases a reader of the services' formats expects, and broken ones."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,16 @@ def test_references_without_their_end(spark):
     assert read.title == "a&&" and read.text.startswith("<b < b ©=1 A A AT&T x")
 
 
+def test_parts_go_back_in_pieces(spark):
+    """Many large pages in one batch come back a few at a time, each once and in order."""
+    pages = pd.Series([None, ""] + [f"<title>{i}</title>" + "w " * (html.PIECE // 4) for i in range(9)])
+    frames = list(html._parts(True)(iter([pages, pages[:0], pages[:1]])))
+    assert [t for f in frames for t in f["title"]] == ["", "", *map(str, range(9)), ""]
+    assert len(frames) > 4 and max(f["body"].str.len().sum() for f in frames) <= html.PIECE
+    rows = spark.range(3_000).selectExpr("id", "'https://a.example/' AS url", "concat('<title>', id, '</title>', repeat('w ', 1000)) AS html").coalesce(1)
+    assert html.read_pages(rows).where("title <> id").count() == 0 and html.read_pages(rows).select("title").distinct().count() == 3_000
+
+
 def test_titles_fall_back(spark):
     assert page(spark, "<h1>Head <b>line</b></h1><h1>two</h1>").title == "Head line"
     assert page(spark, "<p>none").title == SITE
