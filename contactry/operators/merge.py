@@ -8,7 +8,7 @@ of it is whole or, if asked for, cut to its first entries by a window.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,21 +62,40 @@ def _items(rows: DataFrame, name: str) -> DataFrame:
     return told.where("key is not null and key <> ''")
 
 
-def listed(candidates: DataFrame, groups: DataFrame, shown: int | None = SHOWN) -> DataFrame:
-    """group_id, the first ``shown`` entries (None: all) of every list of a group, each entry once, and n_<list>: how many there are.
+def entries(candidates: DataFrame, groups: DataFrame, lists: Iterable[str] = LISTS) -> DataFrame:
+    """group_id, list, key, place, most and the entry under its list's name: every entry of the groups' lists, each once.
 
     Of equal addresses the better one stays, at the place of the first, with the largest confidence; of other equal entries
-    the first. All lists take the same two shuffles.
+    the first.
     """
     rows = candidates.join(groups, "cand_id")
-    items = reduce(DataFrame.unionByName, (_items(rows, name) for name in LISTS))
+    items = reduce(DataFrame.unionByName, (_items(rows, name) for name in lists))
     best = F.struct((-F.col("rank")).alias("rank"), "place")
     once = items.groupBy("group_id", "list", "key").agg(*(F.min_by(c, best).alias(c) for c in LISTS), F.min("place").alias("place"), F.max("emails.confidence").alias("most"))
-    once = once.withColumn("emails", F.when(F.col("emails").isNotNull(), F.col("emails").withField("confidence", F.col("most"))))
-    told = once.groupBy("group_id").agg(*(F.count_if(F.col("list") == name).alias(f"n_{name}") for name in LISTS))
-    first = once if shown is None else dedup.top_k(once, ["group_id", "list"], ["place", "key"], shown)
+    return once.withColumn("emails", F.when(F.col("emails").isNotNull(), F.col("emails").withField("confidence", F.col("most"))))
+
+
+def listed(candidates: DataFrame, groups: DataFrame, shown: int | None = SHOWN) -> DataFrame:
+    """group_id, the first ``shown`` of the ``entries`` (None: all) of every list of a group, and n_<list>: how many there are.
+
+    All lists take the same two shuffles.
+    """
+    once = entries(candidates, groups)
+    counts = [F.count_if(F.col("list") == name).alias(f"n_{name}") for name in LISTS]
     sort = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("place", "key", name)))), lambda s: s[name])
-    return first.groupBy("group_id").agg(*(sort(name).alias(name) for name in LISTS)).join(told, "group_id")
+    lists = [sort(name).alias(name) for name in LISTS]
+    if shown is None:
+        return once.groupBy("group_id").agg(*lists, *counts)
+    first = dedup.top_k(once, ["group_id", "list"], ["place", "key"], shown)
+    return first.groupBy("group_id").agg(*lists).join(once.groupBy("group_id").agg(*counts), "group_id")
+
+
+def fallback_groups(candidates: DataFrame, groups: DataFrame) -> DataFrame:
+    """group_id of the groups with a general address that is not undeliverable and evidence of the own website."""
+    e = F.col("emails")
+    mail = F.bool_or(e["generic"] & ~e["deliverability"].eqNullSafe("undeliverable"))
+    told = entries(candidates, groups, ("emails", "evidence")).groupBy("group_id").agg(mail.alias("mail"), F.bool_or(F.col("evidence.source") == "website").alias("site"))
+    return told.where("mail and site").select("group_id")
 
 
 def merge_again(groups: DataFrame, keys: DataFrame, touched: DataFrame, save: Save) -> DataFrame:
@@ -131,23 +150,33 @@ def merge_twice(candidates: DataFrame, save: Save) -> tuple[DataFrame, DataFrame
     return candidates.unionByName(more), save(after)
 
 
-def contacts(candidates: DataFrame, run_ts: Column, target_roles: Sequence[str], save: Save, domains: DataFrame | None = None, least: int = 35, most: int = 5, shown: int | None = SHOWN) -> DataFrame:
+def contacts(
+    candidates: DataFrame, run_ts: Column, target_roles: Sequence[str], save: Save, domains: DataFrame | None = None, least: int = 35, most: int = 5, shown: int | None = SHOWN, wanted: Column | None = None
+) -> DataFrame:
     """entity_id, group_id, full_name, position, the lists of ``listed``, score, score_reasons, usable, rank.
 
-    ``rank`` is the contact's place among the selected ones of its entity; null where it is not selected.
+    ``rank`` is the contact's place among the selected ones of its entity; null where it is not selected. Contacts are
+    selected before anything is listed; with ``wanted``, a condition on a contact without its lists, only those that it holds
+    for have lists and their counts, and they are null for the others.
     """
     every, groups = merge_twice(candidates, save)
     every = with_mx(every, domains) if domains is not None else every
-    merged = resolve.combine(every, groups, score.contact_facts())
+    general = lambda e: F.coalesce(e["generic"], F.lit(False)) | norm.is_generic(norm.email(e["value"]))
+    asked = {"general": F.exists("emails", general), "site": F.exists("evidence", lambda e: e["source"] == "website")}
+    merged = resolve.combine(every, groups, score.contact_facts() | asked)
     scored = score.apply_rules(merged, score.contact_rules(run_ts, target_roles)).withColumn("usable", score.usable(least))
-    lists = listed(every, groups, shown)
-    scored = save(scored.select("entity_id", "group_id", "full_name", "position", "ord", "score", "score_reasons", "usable", "generic").join(lists, "group_id", "left"))
-    fit = F.exists("emails", lambda e: e["generic"] & ~e["deliverability"].eqNullSafe("undeliverable")) & F.exists("evidence", lambda e: e["source"] == "website")
-    asked = scored.select("entity_id", F.col("group_id").alias("cand_id"), "score", "usable", F.coalesce("generic", F.lit(False)).alias("generic"), F.coalesce(fit, F.lit(False)).alias("fallback_ok"))
-    chosen = research.select_candidates(asked, least, most).select(F.col("cand_id").alias("group_id"), "fallback", "rank")
+    scored = save(scored.select("entity_id", "group_id", "full_name", "position", "ord", "score", "score_reasons", "usable", "generic", *asked))
+    fit = fallback_groups(every, groups.join(scored.where("general and site").select("group_id"), "group_id", "left_semi"))
+    facts = scored.join(fit.withColumn("fit", F.lit(True)), "group_id", "left")
+    facts = facts.select("entity_id", F.col("group_id").alias("cand_id"), "score", "usable", F.coalesce("generic", F.lit(False)).alias("generic"), F.coalesce("fit", F.lit(False)).alias("fallback_ok"))
+    chosen = save(research.select_candidates(save(facts), least, most).select(F.col("cand_id").alias("group_id"), "fallback", "rank"))
     out = scored.join(chosen, "group_id", "left")
     reasons = F.when(F.col("fallback"), F.concat("score_reasons", F.array(F.lit("fallback: general address of the official site")))).otherwise(F.col("score_reasons"))
-    return out.withColumn("score_reasons", reasons).drop("fallback", "generic")
+    out = out.withColumn("score_reasons", reasons).drop("fallback", "generic", *asked)
+    own = groups if wanted is None else groups.join(save(out.where(wanted).select("group_id")), "group_id", "left_semi")
+    lists = listed(every, own, shown)
+    rest = [c for c in out.columns if c not in ("entity_id", "group_id")]
+    return save(out.join(lists, "group_id", "left").select("entity_id", "group_id", *rest, *(c for c in lists.columns if c != "group_id")))
 
 
 def display_key() -> Column:
