@@ -30,11 +30,16 @@ def contact_name() -> Column:
     return F.coalesce(filled(F.col("full_name")), F.try_element_at("emails", F.lit(1))["value"], F.try_element_at("phones", F.lit(1)), F.try_element_at("social_urls", F.lit(1)), F.lit("—"))
 
 
+def shows_channels() -> Column:
+    """Whether a report shows anything of a contact's lists: of selected ones their channels, of nameless ones the first."""
+    return F.col("rank").isNotNull() | (F.coalesce("full_name", F.lit("")) == "")
+
+
 def run_report(companies: DataFrame, contacts: DataFrame, actions: DataFrame) -> DataFrame:
     """Lines of a run: a table of companies, then for each its selected contacts, those below the threshold, warnings and actions.
 
     companies (run_id, entity_id, name, website, warnings), contacts (run_id, entity_id, group_id, full_name, position,
-    emails, phones, social_urls, score, score_reasons, rank), actions (run_id, entity_id, ord, type, status, detail).
+    emails, phones, social_urls, score, score_reasons, rank; lists only where ``shows_channels``), actions (run_id, entity_id, ord, type, status, detail).
     """
     key = ["run_id", "entity_id"]
     count = lambda df, **counts: df.groupBy(*key).agg(*(c.alias(n) for n, c in counts.items()))
