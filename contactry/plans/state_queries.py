@@ -32,13 +32,12 @@ def _signals(spark, d):
 
 
 def streamed_signals(spark, d):
-    """The state after a stream of events in four files, one a batch, of which one is folded twice."""
+    """The state after a stream of events in four loads, one a batch, of which one is folded twice; all cores write a load's files."""
     folder, rows = _folder(spark), _signals(spark, d)
-    for i in range(BATCHES):  # one file after the other, so the stream takes them in this order
-        rows.where(F.col("ord") % BATCHES == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(SIGNAL).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    query = signals.run(stream, f"{folder}/state", f"{folder}/checkpoint", 8)
-    query.awaitTermination()
+    for i in range(BATCHES):  # the stream takes what has landed as one batch, whatever its number of files, and goes on from its checkpoint
+        rows.where(F.col("ord") % BATCHES == i).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(SIGNAL).parquet(f"{folder}/in")
+        signals.run(stream, f"{folder}/state", f"{folder}/checkpoint", 8).awaitTermination()
     signals.fold(rows.where(F.col("ord") % BATCHES == BATCHES - 1), BATCHES - 1, f"{folder}/state", 8)
     schema = spark.createDataFrame([], SIGNAL).drop("ord").schema
     return signals.read_state(spark, f"{folder}/state", schema).withColumns({c: F.unix_micros(c) for c in ("first_seen_at", "last_seen_at")})
