@@ -29,9 +29,9 @@ from .repeats import Kind, anchored_segments, marked, notes_by_document
 WINDOW = 20
 #: Words to a symbol of an automaton; it divides the window.
 GRAM = 4
-#: Digits, of 256 values or more, of a symbol.
-DIGITS = 3
-#: Phrases in one automaton, on average: about 300,000 nodes.
+#: Digits of a symbol: one of 256 values, and one for the rest, which has a further value for every 256 symbols.
+DIGITS = 2
+#: Phrases in one automaton, on average: about 200,000 nodes.
 SHARD_PHRASES = 20_000
 #: Phrases of one anchor from which they are dealt by their words.
 HOT_PHRASES = 4096
@@ -106,6 +106,7 @@ class Automaton:
 
     def __init__(self):
         self.symbols: dict[tuple[bytes, ...], str] = {}
+        self.texts: dict[bytes, list[str]] = {}
         self.least: list[int] = []
         self.seen: list[tuple[int, int] | None] = []
         self.known: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
@@ -119,8 +120,9 @@ class Automaton:
             symbol = symbols.get(gram)
             if symbol is None:
                 n = len(symbols)
-                symbol = symbols[gram] = _DIGIT[n & 255] + _DIGIT[n >> 8 & 255] + chr(256 + (n >> 16))
+                symbol = symbols[gram] = _DIGIT[n & 255] + chr(512 + (n >> 8))
             text.append(symbol)
+        self.texts[passage] = text
         for i in range(len(text) - WINDOW + GRAM):
             if mask >> i & 1:
                 self.machine.add_word("".join(text[i : i + WINDOW : GRAM]), len(self.least))
@@ -129,8 +131,10 @@ class Automaton:
 
     def phrases(self, passage: bytes) -> list[tuple[int, int]]:
         """(bit of the window, phrase) of the phrases in a passage, from left to right."""
-        get = self.symbols.get
-        text = [get(gram, "\0" * DIGITS) for gram in _grams(passage)]
+        text = self.texts.get(passage)
+        if text is None:
+            get = self.symbols.get
+            text = [get(gram, "\0" * DIGITS) for gram in _grams(passage)]
         ends = [(low, end + 1, p) for low in range(GRAM) for end, p in self.machine.iter("".join(text[low::GRAM]))]
         found = sorted([(low + end // DIGITS * GRAM - WINDOW, p) for low, end, p in ends if end % DIGITS == 0])
         return [(1 << at, p) for at, p in found]
@@ -185,7 +189,7 @@ def _locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 automaton.add(words, mask, doc_id)
                 continue
             if bits := automaton.places(words, (doc_id, ident)):
-                out.append((chunk, doc_id, ident, np.array([first], "<i4").tobytes(), bits))
+                out.append((chunk, doc_id, ident, first.to_bytes(4, "little", signed=True), bits))
             if more and (bits := automaton.places(words, (doc_id, ident))):
                 out.append((chunk, doc_id, ident, more, bits))
         yield pd.DataFrame(out, columns=["chunk", "doc_id", "ident", "firsts", "mask"])
