@@ -113,21 +113,24 @@ def windows_around(docs: DataFrame, terms: list[str], reach: int = 140) -> DataF
     """The other columns of ``docs``, and term, at, window: each non-overlapping occurrence of a term with ``reach`` characters on each side.
 
     The places of a term are folded once over the text between them, into an array of numbers; windows are cut from the one
-    text, so a text that is full of a term is not copied for every place.
+    text, so a text that is full of a term is not copied for every place. A text is put in lower case and parted once.
     """
     rest = [c for c in docs.columns if c != "text"]
     flat = F.regexp_replace("text", "[ \\t\\r\\n]+", " ")
-    every = F.array(*map(F.lit, terms))
-    met = norm.let(F.lower("flat"), lambda low: F.filter(every, lambda term: F.contains(low, F.lower(term))))
-    rows = docs.select(*rest, flat.alias("flat")).select(*rest, "flat", F.explode(met).alias("term"))
-    gaps = F.transform(F.expr("split(lower(flat), concat('\\\\Q', lower(term), '\\\\E'))"), lambda x: F.length(x))
+    every = F.array(*(F.struct(F.lit(t).alias("term"), F.lower(F.lit(t)).alias("low")) for t in terms)).cast("array<struct<term:string,low:string>>")
+
+    def parted(low: Column) -> Column:
+        gaps = lambda t: F.transform(F.split(low, F.concat(F.lit("\\Q"), t["low"], F.lit("\\E"))), F.length)
+        return F.transform(F.filter(every, lambda t: F.contains(low, t["low"])), lambda t: F.struct(t["term"].alias("term"), gaps(t).alias("gaps")))
+
+    rows = docs.select(*rest, flat.alias("flat")).select(*rest, "flat", F.inline(norm.let(F.lower("flat"), parted)))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
 
     def place(done: Column, gap: Column) -> Column:
         at = done["end"] + gap
         return F.struct((at + F.length("term")).alias("end"), F.concat(done["at"], F.array(at)).alias("at"))
 
-    places = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), start, place, lambda done: done["at"])
+    places = F.aggregate(F.slice("gaps", F.lit(1), F.size("gaps") - 1), start, place, lambda done: done["at"])
     low = lambda at: F.greatest(F.lit(0), at - reach)
     cut = lambda at: F.substring(F.col("flat"), low(at) + 1, at + F.length("term") + reach - low(at))
     windows = F.transform(places, lambda at: F.struct(at.cast("long").alias("at"), cut(at).alias("window")))

@@ -79,8 +79,8 @@ def people(texts: DataFrame, roles: list[str], name_pattern: str = lex.PERSON, r
     social = F.concat(F.array("url"), F.regexp_extract_all("window", F.lit(URL_IN_TEXT), F.lit(0)))
     social = F.array_distinct(F.filter(F.transform(social, norm.social_url), lambda u: u.isNotNull()))
     found = extract.windows_around(texts, roles, reach)
-    found = found.withColumn("names", F.slice(F.regexp_extract_all("window", F.lit(name_pattern), F.lit(0)), 1, names)).where("size(names) > 0")
-    found = found.select("entity_id", "ord", F.col("term").alias("position"), "at", order.alias("role_ord"), "url", "window", F.posexplode("names").alias("nth", "full_name"))
+    named = F.slice(F.regexp_extract_all("window", F.lit(name_pattern), F.lit(0)), 1, names)
+    found = found.select("entity_id", "ord", F.col("term").alias("position"), "at", order.alias("role_ord"), "url", "window", F.posexplode(named).alias("nth", "full_name"))
     rows = dedup.first_wins(found, ["entity_id", F.lower("full_name"), F.lower("position")], ["ord", "role_ord", "at", "nth"])
     return rows.select("entity_id", "ord", "full_name", "position", "at", extract.emails(F.col("window")).alias("emails"), social.alias("profiles"))
 
